@@ -29,6 +29,27 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.token_files import encode_to_files
+
+    return encode_to_files(table(spark, sf_dir, "documents"))[1]
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scopelake.llm.quality_rules import apply_rules
 
@@ -38,4 +59,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scans, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scans, op6_token_id_output, op7_simhash_near_dedup, op9_best_fit_packing, op10_quality_rules)}
