@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from scopelake.llm.common import words_of, written
 
-#: Rows of the bounded sample that only orders the rules.
-SAMPLE_ROWS = 400
+#: Bounds of the sample that only orders the rules: rows, and bytes of each text.
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 65_536
 
 
 @dataclass(frozen=True)
@@ -98,13 +98,12 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(featured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+def order_rules(featured: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, float]]:
     """(rule, cost, selectivity) by rejection per cost, highest first; ties keep the given order.
 
-    The sample is the first sample_rows rows that Spark reads: it bounds the work, and
-    decides nothing but the order.
+    featured has the features of a sample; the sample decides nothing but the order.
     """
-    sample = written(featured.limit(sample_rows), "cascade-sample")
+    sample = written(featured, "cascade-sample")
     share = sample.agg(*[F.coalesce(F.avg(r.rejects.cast("int")), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(rules)]).first()
     measured = []
     for i, r in enumerate(rules):
@@ -127,7 +126,10 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: i
     """docs (doc_id, text) with features, base_failed and kept, one row per input row."""
     rules = default_rules() if rules is None else rules
     featured = features(docs)
-    small = features(docs.limit(sample_rows)) if rules else featured
-    order = [r for r, _, _ in order_rules(small, rules, sample_rows)] if rules else []
+    order = []
+    if rules:
+        short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+        rows = short.limit(sample_rows).collect()  # sample_rows * SAMPLE_BYTES bytes at most, from the first files
+        order = [r for r, _, _ in order_rules(features(docs.sparkSession.createDataFrame(rows, short.schema)), rules)]
     judged = featured.withColumn("base_failed", base_failed())
     return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order)))
