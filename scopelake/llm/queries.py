@@ -29,6 +29,13 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scopelake.llm.token_files import encode_to_files
 
@@ -42,6 +49,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scopelake.llm.packing import pack_documents
 
@@ -59,4 +72,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scans, op6_token_id_output, op7_simhash_near_dedup, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scans, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
