@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from scopelake.llm.common import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scopelake.llm.secrets import scan_secrets
 
@@ -87,4 +93,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scans, op3_chat_formatting, op4_warc_segments, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_secret_scans, op3_chat_formatting, op4_warc_segments, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
