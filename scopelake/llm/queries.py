@@ -92,5 +92,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_secret_scans, op3_chat_formatting, op4_warc_segments, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_secret_scans, op3_chat_formatting, op4_warc_segments, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules, pipeline)}
