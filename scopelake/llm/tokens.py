@@ -16,13 +16,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the id that ends each document.
 END_ID = 0
 END_BYTES = b"\0\0\0\0"
 
 _LOADED: dict[str, "WordMemoEncoder"] = {}
-_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Stands for "no space before"; texts that hold it, or other white space than spaces and newlines, go to the library whole.
+_BARE = "\x01"
+_OTHER_SPACE = re.compile("[\x01\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -33,6 +37,15 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Tokens of their own after a letter and before white space.
+_MARKS = ["\n", ",", "."]
+
+
+def _stem(word: str) -> str:
+    """The word without a comma or full stop that follows a letter at its end."""
+    return word[:-1] if word[-1:] in (",", ".") and word[-2:-1].isalpha() else word
+
+
 class WordMemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -46,12 +59,12 @@ class WordMemoEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
         self.memo_entries = memo_entries
         self.run_chars = run_chars
-        (self.newline,) = self._library(["\n"])
-        self.newline_id = int(np.frombuffer(self.newline, "<u4")[0])
+        self.marks = dict(zip(_MARKS, self._library(_MARKS), strict=True))
+        self.newline_id = int(np.frombuffer(self.marks["\n"], "<u4")[0])
+        self.memo["\n"] = self.marks["\n"]
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -81,12 +94,13 @@ class WordMemoEncoder:
         runs.append(text[at:])
         return runs
 
-    def _words(self, words: list[str], prefix: str) -> dict[str, bytes]:
-        """Ids of words without newlines, each preceded by prefix; one call for many."""
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words without newlines, with the space before or, after _BARE, without; one call for many."""
         out: dict[str, bytes] = {}
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            joined = ["\n".join([prefix + w for w in part[k : k + 1000]]) for k in range(0, len(part), 1000)]
+            shown = [w[1:] if w[:1] == _BARE else " " + w for w in part]
+            joined = ["\n".join(shown[k : k + 1000]) for k in range(0, len(part), 1000)]
             found: list[bytes] = []
             for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
                 ids = np.asarray(x.ids, dtype="<u4")
@@ -99,45 +113,44 @@ class WordMemoEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes, without the end id; null and empty give none."""
         out: list[bytes] = [b""] * len(texts)
-        plan: list[tuple[int, list[str], list, list[int]]] = []
-        spaced, bare = self.spaced, self.bare
-        new_spaced: set[str] = set()
-        new_bare: set[str] = set()
+        plain = []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self._plain(text):
+            if text and self._plain(text):
+                plain.append(i)
+            elif text:
                 out[i] = b"".join(b"".join(self._library([r])) for r in self._runs(text))
-                continue
-            words = text.split(" ")
-            got = list(map(spaced.get, words))
-            got[0] = None
-            holes = [k for k, x in enumerate(got) if x is None]
-            for k in holes:
-                first, *lines = words[k].split("\n")
-                (new_spaced if k else new_bare).add(first)
-                new_bare.update(lines)
-            plan.append((i, words, got, holes))
-        new_spaced.difference_update(spaced)
-        new_bare.difference_update(bare)
-        more_spaced = self._words(list(new_spaced), " ")
-        more_bare = self._words(list(new_bare), "")
-        if len(spaced) + len(bare) < self.memo_entries:
-            spaced.update(more_spaced)
-            bare.update(more_bare)
-        for i, words, got, holes in plan:
-            for k in holes:
-                first, *lines = words[k].split("\n")
-                known, more = (spaced, more_spaced) if k else (bare, more_bare)
-                ids = known.get(first)
-                found = [more[first] if ids is None else ids]
-                for line in lines:
-                    ids = bare.get(line)
-                    found += (self.newline, more_bare[line] if ids is None else ids)
-                got[k] = b"".join(found)
-            out[i] = b"".join(got)
+        if not plain:
+            return out
+        # words, and newlines as words; _BARE stands before a word that no space precedes
+        joined = pa.array([_BARE + texts[i] for i in plain], pa.large_string())
+        words = pc.split_pattern(pc.replace_substring(joined, "\n", f" \n {_BARE}"), " ")
+        coded = words.flatten().dictionary_encode()
+        ids, lengths = self._known(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        # every word's ids in turn: repeat its place, counted up over its length
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        begins = np.cumsum(lengths) - lengths
+        flat = ids[np.repeat(begins[codes] - (ends - each), each) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[words.offsets.to_numpy()].tolist()
+        for i, lo, hi in zip(plain, bounds[:-1], bounds[1:], strict=True):
+            out[i] = flat[lo:hi].tobytes()
         return out
 
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the distinct words one after another, how many each has)."""
+        memo = self.memo
+        found = list(map(memo.get, words))
+        open_ = [n for n, ids in enumerate(found) if ids is None]
+        stems = [_stem(words[n]) for n in open_]
+        more = self._encode_words([s for s in dict.fromkeys(stems) if s not in memo])
+        for n, stem in zip(open_, stems, strict=True):
+            word, ids = words[n], more.get(stem) or memo[stem]
+            found[n] = ids + self.marks[word[-1]] if len(stem) < len(word) else ids
+        if len(memo) < self.memo_entries:
+            memo.update(more)
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
 
 def encoder(path: str) -> WordMemoEncoder:
     """One encoder per worker process and file."""
@@ -146,7 +159,7 @@ def encoder(path: str) -> WordMemoEncoder:
     return _LOADED[path]
 
 
-def bounded_batches(texts: list[str | None], chars: int = 2_000_000):
+def bounded_batches(texts: list[str | None], chars: int = 8_000_000):
     """Index ranges of consecutive texts that together stay near the given size."""
     start, held = 0, 0
     for i, text in enumerate(texts):
