@@ -52,7 +52,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, size: int = DICTIONAR
     """A dictionary from SAMPLE_DOCS documents, the first by a hash of their doc_id; empty if they are too few."""
     import zstandard
 
-    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.left(F.col("text"), F.lit(4 * SAMPLE_BYTES)).alias("text")).limit(SAMPLE_DOCS).collect()
+    # ids first, so that no task sends texts that are not chosen
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    sample = docs.select("doc_id", F.left(F.col("text"), F.lit(4 * SAMPLE_BYTES)).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = sample.orderBy("doc_id", "text").limit(SAMPLE_DOCS).collect()
     raw = encoder(tokenizer_path).encode([r["text"] for r in rows])
     samples = [_narrow(x + END_BYTES)[0][:SAMPLE_BYTES] for x in raw]
     try:
