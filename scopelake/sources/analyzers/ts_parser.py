@@ -410,7 +410,7 @@ class Parser:
             self.skip()
             b = Node("binding", self.at, name=self.word())
             b.end = self.at
-            n.kids.append(Node("parameters", b.start, b.end, [Node("parameter", b.start, b.end, [b], rest=False)], bare=True))
+            n.kids.append(Node("parameters", b.start, b.end, [Node("parameter", b.start, b.end, [b], rest=False, loose=True)], bare=True))
         self.take("=>")
         keep, self.no_in = self.no_in, False
         n.kids.append(self.body() if self.peek() == "{" else self.assignment())
@@ -957,7 +957,7 @@ class Parser:
                 self.take()
                 c = Node("catch", at)
                 if self.maybe("("):
-                    c.kids.append(Node("parameters", self.at, kids=[Node("parameter", self.at, kids=[self.pattern()], rest=False)]))
+                    c.kids.append(Node("parameters", self.at, kids=[Node("parameter", self.at, kids=[self.pattern()], rest=False, loose=True)]))
                     self.annotation()
                     self.take(")")
                 c.kids.append(self.body())
