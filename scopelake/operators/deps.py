@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopelake.functions.text import collapsed_path, suffix
+from scopelake.functions.text import collapsed_path
 
-# Suffixes of assets that never resolve to code, and of code in the order they are tried.
-ASSETS = [".css", ".scss", ".sass", ".less", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".json"]
-CODE = [".ts", ".tsx", ".d.ts"]
+# Suffixes of assets, which never resolve to code, and of code.
+ASSETS = [".css", ".scss", ".sass", ".less", ".styl", ".json", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".bmp", ".avif"]
+CODE = [".js", ".jsx", ".ts", ".tsx", ".d.ts"]
+#: Suffixes in the order they are tried.
+TRIED = [".ts", ".tsx", ".d.ts"]
 
 
 def candidates(target: Column) -> Column:
-    """Paths to try for a resolved specifier, in order of preference."""
-    s = suffix(target)
-    stem = F.regexp_replace(target, r"\.[^./]+$", "")
-    plain = [F.concat(target, F.lit(e)) for e in CODE]
-    by_stem = [F.concat(stem, F.lit(e)) for e in CODE]
+    """Paths to try for a resolved specifier, in order of preference.
+
+    The path itself; then, except for assets, its stem with the suffixes, its whole name
+    with them if its own suffix is unknown, and its index files.
+    """
+    s = F.regexp_extract(target, r"[^/.][^/]*?(\.[^./]+)$", 1)
+    stem = F.when(s != "", F.regexp_replace(target, r"\.[^./]+$", "")).otherwise(target)
+    by_stem = [F.concat(stem, F.lit(e)) for e in TRIED]
+    by_name = [F.concat(target, F.lit(e)) for e in TRIED]
     index = [F.concat(target, F.lit("/index" + e)) for e in (".ts", ".tsx")]
-    known = s.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
     tried = (
-        F.when(s.isNull(), F.array(target, *plain, *index))
-        .when(s.isin(*ASSETS), F.array(target))
-        .when(known, F.array(target, *by_stem, *index))
-        .otherwise(F.array(target, *by_stem, *plain, *index))
+        F.when(s.isin(*ASSETS), F.array(target))
+        .when((s == "") | s.isin(*CODE), F.array(target, *by_stem, *index))
+        .otherwise(F.array(target, *by_stem, *by_name, *index))
     )
     return F.array_distinct(tried)
 
@@ -54,7 +58,9 @@ def expand_aliases(specifiers: DataFrame, aliases: DataFrame) -> DataFrame:
     middle = F.when(wild, F.substr(s, F.length(head) + 1, F.length(s) - F.length(head) - F.length(tail))).otherwise("")
     hit = specifiers.join(a, fits).withColumn("middle", middle)
     out = hit.select("specifier", "ord", "middle", F.posexplode("targets").alias("n", "to"))
-    return out.select("specifier", (F.col("ord") * 1000 + F.col("n")).alias("preference"), F.replace("to", F.lit("*"), "middle").alias("target"))
+    slash = F.when(F.col("to").endswith("/") | F.col("middle").startswith("/") | (F.col("middle") == ""), "").otherwise("/")
+    to = F.when(F.col("to").contains("*"), F.concat(F.substring_index("to", "*", 1), "middle", F.expr("substring(`to`, instr(`to`, '*') + 1)"))).otherwise(F.concat("to", slash, "middle"))
+    return out.select("specifier", (F.col("ord") * 1000 + F.col("n")).alias("preference"), to.alias("target"))
 
 
 def best_alias(expanded: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ FILE_COUNTS = [n for n in FileRow.__dataclass_fields__ if n != "scopes"]
 SCOPE_FIELDS = ["name", "origin_type", "complexity", "nloc", "start_line", "end_line", "parameter_count", "max_nesting_depth", "comment_lines", "todo_count", "ts_type_interface_count", "md_data_url_count"]
 _DOUBLES = {"complexity", "comment_density", "average_function_length"}
 _kind = lambda n: "double" if n in _DOUBLES else "string" if n in ("name", "origin_type") else "long"
-SCOPE_SQL = "array<struct<scope_id:long,parent_scope_id:long,depth:int,body_loc:long," + ",".join(f"{n}:{_kind(n)}" for n in SCOPE_FIELDS) + ">>"
+SCOPE_SQL = "array<struct<scope_id:long,parent_scope_id:long,depth:int,name_path:string,body_loc:long," + ",".join(f"{n}:{_kind(n)}" for n in SCOPE_FIELDS) + ">>"
 SCHEMA = "path string, language string, error string, " + ", ".join(f"{n} {_kind(n)}" for n in FILE_COUNTS) + f", scopes {SCOPE_SQL}"
 
 
@@ -72,15 +72,16 @@ def time_limit(seconds: float):
 def flat_scopes(f: FileRow) -> list[dict]:
     out: list[dict] = []
 
-    def add(s: Scope, parent: int | None, depth: int) -> None:
+    def add(s: Scope, parent: int | None, depth: int, above: str) -> None:
         own = len(out)
         row = {n: getattr(s, n) for n in SCOPE_FIELDS}
-        out.append({"scope_id": own, "parent_scope_id": parent, "depth": depth, "body_loc": body_loc(s), **row, "complexity": float(s.complexity)})
+        names = f"{above}::{s.name}" if above else s.name
+        out.append({"scope_id": own, "parent_scope_id": parent, "depth": depth, "name_path": names, "body_loc": body_loc(s), **row, "complexity": float(s.complexity)})
         for c in s.children:
-            add(c, own, depth + 1)
+            add(c, own, depth + 1, names)
 
     for s in f.scopes:
-        add(s, None, 0)
+        add(s, None, 0, "")
     return out
 
 
@@ -111,7 +112,7 @@ def analyze(files: DataFrame, seconds: float = 10.0) -> DataFrame:
 
 def _arrow_schema() -> pa.Schema:
     kinds = {"double": pa.float64(), "long": pa.int64(), "string": pa.string()}
-    scope = pa.struct([("scope_id", pa.int64()), ("parent_scope_id", pa.int64()), ("depth", pa.int32()), ("body_loc", pa.int64()), *[(n, kinds[_kind(n)]) for n in SCOPE_FIELDS]])
+    scope = pa.struct([("scope_id", pa.int64()), ("parent_scope_id", pa.int64()), ("depth", pa.int32()), ("name_path", pa.string()), ("body_loc", pa.int64()), *[(n, kinds[_kind(n)]) for n in SCOPE_FIELDS]])
     return pa.schema([("path", pa.string()), ("language", pa.string()), ("error", pa.string()), *[(n, kinds[_kind(n)]) for n in FILE_COUNTS], ("scopes", pa.list_(scope))])
 
 
@@ -141,20 +142,22 @@ def nodes(analyzed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         f = f.withColumn(m, F.coalesce(present, F.lit(0)).cast(metric_type(m)))
     name = F.substring_index("path", "/", -1)
 
-    def shaped(df: DataFrame, kind: str, name, parent, start, end) -> DataFrame:
+    def shaped(df: DataFrame, kind: str, node_id, parent, name, start, end) -> DataFrame:
         return df.select(
-            F.lit(kind).alias("node_type"), name.alias("name"), "path", parent.alias("parent"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"),
+            node_id.alias("node_id"), parent.alias("parent"), F.lit(kind).alias("node_type"), name.alias("name"), "path", start.cast("long").alias("start_line"), end.cast("long").alias("end_line"),
             *[(F.col(m) if m in df.columns else F.lit(0)).cast(metric_type(m)).alias(m) for m in FIELDS],
         )
 
-    files = shaped(f, "file", name, parent_path(F.col("path")), F.lit(0), F.lit(0))
-    folders = shaped(rollup_metrics(f), "folder", name, parent_path(F.col("path")), F.lit(0), F.lit(0))
-    s = scopes(analyzed).withColumn("loc", F.col("nloc"))
-    s = s.withColumn("comment_density", F.when(F.col("nloc") > 0, F.col("comment_lines") / F.col("nloc")).otherwise(0.0))
+    zero = F.lit(0)
+    files = shaped(f, "file", F.col("path"), parent_path(F.col("path")), name, zero, zero)
+    folders = shaped(rollup_metrics(f), "folder", F.col("path"), parent_path(F.col("path")), name, zero, zero)
+    s = scopes(analyzed).withColumns({"loc": F.col("nloc"), "comment_density": F.when(F.col("nloc") > 0, F.col("comment_lines") / F.col("nloc")).otherwise(0.0)})
+    key = lambda c: F.concat_ws("::", F.col("path"), F.col(c).cast("string"))
+    s = s.withColumns({"_id": key("scope_id"), "_parent": key("parent_scope_id"), "path": F.concat_ws("::", "path", "name_path")})
+    # eight metrics and the place; the rest stays 0 below files
     kept = ["loc", "complexity", "comment_lines", "comment_density", "max_nesting_depth", "parameter_count", "todo_count", "ts_type_interface_count", "md_data_url_count"]
-    s = s.select("path", "scope_id", "parent_scope_id", "name", "start_line", "end_line", "body_loc", *kept)
-    s = s.withColumn("_file", F.col("path")).withColumn("parent", F.concat_ws("::", "path", F.col("parent_scope_id").cast("string"))).withColumn("path", F.concat_ws("::", "path", F.col("scope_id").cast("string")))
-    own = shaped(s.drop("file_count"), "function", F.col("name"), F.col("parent"), F.col("start_line"), F.col("end_line"))
-    bodies = s.where("body_loc > 0").select(F.col("path").alias("parent"), F.concat("path", F.lit("::(body)")).alias("path"), F.col("body_loc").alias("loc"), "start_line", "end_line")
-    body = shaped(bodies, "function_body", F.lit("(body)"), F.col("parent"), F.col("start_line"), F.col("end_line"))
+    s = s.select("path", "name", "_id", "_parent", "start_line", "end_line", "body_loc", *kept)
+    own = shaped(s, "function", F.col("_id"), F.col("_parent"), F.col("name"), F.col("start_line"), F.col("end_line"))
+    bodies = s.where("body_loc > 0").select(F.concat("_id", F.lit("::(body)")).alias("_body"), "_id", F.concat("path", F.lit("::(body)")).alias("path"), F.col("body_loc").alias("loc"), "start_line", "end_line")
+    body = shaped(bodies, "function_body", F.col("_body"), F.col("_id"), F.lit("(body)"), F.col("start_line"), F.col("end_line"))
     return folders.unionByName(files).unionByName(own).unionByName(body)
