@@ -100,3 +100,55 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_exact_top_k, op2_secret_scans, op3_chat_formatting, op4_warc_segments, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules, pipeline)}
+
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, role || text AS body FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(20 + length(body) + 3 * length(body) - length(replace(body, '<', '')) - length(replace(body, '[', '')) - length(replace(body, '\', ''))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND first IS DISTINCT FROM page_id AS again FROM o)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r"""
+
+RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+p AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+c AS (SELECT k, i FROM p QUALIFY count(*) OVER (PARTITION BY k, tri) > 1),
+r AS (SELECT k, count(DISTINCT i + o) AS n_repeat_words FROM c, (VALUES (0), (1), (2)) AS o(o) GROUP BY k),
+f AS (
+  SELECT d.k, doc_id, text, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+    coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN w USING (k) LEFT JOIN r USING (k)),
+g AS (
+  SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '\p{Lu}')) AS upper,
+    len(regexp_extract_all(text, '(?m)(\.\.\.|…)[ \t\r]*$')) AS dots, len(regexp_extract_all(text, '(?m)^[ \t]*[-*•]')) AS bullets,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * letters < 6 * word_chars
+    OR 2 * upper > letters OR 10 * dots > 3 * greatest(n_lines, 1) OR 10 * bullets > 9 * greatest(n_lines, 1)) AS kept FROM g"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that SQL can express: not tokenizers, models, fingerprints, look-around or dynamic programmes."""
+    return {"op1_exact_top_k": TOP_K, "op3_chat_formatting": CHAT, "op4_warc_segments": WARC, "op10_quality_rules": RULES}
