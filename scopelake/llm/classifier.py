@@ -37,7 +37,7 @@ ALPHA, BETA, L1, L2 = 2.0, 0.05, 0.002, 0.01
 FOLDS, HELD_OUT = 3, 1
 
 _MEMO: dict[bytes, tuple[int, int]] = {}
-_MEMO_ENTRIES = 500_000
+_MEMO_ENTRIES = 150_000
 _UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[^\W\d_A]+"), re.compile(r"\d+")
 
 

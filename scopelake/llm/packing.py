@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scopelake.llm.common import written
-from scopelake.llm.tokens import END_BYTES, bounded_batches, default_tokenizer_path, encoder
+from scopelake.llm.tokens import END_BYTES, bounded_slices, default_tokenizer_path, encoder
 
 CAPACITY = 2048
 #: Groups into which the pieces of one length are dealt for ranking.
@@ -109,10 +109,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         for b in batches:
-            doc, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo, hi in bounded_batches(texts):
+            doc, text = b.column("doc_id"), b.column("text")
+            for lo, hi in bounded_slices(text):
                 rows: list[list] = [[] for _ in columns]
-                for d, raw in zip(doc[lo:hi], coder.encode(texts[lo:hi]), strict=True):
+                for d, raw in zip(doc[lo:hi].to_pylist(), coder.encode(text[lo:hi].to_pylist()), strict=True):
                     raw += END_BYTES
                     n = len(raw) // 4
                     at = 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopelake.llm.common import file_system, shared_folder
-from scopelake.llm.tokens import END_BYTES, bounded_batches, default_tokenizer_path, encoder
+from scopelake.llm.tokens import END_BYTES, bounded_slices, default_tokenizer_path, encoder
 
 MAGIC = b"TOKZSTD1"
 FOOT = "<QQQ8s"
@@ -93,10 +93,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         with fs.open_output_stream(own) as f:
             f.write(MAGIC + digest)
             for b in batches:
-                doc, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                for lo, hi in bounded_batches(texts):
+                doc, text = b.column("doc_id"), b.column("text")
+                for lo, hi in bounded_slices(text):
                     frames = []
-                    for d, raw in zip(doc[lo:hi], coder.encode(texts[lo:hi]), strict=True):
+                    for d, raw in zip(doc[lo:hi].to_pylist(), coder.encode(text[lo:hi].to_pylist()), strict=True):
                         ids, width = _narrow(raw + END_BYTES)
                         frame = squeeze.compress(ids)
                         frames.append(frame)

@@ -53,7 +53,7 @@ class WordMemoEncoder:
     new words are encoded again whenever a batch holds them.
     """
 
-    def __init__(self, path: str, memo_entries: int = 1_200_000, run_chars: int = 500_000):
+    def __init__(self, path: str, memo_entries: int = 800_000, run_chars: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -121,9 +121,10 @@ class WordMemoEncoder:
                 out[i] = b"".join(b"".join(self._library([r])) for r in self._runs(text))
         if not plain:
             return out
-        # words, and newlines as words; _BARE stands before a word that no space precedes
+        # words, newlines, and commas and full stops between a letter and a space; _BARE stands before what no space precedes
         joined = pa.array([_BARE + texts[i] for i in plain], pa.large_string())
-        words = pc.split_pattern(pc.replace_substring(joined, "\n", f" \n {_BARE}"), " ")
+        spaced = pc.replace_substring(joined, "\n", f" \n {_BARE}")
+        words = pc.split_pattern(pc.replace_substring_regex(spaced, r"([\pL\pN])([,.]) ", rf"\1 {_BARE}\2 "), " ")
         coded = words.flatten().dictionary_encode()
         ids, lengths = self._known(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
@@ -159,13 +160,13 @@ def encoder(path: str) -> WordMemoEncoder:
     return _LOADED[path]
 
 
-def bounded_batches(texts: list[str | None], chars: int = 8_000_000):
-    """Index ranges of consecutive texts that together stay near the given size."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= chars:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def bounded_slices(column: pa.Array, size: int = 4_000_000):
+    """Ranges (start, end) of consecutive texts of an Arrow column that together stay near so many bytes."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, end
+        start = end
