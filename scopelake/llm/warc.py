@@ -27,7 +27,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,14 +222,14 @@ def read_archives(spark: SparkSession, paths: list[str], with_payload: bool = Fa
         if rows:
             yield flush()
 
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("segment")
-        first, whole = part.iloc[0], b"".join(part["block"])
-        if list(part["segment"]) != list(range(1, len(part) + 1)) or int(part["total"].iloc[-1]) != len(whole):
+    def join(part: pa.Table) -> pa.Table:
+        rows = sorted(part.to_pylist(), key=lambda r: r["segment"])
+        first, whole = rows[0], b"".join([r["block"] for r in rows])
+        if [r["segment"] for r in rows] != list(range(1, len(rows) + 1)) or rows[-1]["total"] != len(whole):
             raise ValueError(f"{first['origin']}: segments are missing, or their length is not the total")
         payload = _payload(whole, first["digest"])
-        row = {"page_id": first["page_id"], "payload_bytes": len(payload), "payload_digest": first["digest"], "record_type": first["record_type"], "refers_to": None}
-        return pd.DataFrame([row | ({"payload": payload} if with_payload else {})]).astype({"page_id": "Int64", "refers_to": "Int64"})
+        out = {"page_id": pa.array([first["page_id"]], pa.int64()), "payload_bytes": pa.array([len(payload)], pa.int64()), "payload_digest": [first["digest"]], "record_type": [first["record_type"]], "refers_to": pa.array([None], pa.int64())}
+        return pa.table(out | ({"payload": pa.array([payload], pa.binary())} if with_payload else {}))
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
     seen = written(files.mapInArrow(parse, SEEN_SQL), "warc-records")
@@ -238,7 +237,7 @@ def read_archives(spark: SparkSession, paths: list[str], with_payload: bool = Fa
         "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", *[F.col("block").alias("payload")] * with_payload
     )
     # a group is one payload
-    joined = seen.where("segment IS NOT NULL").groupBy("origin").applyInPandas(join, shape)
+    joined = seen.where("segment IS NOT NULL").groupBy("origin").applyInArrow(join, shape)
     return whole.unionByName(joined)
 
 

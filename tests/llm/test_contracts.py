@@ -357,9 +357,9 @@ def test_fit_of_large_budgets():
     lengths = np.unique(rng.integers(1, 20_000, 3000))
     counts = rng.integers(1, 5000, len(lengths))
     total = int((lengths * counts).sum())
-    for goal in (total // 3, total // 2 + 1, total - 5):
+    for goal, near in ((total // 3, 1), (total // 2 + 1, 1), (total - 5, 20_000)):  # nearly all: few are left to choose from
         take = mixing.fit(lengths, counts, goal)
-        assert ((take >= 0) & (take <= counts)).all() and 0 <= goal - int((lengths * take).sum()) < 10
+        assert ((take >= 0) & (take <= counts)).all() and 0 <= goal - int((lengths * take).sum()) < near
 
 
 # classifier
@@ -458,7 +458,7 @@ def test_missing_segments_are_an_error(spark, tmp_path):
         if ok:
             assert warc.read_archives(spark, [f"file://{path}"]).first()["payload_bytes"] == 9000
         else:
-            with pytest.raises(Exception, match="segments|NoneType|nan|NA"):
+            with pytest.raises(Exception, match="segments are missing"):
                 warc.read_archives(spark, [f"file://{path}"]).collect()
 
 
