@@ -550,3 +550,169 @@ def events_session(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.unix_micros(F.col("w.start")).alias("start_us"), "n")
+
+
+# interactive views
+
+
+@query("""WITH n AS (SELECT 'folder' AS kind, n_name AS name, CAST(count(*) AS BIGINT) AS v FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL UNION ALL SELECT 'file', s_name, CAST(s_suppkey % 7 AS BIGINT) FROM supplier)
+SELECT name, CAST(row_number() OVER (ORDER BY kind <> 'folder', v DESC, lower(name)) AS INT) AS place FROM n ORDER BY kind <> 'folder', v DESC, lower(name) LIMIT 40""")
+def explorer_sort(spark, sf):
+    from scopelake.operators.explorer import explorer_order
+
+    s = table(spark, sf, "supplier")
+    folders = s.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("v")).withColumn("kind", F.lit("folder"))
+    n = folders.unionByName(s.select(F.lit("file").alias("kind"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).cast("long").alias("v")))
+    order = explorer_order(F.col("kind"), F.col("v"), F.col("name"))
+    return n.orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("name", "place")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT coalesce(parent, 'none') AS parent, CAST(count(*) FILTER (type = 'export') AS BIGINT) AS export, CAST(count(*) FILTER (type = 'file') AS BIGINT) AS file FROM n WHERE parent IS NOT NULL GROUP BY parent")
+def child_counts(spark, sf):
+    from scopelake.operators.explorer import child_counts as counts
+
+    return counts(part_graph(spark, sf)[0], "parent", "type", ["export", "file"])
+
+
+@query(f"""WITH {GRAPH_SQL}, x AS (SELECT source, count(DISTINCT target) AS fan FROM e WHERE source LIKE '%/x' GROUP BY 1) SELECT source AS target, CAST(fan AS BIGINT) AS in_degree FROM x WHERE fan > 5""")
+def export_super_nodes(spark, sf):
+    _, e = part_graph(spark, sf)
+    used = e.where(F.col("source").endswith("/x")).select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return deps.super_nodes(used, 5, distinct_sources=True)
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT parent, string_agg(substr(id, -1), ',' ORDER BY id) AS exports, CAST(count(*) AS BIGINT) AS n FROM n WHERE type = 'export' GROUP BY parent""")
+def sidebar_groups(spark, sf):
+    nodes = part_graph(spark, sf)[0].withColumn("label", F.substring("id", -1, 1))
+    return deps.exports_by_file(nodes, "X").select("parent", F.array_join("exports", ",").alias("exports"), "n")
+
+
+@query("""WITH n AS (SELECT *, lag(k) OVER w AS b FROM (SELECT *, CASE event_type WHEN 'view' THEN 'if' WHEN 'click' THEN 'else' WHEN 'purchase' THEN 'try' ELSE 'catch' END AS k FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, CASE WHEN (k = 'else' AND b IN ('if', 'else')) OR (k = 'catch' AND b IN ('try', 'catch')) THEN 0 ELSE 1 END AS new FROM n)
+SELECT event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS g FROM g""")
+def control_flow_groups(spark, sf):
+    from scopelake.operators.explorer import chain_groups as groups
+
+    kind = F.when(F.col("event_type") == "view", "if").when(F.col("event_type") == "click", "else").when(F.col("event_type") == "purchase", "try").otherwise("catch")
+    e = table(spark, sf, "events").withColumns({"kind": kind, "o": F.struct("ts", "event_id")})
+    return groups(e, "user_id", "o", "kind").select("event_id", F.col("group").cast("long").alias("g"))
+
+
+@query(f"WITH RECURSIVE {GEO_SQL} SELECT node AS node_id, CAST(min(distance) AS INT) AS file_depth FROM c WHERE ancestor LIKE 'n%' GROUP BY node UNION ALL SELECT node_id, 0 FROM g WHERE node_id LIKE 'n%' UNION ALL SELECT node_id, -1 FROM g WHERE node_id LIKE 'r%'")
+def relative_depth(spark, sf):
+    from scopelake.operators.explorer import relative_depth as depth
+
+    n = geo_nodes(spark, sf).withColumn("node_type", F.when(F.col("node_id").startswith("n"), "file").otherwise("x"))
+    own = n.select(F.col("node_id").alias("node"), F.col("node_id").alias("ancestor"), F.lit(0).alias("distance"))
+    return depth(n, geo_closure(n).unionByName(own)).select("node_id", F.coalesce("file_depth", F.lit(-1)).alias("file_depth"))
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size <= 5 THEN 0 WHEN p_size <= 20 THEN (p_size - 5) / 15.0::DOUBLE WHEN p_size <= 40 THEN 1 + (p_size - 20) / 20.0::DOUBLE ELSE 2 END, 6) AS position FROM part""")
+def colour_scale(spark, sf):
+    from scopelake.operators.explorer import colour_position
+
+    return table(spark, sf, "part").select("p_partkey", F.round(colour_position(F.col("p_size").cast("double"), [5.0, 20.0, 40.0]), 6).alias("position"))
+
+
+@query("""SELECT p_partkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:,.1f}', b / 1024.0::DOUBLE) || ' KB' ELSE format('{:,.1f}', b / 1048576.0::DOUBLE) || ' MB' END AS shown FROM (SELECT p_partkey, p_partkey * p_size * 37 AS b FROM part WHERE p_partkey % 2 = 1 AND p_size % 2 = 1)""")
+def byte_sizes(spark, sf):
+    p = table(spark, sf, "part").where("p_partkey % 2 = 1 AND p_size % 2 = 1")
+    return p.select("p_partkey", T.byte_size(F.col("p_partkey") * F.col("p_size") * 37).alias("shown"))
+
+
+# analyzers, on sources written here; the SQL states what they must give
+
+TS_SOURCE = """import { join as j } from "path";
+const top = 1;
+
+export function outer(p: number) {
+  const local = p + top;
+  function inner() {
+    console.log(local);
+    return local + p + top + j("a", "b") + missing;
+  }
+  if (p && local) { return inner(); }
+  return [1, 2].map((x) => x ?? 0);
+}
+"""
+PY_SOURCE = "import os\n\nclass K:\n    def m(self, a=1):\n        # TODO\n        if a and self:\n            return [x for x in a]\n\nf = lambda q: q\n"
+SCSS_SOURCE = "@mixin m($a) {\n  x: $a;\n}\n.s {\n  @include m(1);\n  .t { y: z }\n}\n"
+MD_SOURCE = "# A\n\n> said\n\n## B\n\n![x](data:image/png;base64,AA)\n"
+
+
+def sources(spark: SparkSession, *rows: tuple[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(rows), "path string, content string")
+
+
+def scopes_of(spark: SparkSession, path: str, text: str) -> DataFrame:
+    from scopelake.sources.analyze import analyze, scopes
+
+    return scopes(analyze(sources(spark, (path, text)))).select("name", "complexity", "start_line", "end_line", "parameter_count")
+
+
+def golden(columns: str, *rows: tuple) -> str:
+    shown = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT" for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {shown}) AS t({columns})"
+
+
+SCOPE_COLUMNS = "name, complexity, start_line, end_line, parameter_count"
+
+
+@query(golden(SCOPE_COLUMNS, ("(imports)", 0.0, 1, 1, 0), ("outer", 3.0, 4, 12, 1), ("inner", 1.0, 6, 9, 0), ("map(ƒ)", 2.0, 11, 11, 1)))
+def ts_scopes(spark, sf):
+    return scopes_of(spark, "a.ts", TS_SOURCE)
+
+
+@query(golden(SCOPE_COLUMNS, ("(imports)", 0.0, 1, 1, 0), ("(class) K", 1.0, 3, 7, 0), ("m", 3.0, 4, 7, 2), ("(lambda)", 1.0, 9, 9, 1)))
+def py_scopes(spark, sf):
+    return scopes_of(spark, "a.py", PY_SOURCE)
+
+
+@query(golden(SCOPE_COLUMNS, ("@mixin m($a)", 0.0, 1, 3, 0), (".s", 0.0, 4, 7, 0), (".t", 0.0, 6, 6, 0)))
+def css_scopes(spark, sf):
+    return scopes_of(spark, "a.scss", SCSS_SOURCE)
+
+
+@query(golden(SCOPE_COLUMNS, ("# A", 0.0, 1, 7, 0), ("> said", 0.0, 3, 3, 0), ("## B", 0.0, 5, 7, 0), ("data-url image/png;base64", 0.0, 7, 7, 0)))
+def md_scopes(spark, sf):
+    return scopes_of(spark, "a.md", MD_SOURCE)
+
+
+@query(golden("name, line, category", ("console", 7, "builtin"), ("local", 7, "capture"), ("local", 8, "capture"), ("p", 8, "param"), ("top", 8, "module"), ("j", 8, "importExternal"), ("missing", 8, "unresolved")))
+def focus_overlay(spark, sf):
+    from scopelake.sources.flow import overlay
+
+    return overlay(sources(spark, ("a.ts", TS_SOURCE)), (7, 8)).select("name", "line", "category")
+
+
+@query(golden("name, declared, captured", ("global@1", "outer,top", ""), ("block@10", "", "inner"), ("outer", "inner,local,p", ""), ("inner", "", "local,p"), ("function@11", "x", "")))
+def scope_graph(spark, sf):
+    from scopelake.sources.flow import scope_graph as graph
+
+    return graph(sources(spark, ("a.ts", TS_SOURCE))).select("name", F.array_join("declared", ",").alias("declared"), F.array_join("captured", ",").alias("captured"))
+
+
+@query(golden("type, n", ("data", 10)))
+def data_flow_edges(spark, sf):
+    from scopelake.sources.flow import data_flow
+
+    return data_flow(sources(spark, ("a.ts", TS_SOURCE)))[1].groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(golden("source, target, edge_kind", ("a.ts", "u/b.ts", "import"), ("u/b.ts::b", "a.ts", "export"), ("a.ts", "react", "external"), ("a.ts", "lib/c.ts", "import")))
+def dependency_graph(spark, sf):
+    from scopelake.sources.modules import dependency_graph as graph
+    from scopelake.sources.modules import scan_modules
+
+    files = sources(spark, ("a.ts", 'import { b } from "./u/b";\nimport r from "react";\nimport { nothing } from "@l/c";\nimport "./gone";\n'), ("u/b.ts", "export const b = 1;\n"), ("lib/c.ts", "export default 1;\n"))
+    aliases = spark.createDataFrame([(0, "@l/*", ["lib/*"])], "ord int, pattern string, targets array<string>")
+    return graph(scan_modules(files), "", aliases)[1].select("source", "target", "edge_kind")
+
+
+@query()
+def documents_as_files(spark, sf):
+    """Every document through the Markdown analyzer: the cost of one Arrow pass over whole texts."""
+    from scopelake.sources.analyze import analyze
+
+    d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
+    return analyze(d).select("path", "loc", "function_count", "md_data_url_count", "error")

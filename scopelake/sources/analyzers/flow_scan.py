@@ -26,7 +26,7 @@ class Flow:
         self.defs: list[dict] = []
         self.usages: list[dict] = []
         self.order = 0
-        root = self.scope("global", self.tree, None, "global")
+        root = self.scope("global", self.tree, None, "global" if view == "flow" else "")
         self.scopes[root]["start_line"], self.scopes[root]["end_line"] = 1, text.count("\n") + 1
         for k, at in zip(self.tree.kids, places(self.tree, Place(), text), strict=False):
             self.visit(k, at, root, self.tree, "")
@@ -72,7 +72,7 @@ class Flow:
         if n.kind == "block":
             return self.block(parent)
         if n.kind == "catch":
-            return "catch", "catch"
+            return "catch", "catch" if self.view == "flow" else ""
         if self.view == "focus":
             return None
         if n.kind == "class":
@@ -93,7 +93,7 @@ class Flow:
                 return "if_branch", "then"
             if parent.kind == "else":
                 return "else_branch", "else"
-        return "block", "block"
+        return "block", "block" if self.view == "flow" else ""
 
     # the walk
 
