@@ -57,7 +57,10 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def choose_pivots(x: DataFrame, m: float, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """Lifted pivots, farthest first from the sample (the first by a hash of the vector)."""
-    rows = x.orderBy(F.xxhash64("v"), "vec_id").select("v", "norm2").limit(sample).collect()
+    # ids first, so that no task sends vectors that are not chosen
+    keyed = x.withColumn("h", F.xxhash64("v"))
+    chosen = keyed.select("h", "vec_id").orderBy("h", "vec_id").limit(sample).distinct()
+    rows = keyed.join(F.broadcast(chosen), ["h", "vec_id"]).orderBy("h", "vec_id").select("v", "norm2").limit(sample).collect()
     lifted = np.array([[*r["v"], np.sqrt(max(0.0, m - r["norm2"]))] for r in rows])
     chosen, far = [0], ((lifted - lifted[0]) ** 2).sum(1)
     while len(chosen) < min(pivots, len(lifted)) and far.max() > 0:
