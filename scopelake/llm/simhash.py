@@ -9,12 +9,13 @@
    are found by a search that drops every fingerprint from the open set once it is
    reached: only a spanning forest leaves the task, never all pairs, and a dense group
    is absorbed in a few passes.  Connectivity is exactly that of all verified pairs.
-5. Components come from rounds of large-star / small-star over the links, each round
-   written to the shared folder.
+5. Components come from the links: in one task up to a counted bound, beyond it from
+   rounds of large-star / small-star, each written to the shared folder.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is
 linked like any other.  Repeated rows have equal results.  Rows with a null doc_id are
-fingerprinted and linked; they name a component only if it has no other doc_id.  Extra
+fingerprinted and linked; the component_id of a group without any doc_id is null.  Doc_ids
+are taken to lie below 2**62, and rows with one doc_id are one document.  Extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -25,10 +26,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import written
+from scopelake.llm.common import arrow_rows, written
 
 SHINGLE_WORDS, SEED, DISTANCE, BLOCKS = 4, 42, 4, 7
 #: Hashes whose bits are counted at a time.
@@ -69,87 +70,132 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(one, "doc_id long, fp long")
 
 
-def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (smallest of each tree, other) of the graph of close pairs of distinct fingerprints."""
-    open_ = np.sort(fps)
+def _forest(fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (first of each tree, other) of the graph of close pairs; fps: rows of 64-bit words."""
     heads, tails = [], []
-    while len(open_) > 1:
-        root, open_ = open_[0], open_[1:]
-        frontier = [root]
-        while frontier and len(open_):
-            at = frontier.pop()
-            close = np.bitwise_count(open_ ^ at) <= distance
+    while len(ids) > 1:
+        root, frontier = ids[0], [fps[0]]
+        fps, ids = fps[1:], ids[1:]
+        while frontier and len(ids):
+            close = np.bitwise_count(fps ^ frontier.pop()).sum(axis=1) <= distance
             if close.any():
-                got = open_[close]
-                heads.append(np.full(len(got), root))
-                tails.append(got)
-                frontier += list(got)
-                open_ = open_[~close]
-    if not heads:
-        return fps[:0], fps[:0]
-    return np.concatenate(heads), np.concatenate(tails)
+                heads.append(np.full(int(close.sum()), root))
+                tails.append(ids[close])
+                frontier += list(fps[close])
+                fps, ids = fps[~close], ids[~close]
+    return (np.concatenate(heads), np.concatenate(tails)) if heads else (ids[:0], ids[:0])
 
 
 def _links(keyed: DataFrame, distance: int) -> DataFrame:
-    """keyed (k, fp) sorted by k within its partitions -> links a, b."""
+    """keyed (k, id, fp as long or binary) sorted by k within its partitions -> links a, b between ids."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        key = None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the key that may go on
 
-        def links(groups: list[np.ndarray]) -> pa.RecordBatch | None:
-            found = [_forest(g.view(np.uint64), distance) for g in groups]
-            a = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64)
-            if not len(a):
-                return None
-            b = np.concatenate([x[1] for x in found])
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def links(k: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edges = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+            shared = np.flatnonzero(np.diff(edges) > 1)
+            found = [_forest(fps[x:y], ids[x:y], distance) for x, y in zip(edges[shared].tolist(), edges[shared + 1].tolist(), strict=True)]
+            found = [f for f in found if len(f[0])]
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "fp"))
-            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-            edges = np.concatenate(([0], cuts, [len(k)]))
-            groups = []
-            if key is not None and k[0] != key:
-                if sum(map(len, held)) > 1:
-                    groups.append(np.concatenate(held))
-                held = []
-            if len(edges) == 2:
-                held.append(fp.copy())
-            else:
-                held.append(fp[: edges[1]].copy())
-                if sum(map(len, held)) > 1:
-                    groups.append(np.concatenate(held))
-                sizes = np.diff(edges)
-                groups += [fp[edges[i] : edges[i + 1]] for i in np.flatnonzero(sizes[1:-1] > 1) + 1]
-                held = [fp[edges[-2] :].copy()]
-            key = k[-1]
-            if groups and (out := links(groups)) is not None:
-                yield out
-        if sum(map(len, held)) > 1 and (out := links([np.concatenate(held)])) is not None:
-            yield out
+            k, ids = batch.column("k").to_numpy(), batch.column("id").to_numpy()
+            fp = batch.column("fp")
+            wide = np.frombuffer(b"".join(fp.to_pylist()), np.uint64) if pa.types.is_binary(fp.type) else fp.to_numpy().view(np.uint64)
+            held.append((k.copy(), ids.copy(), wide.reshape(len(k), -1).copy()))
+            if held[0][0][0] == k[-1]:
+                continue
+            k, ids, fps = (np.concatenate(c) for c in zip(*held, strict=True))
+            last = len(k) - int(np.argmax(k[::-1] != k[-1]))
+            yield from links(k[:last], ids[:last], fps[:last])
+            held = [(k[last:], ids[last:], fps[last:])]
+        if held:
+            yield from links(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return keyed.mapInArrow(stream, "a long, b long")
 
 
+#: Names of nodes whose documents all lack a doc_id lie above this; doc_ids lie below.
+NAMELESS = 1 << 62
+
+
+def _named_or_null() -> Column:
+    return F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id")
+
+
+def _stand_in(of: str) -> Column:
+    return F.xxhash64(of).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NAMELESS)
+
+
+def _nodes(prints: DataFrame) -> DataFrame:
+    """fp, id: the distinct fingerprints, each with the smallest doc_id that has it."""
+    return prints.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("id", F.coalesce("id", _stand_in("fp")))
+
+
+def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame, *keep: str) -> DataFrame:
+    """prints with component_id: the smallest node of a component, which is its smallest doc_id or NAMELESS and more.
+
+    Copies share a fingerprint: the many rows of one are dealt out over salts.
+    """
+    salts = 16
+    root = F.coalesce("root", "id")
+    named = nodes.join(roots, nodes.id == roots.node, "left").select("fp", root.alias("component_id"))
+    many = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    return salted.join(many, ["fp", "salt"]).select("doc_id", *keep, "component_id")
+
+
 def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Links a, b (distinct) that connect the distinct fingerprints (fp) as all close pairs do."""
+    """Links a, b (distinct, between ids) that connect the distinct fingerprints (id, fp) as all close pairs do."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(blocks)]
     chosen = [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - distance)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in chosen]
     # the number of the choice goes into the hash of the key; a chance collision only adds a pair to verify
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    keyed = fps.select("fp", F.explode(keys).alias("k")).repartition("k").sortWithinPartitions("k")
+    keyed = fps.select("id", "fp", F.explode(keys).alias("k")).repartition("k").sortWithinPartitions("k")
     return _links(keyed, distance).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node of each component (signed order) for every linked node."""
-    spark = links.sparkSession
+#: Links (16 bytes each) that one task may join by itself.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of the links of one task, by union-find with the smaller node as root."""
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+    nodes, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    root = list(range(len(nodes)))
+    for x, y in zip(place[: len(u)].tolist(), place[len(u) :].tolist(), strict=True):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    for x in range(len(root)):  # roots are smaller than what they hold
+        root[x] = root[root[x]]
+    linked = np.flatnonzero(np.array(root) != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[np.array(root)[linked]])], names=["node", "root"])
+
+
+def components(links: DataFrame, most_rounds: int = 60, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+    """node, root: the smallest node of each component (signed order) for every node that is not it.
+
+    Up to one_task_links links, counted first, are joined in one task (not the driver);
+    beyond it rounds of large-star / small-star do it without any bound.
+    """
     both = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    if both.count() <= one_task_links:
+        return both.repartition(1).mapInArrow(_united, "node long, root long")
     seen = None
     for _ in range(most_rounds):
         # large star: every larger neighbour is linked to the smallest neighbour
@@ -169,24 +215,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = tuple(state)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return both.select(F.col("u").alias("node"), F.col("v").alias("root")) if both is not None else spark.createDataFrame([], "node long, root long")
+    return both.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, distance: int = DISTANCE, blocks: int = BLOCKS
 ) -> DataFrame:
     """doc_id, fp, component_id, one row per input row; component_id is the smallest doc_id reachable."""
-    prints = written(fingerprints(docs, shingle_words, seed), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(close_links(nodes, distance, blocks))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    # copies share a fingerprint: the many rows of one are dealt out over salts
-    salts = 16
-    many = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(many, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    with arrow_rows(docs.sparkSession):
+        prints = written(fingerprints(docs, shingle_words, seed), "fingerprints")
+    nodes = written(_nodes(prints), "nodes")
+    found = _named(prints, nodes, components(close_links(nodes, distance, blocks)), "fp")
+    return found.select("doc_id", "fp", _named_or_null())
 
 
 def wide_fingerprint(text: str | None, words: int, shingle_words: int, seed: int) -> bytes:
@@ -215,27 +255,8 @@ def wide_fingerprint(text: str | None, words: int, shingle_words: int, seed: int
     return np.packbits(2 * ones > len(s), bitorder="little").tobytes()
 
 
-def _wide_forest(fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """As _forest, for rows of several 64-bit words; links are between ids."""
-    heads, tails = [], []
-    while len(ids) > 1:
-        root, frontier = ids[0], [fps[0]]
-        fps, ids = fps[1:], ids[1:]
-        while frontier and len(ids):
-            at = frontier.pop()
-            close = np.bitwise_count(fps ^ at).sum(axis=1) <= distance
-            if close.any():
-                heads.append(np.full(int(close.sum()), root))
-                tails.append(ids[close])
-                frontier += list(fps[close])
-                fps, ids = fps[~close], ids[~close]
-    if not heads:
-        return ids[:0], ids[:0]
-    return np.concatenate(heads), np.concatenate(tails)
-
-
 def similar_documents(
-    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = SEED, words: int = 16, block_bits: int = 18, verify_words: int = 4
+    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = SEED, words: int = 16, block_bits: int = 18, verify_words: int = 4, nameless: bool = False
 ) -> DataFrame:
     """doc_id, component_id for texts whose shingle sets are alike to a Jaccard similarity of about ``similarity``.
 
@@ -244,7 +265,8 @@ def similar_documents(
     fingerprint is ``64 * words`` bits, cut into blocks of ``block_bits``; a pair at 0.85
     shares one of the 56 blocks with a chance of 0.99, one at 0.8 with 0.95.  What shares
     a block is verified by Hamming distance over ``64 * verify_words`` bits, against the
-    expected distance at ``similarity`` and 1.6 standard deviations.
+    expected distance at ``similarity`` and 1.6 standard deviations.  With ``nameless``,
+    groups without a doc_id keep a number above NAMELESS as component_id.
     """
     cosine = 2 * similarity / (1 + similarity)
     part, bits = float(np.arccos(cosine) / np.pi), 64 * verify_words
@@ -268,51 +290,24 @@ def similar_documents(
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * verify_words), len(held), [None, pa.py_buffer(held.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, blocks)), flat.cast(pa.binary())], names=["k", "id", "fp"])
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        key = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if sum(len(i) for i, _ in held) > 1:
-                a, b = _wide_forest(np.concatenate([f for _, f in held]), np.concatenate([i for i, _ in held]), distance)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, ids = batch.column("k").to_numpy(), batch.column("id").to_numpy()
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
-            edges = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
-            if key is not None and k[0] != key:
-                yield from close()
-                held = []
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if x:
-                    yield from close() if len(held) > 1 or len(held[0][0]) > 1 else ()
-                    held = []
-                held.append((ids[x:y], fps[x:y]))
-            key = k[-1]
-        yield from close()
-
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(text.mapInArrow(prints, "doc_id long, fp binary"), "wide-fingerprints")
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.coalesce("least", F.xxhash64("fp"))), "nodes")
+    with arrow_rows(docs.sparkSession):
+        found = written(text.mapInArrow(prints, "doc_id long, fp binary"), "wide-fingerprints")
+    nodes = written(_nodes(found), "nodes")
     keyed = nodes.select("id", "fp").mapInArrow(keys, "k long, id long, fp binary").repartition("k").sortWithinPartitions("k")
-    roots = components(keyed.mapInArrow(links, "a long, b long").distinct())
-    rooted = nodes.join(roots, nodes.id == roots.node, "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # only fingerprints of documents that are not their own node need a second look; copies are dealt over salts
-    salts = 16
-    many = rooted.join(names, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(many, ["fp", "salt"]).select("doc_id", "component_id")
+    named = _named(found, nodes, components(_links(keyed, distance).distinct()))
+    return named if nameless else named.select("doc_id", _named_or_null())
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (repeated rows: one of them)."""
-    found = similar_documents(docs, **how).withColumnRenamed("doc_id", "_id")
-    kept = found.where("_id = component_id OR component_id IS NULL").select("_id").distinct()
-    kept = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
-    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*docs.columns)
+    """docs with one row of each component: that of the smallest doc_id (repeated rows: one of them).
+
+    Rows without a doc_id are known by their text here: they go where a row with one is
+    alike, and otherwise one row of each group of them stays.
+    """
+    known = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), _stand_in("text")))
+    found = similar_documents(known.select(F.col("__id").alias("doc_id"), "text"), nameless=True, **how)
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = known.join(stays, F.col("__id") == F.col("__kept"), "left_semi")
+    one = Window.partitionBy("__id").orderBy(*[F.col(c) for c in docs.columns])
+    return kept.withColumn("__one", F.row_number().over(one)).where("__one = 1").select(*docs.columns)

@@ -260,8 +260,8 @@ def test_links_survive_the_pigeonhole_blocks(spark):
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for b in base for n in (1, 3, 4, 5, 6)]
     every = sorted({*map(int, base), *near})
-    df = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f,) for f in every], "fp long")
-    got = {frozenset((r["a"] % (1 << 64), r["b"] % (1 << 64))) for r in simhash.close_links(df).collect()}
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >= 1 << 63 else f) for i, f in enumerate(every)], "id long, fp long")
+    got = {frozenset((every[r["a"]], every[r["b"]])) for r in simhash.close_links(df).collect()}
     comp = components(every, lambda a, b: (a ^ b).bit_count() <= 4)
     joined = components(every, lambda a, b: frozenset((a, b)) in got)
     assert comp == joined
@@ -269,8 +269,10 @@ def test_links_survive_the_pigeonhole_blocks(spark):
 
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (-5, 300)], "a long, b long")
-    got = dict(map(tuple, simhash.components(links).collect()))
-    assert got == {**{i: 0 for i in range(1, 201)}, 1001: 1000, 300: -5}
+    for bound in (0, 1000):
+        got = dict(map(tuple, simhash.components(links, one_task_links=bound).collect()))
+        assert got == {**{i: 0 for i in range(1, 201)}, 1001: 1000, 300: -5}
+        assert simhash.components(links.where("a = b"), one_task_links=bound).count() == 0
 
 
 def test_like_documents_go_and_others_stay(spark):
@@ -296,6 +298,12 @@ def test_like_documents_go_and_others_stay(spark):
     assert kept == {d for d, _ in rows} - gone
 
 
+def test_rows_without_doc_id_are_kept_by_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    df = spark.createDataFrame([(None, a, 1), (None, a, 2), (None, b, 3), (5, b, 4), (None, None, 5), (None, "", 6)], "doc_id long, text string, id int")
+    assert sorted((r["doc_id"] is not None, r["text"] or "") for r in simhash.keep_one(df).collect()) == [(False, ""), (False, a), (True, b)]
+
+
 # mixing
 
 
@@ -514,6 +522,20 @@ def test_query_equals_sql(spark, sf, name):
     assert plain(got) == plain(want)
 
 
+def test_pipeline_stages_on_awkward_rows(spark, sf, docs, empty):
+    import corpus_pipeline
+    from scopelake.llm.common import written
+
+    clash = ["score", "predicted", "copies", "size", "fp", "k", "h", "kind", "start", "count", "rank", "salt", "component_id"]
+    for df in (docs, empty):
+        df = df.drop("n", "k").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long"), **{c: F.lit(None).cast("string") for c in clash}})
+        for name, stage in corpus_pipeline.STAGES:
+            out = written(stage(spark, df, sf), name)
+            assert out.columns == (df.columns if name != corpus_pipeline.STAGES[-1][0] else out.columns)
+            df = out
+        assert df.count() == 0 or {"doc_id", "piece", "sequence_id"} <= set(df.columns)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
     from scopelake.llm.common import written
