@@ -21,8 +21,8 @@ from scopelake.llm.common import table, written
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights, bias = classifier.train(docs, table(spark, sf_dir, "labels"))
-    scored = classifier.score(docs.select(*docs.columns), weights, bias, keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = classifier.score(docs, weights, bias, keep=docs.columns, names=("__score", "__predicted"))
+    return scored.where("__predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

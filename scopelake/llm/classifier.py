@@ -37,7 +37,7 @@ ALPHA, BETA, L1, L2 = 2.0, 0.05, 0.002, 0.01
 FOLDS, HELD_OUT = 3, 1
 
 _MEMO: dict[bytes, tuple[int, int]] = {}
-_MEMO_ENTRIES = 150_000
+_MEMO_ENTRIES = 60_000
 _UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[^\W\d_A]+"), re.compile(r"\d+")
 
 
@@ -130,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits:
     return (np.frombuffer(rows[0]["w"], np.float32), rows[0]["b"]) if rows else (none, 0.0)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (doc_id by default) with score and predicted."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns keep of docs (doc_id by default) with score and predicted, under names that keep does not have."""
     bits = int(len(weights)).bit_length() - 1
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 4 * 2 ** bits bytes
@@ -146,9 +146,9 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | N
                 dots[i] = 4 * w[c].sum() / len(c) if len(c) else 0.0
             s = 1 / (1 + np.exp(-np.clip(bias + dots, -35, 35)))
             columns = [*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    schema = docs.select(*keep).schema.add("score", DoubleType()).add("predicted", IntegerType())
+    schema = docs.select(*keep).schema.add(names[0], DoubleType()).add(names[1], IntegerType())
     return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, schema)
 
 

@@ -174,6 +174,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken (repeated doc_ids: each id's rows alike)."""
     picked = mix(docs, weights, share, most, seed).where("copies > 0")
-    picked = picked.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    out = docs.join(picked, docs.doc_id.eqNullSafe(F.col("_id")))
-    return out.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    picked = picked.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
+    out = docs.join(picked, docs.doc_id.eqNullSafe(F.col("__id")))
+    return out.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)

@@ -31,9 +31,9 @@ HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: Weak parts.
-ACCOUNT = r"""\b(?:[uU][sS][eE][rR](?:_?[nN][aA][mM][eE]|_?[iI][dD])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[kK][eE][yY]_?[iI][dD])["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
+ACCOUNT = r"""(?<![A-Za-z0-9_])(?:[uU][sS][eE][rR](?:_?[nN][aA][mM][eE]|_?[iI][dD])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[kK][eE][yY]_?[iI][dD])["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
 RANDOM = r"(?<![A-Za-z0-9+/_])(?=[A-Za-z0-9+/]{0,40}[0-9])(?=[A-Za-z0-9+/]{0,40}[A-Z])(?=[A-Za-z0-9+/]{0,40}[a-z])[A-Za-z0-9+/]{16,}={0,2}"
-ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b"
+ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<![A-Za-z0-9_])[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![A-Za-z0-9_])"
 #: Code points within which complementary parts belong together.
 SCOPE = 200
 
@@ -123,31 +123,31 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "<SECRET>") -> DataF
 
     Overlapping and touching spans become one mask; n_chars, where there, is counted anew.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    plain = keyed.select(F.col("_key").alias("doc_id"), "text")
-    found = find_spans(plain, scope).where(F.col("kind").isNotNull()).select(F.col("doc_id").alias("_key"), "start", "end").distinct()
-    order = Window.partitionBy("_key").orderBy("start", "end")
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    plain = keyed.select(F.col("__key").alias("doc_id"), "text")
+    found = find_spans(plain, scope).where(F.col("kind").isNotNull()).select(F.col("doc_id").alias("__key"), "start", "end").distinct()
+    order = Window.partitionBy("__key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-    found = found.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = found.groupBy("_key", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = merged.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = keyed.join(spans, "_key", "left")
-    n = F.size("_spans")
+    found = found.withColumn("__new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    found = found.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = found.groupBy("__key", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = merged.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    joined = keyed.join(spans, "__key", "left")
+    n = F.size("__spans")
     pieces = F.transform(
-        "_spans",
+        "__spans",
         lambda x, i: F.concat(
             F.substring(
                 F.col("text"),
-                F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)).cast("int") + 1,
-                (x["start"] - F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0))).cast("int"),
+                F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0)).cast("int") + 1,
+                (x["start"] - F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))).cast("int"),
             ),
             F.lit(mask),
         ),
     )
-    rest = F.expr("substring(text, cast(element_at(_spans, -1).end as int) + 1)")
-    text = F.when(F.col("_spans").isNotNull() & (n > 0), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
+    rest = F.expr("substring(text, cast(element_at(__spans, -1).end as int) + 1)")
+    text = F.when(F.col("__spans").isNotNull() & (n > 0), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import file_system, shared_folder
+from scopelake.llm.common import arrow_rows, file_system, shared_folder
 from scopelake.llm.tokens import END_BYTES, bounded_slices, default_tokenizer_path, encoder
 
 MAGIC = b"TOKZSTD1"
@@ -117,7 +117,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = skinny.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     manifest, first = [], 0
-    for r in sorted(ordered.mapInArrow(write, "shard long, docs long, ids long").collect()):  # one row per shard
+    with arrow_rows(docs.sparkSession):
+        shards = ordered.mapInArrow(write, "shard long, docs long, ids long").collect()  # one row per shard
+    for r in sorted(shards):
         manifest.append({"shard": r["shard"], "path": f"{folder}/shard-{r['shard']:05d}.tok", "docs": r["docs"], "ids": r["ids"], "first": first})
         first += r["ids"]
     return manifest

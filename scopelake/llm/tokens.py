@@ -53,7 +53,7 @@ class WordMemoEncoder:
     new words are encoded again whenever a batch holds them.
     """
 
-    def __init__(self, path: str, memo_entries: int = 800_000, run_chars: int = 500_000):
+    def __init__(self, path: str, memo_entries: int = 400_000, run_chars: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
