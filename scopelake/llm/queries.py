@@ -149,6 +149,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 2 * upper > letters OR 10 * dots > 3 * greatest(n_lines, 1) OR 10 * bullets > 9 * greatest(n_lines, 1)) AS kept FROM g"""
 
 
+def _secrets_sql() -> str:
+    """Gaps and matches of each pattern in turn; RE2 has no look-around, so random tokens are taken from whole runs."""
+    from scopelake.llm.secrets import ACCESS, ACCOUNT, ASSIGN, ENDPOINT, KINDS, SCOPE
+
+    plain = lambda p: p.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b").replace("'", "''")
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": "[0-9a-f]{24,}", "account": ACCOUNT, "random": "[A-Za-z0-9+/_]+={0,2}", "endpoint": ENDPOINT}
+    every = " UNION ALL ".join(
+        f"SELECT k, '{kind}' AS raw, string_split_regex(text, '{plain(p)}') AS g, regexp_extract_all(text, '{plain(p)}') AS m, "
+        f"{f"regexp_extract_all(text, '{plain(p)}', 2)" if kind == 'assign' else 'NULL::VARCHAR[]'} AS v FROM d"
+        for kind, p in patterns.items()
+    )
+    rank = "list_position([" + ", ".join(f"'{k}'" for k in KINDS) + "], kind)"
+    near = lambda part: (
+        f"coalesce(s - max(CASE WHEN {part} THEN e END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {SCOPE}, false) "
+        f"OR coalesce(min(CASE WHEN {part} THEN s END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - e <= {SCOPE}, false)"
+    )
+    identifier, secret = "kind IN ('access', 'account', 'short_access')", "kind IN ('assign', 'hex', 'random', 'short_assign')"
+    shown = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, " + rank + ")"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({every}),
+u AS (SELECT k, raw, unnest(range(1, len(m) + 1)) AS n, g, m, v FROM a WHERE len(m) > 0),
+x AS (SELECT k, raw, n, length(g[n]) AS gap, m[n] AS m, v[n] AS v FROM u),
+p AS (SELECT *, sum(gap + length(m)) OVER (PARTITION BY k, raw ORDER BY n) - length(m) AS s FROM x),
+q AS (SELECT k, raw, v, CAST(s AS BIGINT) AS s, CASE WHEN raw = 'random' THEN regexp_extract(m, '^[A-Za-z0-9+/]*={{0,2}}') ELSE m END AS m FROM p),
+r AS (
+  SELECT k, s, s + length(m) AS e, CASE WHEN raw = 'assign' AND length(v) < 6 THEN 'short_assign' WHEN raw = 'access' AND length(m) < 20 THEN 'short_access' ELSE raw END AS kind FROM q
+  WHERE raw <> 'random' OR (length(rtrim(m, '=')) >= 16 AND regexp_matches(left(rtrim(m, '='), 41), '[0-9]') AND regexp_matches(left(rtrim(m, '='), 41), '[A-Z]') AND regexp_matches(left(rtrim(m, '='), 41), '[a-z]'))),
+l AS (SELECT *, {near(identifier)} AS near_id, {near(secret)} AS near_secret FROM r WINDOW w AS (PARTITION BY k ORDER BY s, e, kind)),
+f AS (
+  SELECT * FROM l WHERE CASE WHEN kind IN ('account', 'short_access') THEN near_secret WHEN kind IN ('short_assign', 'random') THEN near_id WHEN kind = 'endpoint' THEN near_id AND near_secret ELSE true END)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce({shown} FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256, coalesce({shown}, '') AS spans
+FROM d LEFT JOIN f USING (k) GROUP BY k, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express: not tokenizers, models, fingerprints, look-around or dynamic programmes."""
-    return {"op1_exact_top_k": TOP_K, "op3_chat_formatting": CHAT, "op4_warc_segments": WARC, "op10_quality_rules": RULES}
+    return {"op1_exact_top_k": TOP_K, "op2_secret_scans": _secrets_sql(), "op3_chat_formatting": CHAT, "op4_warc_segments": WARC, "op10_quality_rules": RULES}
