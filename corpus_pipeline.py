@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scopelake.llm import classifier, mixing, packing, secrets, simhash
-from scopelake.llm.common import table, written
+from scopelake.llm.common import arrow_rows, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights, bias = classifier.train(docs, table(spark, sf_dir, "labels"))
     scored = classifier.score(docs, weights, bias, keep=docs.columns, names=("__score", "__predicted"))
-    return scored.where("__predicted = 1").select(*docs.columns)
+    with arrow_rows(spark):  # whole rows go through Python: small batches, so written here
+        return written(scored.where("__predicted = 1").select(*docs.columns), "classified")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

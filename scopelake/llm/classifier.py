@@ -139,17 +139,18 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.astype(np.float64)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(keep.index("text") if "text" in keep else b.num_columns - 1).to_pylist()
             dots = np.empty(len(texts))
             for i, t in enumerate(texts):
                 c = cells(t, bits)
                 dots[i] = 4 * w[c].sum() / len(c) if len(c) else 0.0
             s = 1 / (1 + np.exp(-np.clip(bias + dots, -35, 35)))
-            columns = [*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+            columns = [*b.columns[: len(keep)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     schema = docs.select(*keep).schema.add(names[0], DoubleType()).add(names[1], IntegerType())
-    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, schema)
+    text = [] if "text" in keep else [F.col("text").cast("string").alias("_scored")]
+    return docs.select(*keep, *text).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS, epochs: int = EPOCHS) -> DataFrame:
