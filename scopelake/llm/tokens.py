@@ -53,7 +53,7 @@ class WordMemoEncoder:
     new words are encoded again whenever a batch holds them.
     """
 
-    def __init__(self, path: str, memo_entries: int = 400_000, run_chars: int = 500_000):
+    def __init__(self, path: str, memo_entries: int = 700_000, run_chars: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -160,7 +160,7 @@ def encoder(path: str) -> WordMemoEncoder:
     return _LOADED[path]
 
 
-def bounded_slices(column: pa.Array, size: int = 4_000_000):
+def bounded_slices(column: pa.Array, size: int = 8_000_000):
     """Ranges (start, end) of consecutive texts of an Arrow column that together stay near so many bytes."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
