@@ -22,7 +22,8 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from fractions import Fraction
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -229,53 +230,124 @@ def near_duplicates(
     return found.select("doc_id", "fp", _named_or_null())
 
 
-def wide_fingerprint(text: str | None, words: int, shingle_words: int, seed: int) -> bytes:
-    """A fingerprint of 64 * words bits; each shingle's hash is mixed anew for every 64."""
+def shingle_hashes(text: str | None, shingle_words: int, seed: int) -> np.ndarray:
+    """The 64-bit hashes of the distinct shingles, sorted; a shorter text is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(tokens), len(tokens)
     if n <= shingle_words:
-        s, e = [0], [len(joined)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        s, e = starts[: n - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist()
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    s, e = starts[: n - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[x:y], seed) for x, y in zip(s, e, strict=True)), np.uint64, len(s)))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """A fingerprint of 64 * words bits of a set of shingles; each hash is mixed anew for every 64."""
     odd = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(s), 4096):
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(s[at : at + 4096], e[at : at + 4096], strict=True)], np.uint64)
-        m = h[:, None] + odd
+    for at in range(0, len(hashes), 4096):
+        m = hashes[at : at + 4096, None] + odd
         m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         bits = np.unpackbits((m ^ (m >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(s), bitorder="little").tobytes()
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def _alike(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (first of each tree, other) of the graph of sets whose Jaccard similarity is at least ``similarity``.
+
+    Exact for every pair.  A set that is reached leaves the open ones; a tree starts at the
+    set whose shingles are the most common, so a dense group is absorbed in a few passes.
+    """
+    heads, tails = [], []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids, sizes, flat = ids[sizes > 0], sizes[sizes > 0], np.concatenate(sets)
+    names, flat = np.unique(flat, return_inverse=True)
+    marked = np.zeros(len(names), bool)
+    common = np.bincount(flat, minlength=len(names))
+    while len(ids) > 1:
+        starts = np.cumsum(sizes) - sizes
+        first = int(np.argmax(np.add.reduceat(common[flat], starts) / sizes))
+        root, frontier = ids[first], [flat[starts[first] : starts[first] + sizes[first]]]
+        stay = np.arange(len(ids)) != first
+        while True:
+            flat, ids, sizes = flat[np.repeat(stay, sizes)], ids[stay], sizes[stay]
+            if not frontier or not len(ids):
+                break
+            own = frontier.pop()
+            marked[own] = True
+            starts = np.cumsum(sizes) - sizes
+            both = np.add.reduceat(marked[flat], starts, dtype=np.int64)
+            marked[own] = False
+            close = similarity.denominator * both >= similarity.numerator * (len(own) + sizes - both)
+            if close.any():
+                heads.append(np.full(int(close.sum()), root))
+                tails.append(ids[close])
+                frontier += [flat[starts[i] : starts[i] + sizes[i]] for i in np.flatnonzero(close)]
+            stay = ~close
+    return (np.concatenate(heads), np.concatenate(tails)) if heads else (ids[:0], ids[:0])
+
+
+def _verified(text: DataFrame, loose: DataFrame, shingle_words: int, seed: int, similarity: float) -> DataFrame:
+    """Links a, b that connect the texts of each loose component (node, root) as all its pairs at ``similarity`` or more do.
+
+    Only texts of components of two and more are hashed again; a component is one task's.
+    """
+    least = Fraction(str(similarity))
+    members = loose.select(F.col("node").alias("doc_id"), F.col("root").alias("c")).union(loose.select("root", F.col("root").alias("c")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingle_hashes(t.as_py(), shingle_words, seed).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("doc_id"), pa.array(held, pa.binary())], names=["c", "id", "held"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column("c").to_pylist(), b.column("id").to_pylist(), b.column("held").to_pylist(), strict=True))
+        for _, of in groupby(rows, key=lambda r: r[0]):
+            group = [(i, np.frombuffer(h, np.uint64)) for _, i, h in of]
+            a, b = _alike(np.array([i for i, _ in group], np.int64), [h for _, h in group], least)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    hashed = text.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(sets, "c long, id long, held binary")
+    with arrow_rows(text.sparkSession, 500):
+        return written(hashed.repartition("c").sortWithinPartitions("c").mapInArrow(links, "a long, b long"), "verified")
 
 
 def similar_documents(
     docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = SEED, words: int = 16, block_bits: int = 18, verify_words: int = 4, nameless: bool = False
 ) -> DataFrame:
-    """doc_id, component_id for texts whose shingle sets are alike to a Jaccard similarity of about ``similarity``.
-
-    A Jaccard similarity of 0.8 is a cosine of 0.89 and leaves 15 % of SimHash bits
-    different, 10 of 64: no block of a 64-bit fingerprint is then sure to agree.  So the
-    fingerprint is ``64 * words`` bits, cut into blocks of ``block_bits``; a pair at 0.85
-    shares one of the 56 blocks with a chance of 0.99, one at 0.8 with 0.95.  What shares
-    a block is verified by Hamming distance over ``64 * verify_words`` bits, against the
-    expected distance at ``similarity`` and 1.6 standard deviations.  With ``nameless``,
-    groups without a doc_id keep a number above NAMELESS as component_id.
+    """doc_id, component_id for texts linked by a Jaccard similarity of their shingle sets of at least ``similarity``.
+
+    Candidates come from fingerprints.  A Jaccard similarity of 0.8 is a cosine of 0.89 and
+    leaves 15 % of SimHash bits different, 10 of 64: no block of a 64-bit fingerprint is
+    then sure to agree.  So the fingerprint of the distinct shingles is ``64 * words`` bits,
+    cut into blocks of ``block_bits``; a pair at 0.85 shares one of the 56 blocks with a
+    chance of 0.99, one at 0.8 with 0.95.  What shares a block and lies within the expected
+    Hamming distance at ``similarity`` and 3 standard deviations, over ``64 * verify_words``
+    bits, is a candidate.  Every link is then verified on the shingle sets of the whole
+    texts (as 64-bit hashes), for all pairs of a component of candidates: no link is below
+    ``similarity``.  One text is one node whatever its copies: nodes are equal shingle sets.
+    A component of candidates is held by one task, 8 bytes a distinct shingle.  With
+    ``nameless``, groups without a doc_id keep a number above NAMELESS as component_id.
     """
     cosine = 2 * similarity / (1 + similarity)
     part, bits = float(np.arccos(cosine) / np.pi), 64 * verify_words
-    distance = int(bits * part + 1.6 * np.sqrt(bits * part * (1 - part)))
-    blocks = 64 * words // block_bits
+    distance = int(bits * part + 3 * np.sqrt(bits * part * (1 - part)))
+    blocks, wide = 64 * words // block_bits, 8 * words
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for b in batches:
-            fp = [wide_fingerprint(t.as_py(), words, shingle_words, seed) for t in b.column("text")]
+            sets = [shingle_hashes(t.as_py(), shingle_words, seed) for t in b.column("text")]
+            fp = [wide_fingerprint(h, words) + xxh3_128_digest(h.tobytes()) for h in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,20 +355,21 @@ def similar_documents(
             for lo in range(0, b.num_rows, 1000):
                 c = b.slice(lo, 1000)
                 ids = c.column("id").to_numpy()
-                raw = np.frombuffer(b"".join(c.column("fp").to_pylist()), np.uint8).reshape(len(ids), -1)
+                raw = np.frombuffer(b"".join(c.column("fp").to_pylist()), np.uint8).reshape(len(ids), -1)[:, :wide]
                 cut = np.unpackbits(raw, axis=1, bitorder="little")[:, : blocks * block_bits].reshape(len(ids), blocks, block_bits)
                 key = (cut.astype(np.int64) << np.arange(block_bits)).sum(axis=2) + (np.arange(blocks) << block_bits)
                 held = np.repeat(raw[:, : 8 * verify_words], blocks, axis=0)
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * verify_words), len(held), [None, pa.py_buffer(held.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, blocks)), flat.cast(pa.binary())], names=["k", "id", "fp"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), _stand_in("text")).alias("doc_id"), F.col("text").cast("string").alias("text"))
     with arrow_rows(docs.sparkSession):
         found = written(text.mapInArrow(prints, "doc_id long, fp binary"), "wide-fingerprints")
     nodes = written(_nodes(found), "nodes")
     keyed = nodes.select("id", "fp").mapInArrow(keys, "k long, id long, fp binary").repartition("k").sortWithinPartitions("k")
-    named = _named(found, nodes, components(_links(keyed, distance).distinct()))
-    return named if nameless else named.select("doc_id", _named_or_null())
+    loose = components(_links(keyed, distance).distinct())
+    named = _named(found, nodes, components(_verified(text, loose, shingle_words, seed, similarity)))
+    return named if nameless else named.select(F.when(F.col("doc_id") < NAMELESS, F.col("doc_id")).alias("doc_id"), _named_or_null())
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -315,6 +315,42 @@ def test_like_documents_go_and_others_stay(spark):
     assert kept == {d for d, _ in rows} - gone
 
 
+def five_word_sets(texts):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def components_by_jaccard(rows):
+    """{doc_id: smallest doc_id} by comparing every two shingle sets exactly."""
+    sets = five_word_sets([t for _, t in rows])
+    alike = lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    comp, least = components(range(len(rows)), alike), {}
+    for c, (d, _) in zip(comp, rows, strict=True):
+        least[c] = min(d, least.get(c, d))
+    return {d: least[c] for c, (d, _) in zip(comp, rows, strict=True)}
+
+
+def test_like_documents_equal_brute_force(spark, sf):
+    df = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("doc_id", "text")
+    assert dict(map(tuple, simhash.similar_documents(df).collect())) == components_by_jaccard(local(df))
+
+
+def test_documents_below_the_similarity_stay(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):  # 35 or 40 of 246 shingles changed: a similarity of 0.75 or 0.72
+        w = [f"w{x}" for x in rng.integers(0, 5000, 250)]
+        v = list(w)
+        for j in range(10, 10 + 30 * (7 + i % 2), 30):
+            v[j] = "changed"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    often = " ".join(["a b c d e"] * 200)  # one text's repeated passage outweighs all else of it
+    rows += [(1000, often + " " + " ".join(f"x{i}" for i in range(50))), (1001, often + " " + " ".join(f"y{i}" for i in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(components_by_jaccard(rows).items()) == {(d, d) for d, _ in rows}
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {d for d, _ in rows}
+
+
 def test_rows_without_doc_id_are_kept_by_text(spark):
     a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
     df = spark.createDataFrame([(None, a, 1), (None, a, 2), (None, b, 3), (5, b, 4), (None, None, 5), (None, "", 6)], "doc_id long, text string, id int")
