@@ -620,6 +620,12 @@ def byte_sizes(spark, sf):
     return p.select("p_partkey", T.byte_size(F.col("p_partkey") * F.col("p_size") * 37).alias("shown"))
 
 
+@query("""SELECT p_partkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:,.1f}', b / 1024.0::DOUBLE) || ' KB' ELSE format('{:,.1f}', b / 1048576.0::DOUBLE) || ' MB' END AS shown FROM (SELECT p_partkey, p_partkey * p_size * 37 AS b FROM part)""")
+def byte_sizes_all(spark, sf):
+    """Every part; exact halves go to the even digit in both."""
+    return table(spark, sf, "part").select("p_partkey", T.byte_size(F.col("p_partkey") * F.col("p_size") * 37).alias("shown"))
+
+
 # analyzers, on sources written here; the SQL states what they must give
 
 TS_SOURCE = """import { join as j } from "path";
