@@ -567,6 +567,20 @@ def explorer_sort(spark, sf):
     return n.orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("name", "place")
 
 
+@query("""WITH n AS (SELECT 'folder' AS kind, n_name AS name, CAST(count(*) AS BIGINT) AS v FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL UNION ALL SELECT 'file', s_name, CAST(s_suppkey % 7 AS BIGINT) FROM supplier)
+SELECT name, CAST(row_number() OVER (ORDER BY kind <> 'folder', v DESC, lower(name)) AS INT) AS place FROM n""")
+def explorer_sort_all(spark, sf):
+    """Every row with its place: a range sort, no task sees them all."""
+    from scopelake.operators.explorer import explorer_order
+
+    s = table(spark, sf, "supplier")
+    folders = s.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("v")).withColumn("kind", F.lit("folder"))
+    n = folders.unionByName(s.select(F.lit("file").alias("kind"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).cast("long").alias("v")))
+    _, *then = explorer_order(F.col("kind"), F.col("v"), F.col("name"))
+    ranked = rank.all_ranked(n.withColumn("is_folder", F.col("kind") == "folder"), *then, by="is_folder")
+    return ranked.select("name", F.col("rank").cast("int").alias("place"))
+
+
 @query(f"WITH {GRAPH_SQL} SELECT coalesce(parent, 'none') AS parent, CAST(count(*) FILTER (type = 'export') AS BIGINT) AS export, CAST(count(*) FILTER (type = 'file') AS BIGINT) AS file FROM n WHERE parent IS NOT NULL GROUP BY parent")
 def child_counts(spark, sf):
     from scopelake.operators.explorer import child_counts as counts
