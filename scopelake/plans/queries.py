@@ -507,6 +507,14 @@ def not_builtin(spark, sf):
     return flow.unresolved_counts(w, spark.createDataFrame([(s,) for s in STOP], "name string"))
 
 
+@query(f"""WITH w AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS name FROM documents)
+SELECT name, CAST(count(*) AS BIGINT) AS count FROM w WHERE name <> '' AND name NOT IN ({", ".join(repr(s) for s in STOP)}) GROUP BY name ORDER BY count DESC, name LIMIT 20""")
+def not_builtin_all(spark, sf):
+    """The words of documents in every language."""
+    w = table(spark, sf, "documents").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("name")).where("name <> ''")
+    return flow.unresolved_counts(w, spark.createDataFrame([(s,) for s in STOP], "name string"))
+
+
 @query("""SELECT o_orderkey AS key, CAST(l_linenumber AS INT) AS line, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS n_defs, CAST(count(*) FILTER (l_returnflag <> 'R') AS BIGINT) AS n_usages FROM (SELECT l_partkey % 100 AS o_orderkey, * FROM lineitem) GROUP BY ALL HAVING count(*) FILTER (l_returnflag = 'R') > 0 AND count(*) FILTER (l_returnflag <> 'R') > 0""")
 def line_buckets(spark, sf):
     l = table(spark, sf, "lineitem").select((F.col("l_partkey") % 100).alias("scope"), F.col("l_linenumber").alias("line"), "l_returnflag")
