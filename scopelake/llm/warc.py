@@ -14,10 +14,15 @@ Continuations are grouped by origin identifier, ordered by segment number, check
 against the total length and freed of the chunked framing.  Every payload's digest is
 computed anew and compared with the record's.
 
+Record identifiers hold the page, the digest, the writing task and a running number, so
+no two records share one.  A revisit refers to its original by page and digest alone, the
+beginning of the original's identifier.
+
 Defined results: a null html is the empty payload.  Pages with the smallest page_id of
 their payload are responses, also when the row is repeated.  A null page_id never is
 the original of a page that has an id; if all copies lack one they are all responses.
-Extra columns are ignored; an empty table gives no rows.
+Payloads of any length are written whole, in segments.  Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -139,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
         from pyspark import TaskContext
 
         part, fs, top = TaskContext.get().partitionId(), *file_system(folder)
-        out, own, size, names, before, again = None, "", 0, [], None, 0
+        out, own, size, names, made = None, "", 0, [], 0
 
         def close() -> None:
             out.close()
@@ -148,10 +153,8 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
 
         for b in batches:
             for page, url, payload, digest, original in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "original")), strict=True):
-                # equal rows are neighbours: the repeats get names of their own
-                again = again + 1 if before == (page, digest) else 0
-                before = page, digest
-                name = f"urn:page:{page}:{digest[:32]}" + (f":{again}" if again else "")
+                # the writing task and a running number: repeated rows are records of their own, wherever they lie
+                name, made = f"urn:page:{page}:{digest[:32]}:{part}:{made}", made + 1
                 refers = None if original is None else f"urn:page:{original}:{digest[:32]}"
                 if out is None:
                     own, size = f"{top}/.{uuid.uuid4().hex}", 0
