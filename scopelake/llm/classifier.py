@@ -8,15 +8,18 @@ any other column of the document.
 
 Training reads a bounded sample: at most ``per_class`` labelled documents of each class
 outside the held-out fold, the first by a hash of their doc_id.  Their ids (a bounded
-number) are broadcast to one scan of the documents; the sample is then learned from in
-one task, in the order of that hash, ``epochs`` times.  Each update follows the
-regularised leader: per-coordinate steps and an L1 term that leaves rare cells at zero.
+number) are broadcast to one scan of the documents, which turns whole texts into vectors
+where they lie; the vectors are then learned from in one task, in the order of that
+hash, ``epochs`` times, up to ``most_cells`` entries (12 bytes each).  Each update follows
+the regularised leader: per-coordinate steps and an L1 term that leaves rare cells at zero.
 The weights (4 bytes a cell) are the only thing that goes to the driver and back out.
 
 Defined results: a null, empty or blank text has no features and gets the score of the
-bias.  A doc_id labelled more than once counts as its highest label; null labels do not
-count.  Without labels of both classes every score is the share of label 1 (0.5 without
-labels).  Repeated rows get equal scores; extra columns are ignored.
+bias.  A doc_id labelled more than once counts as its highest label, one with several
+rows is one example; null labels do not count.  Without labels of both classes every
+score is the share of label 1 (0.5 without labels).  Texts of any length are scored whole.
+Equal scores and repeated rows stay as they are; extra columns are ignored
+(keep_predicted: kept); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+from scopelake.llm.common import arrow_rows, located, mark, write_marks
+
 PER_CLASS, BITS, EPOCHS = 3000, 18, 3
+#: Bound of the sample in memory: entries of all its vectors.
+MOST_CELLS = 20_000_000
 #: FTRL-proximal: step, its offset, L1, L2.
 ALPHA, BETA, L1, L2 = 2.0, 0.05, 0.002, 0.01
 FOLDS, HELD_OUT = 3, 1
@@ -108,16 +115,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS, epochs: int = EPOCHS, most_cells: int = MOST_CELLS) -> tuple[np.ndarray, float]:
     """(weights, bias) from a bounded sample of the labels outside the held-out fold."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     first = [known.where(c).orderBy("h", "doc_id").limit(per_class) for c in ("y > 0", "y <= 0")]
-    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id")  # 2 * per_class rows at most
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(first[0].union(first[1])), "doc_id")  # 2 * per_class ids at most
     none = np.zeros(1 << bits, np.float32)
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, y, text in zip(*(b.column(c) for c in ("h", "y", "text")), strict=True):
+                cell, value = vector(text.as_py(), bits)
+                yield pa.RecordBatch.from_pydict({"h": pa.array([h.as_py()]), "y": pa.array([y.as_py()], pa.int32()), "cells": [cell.astype("<i4").tobytes()], "held": [value.tobytes()]})
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(*vector(t, bits), int(y > 0)) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        seen, held = [], 0
+        for b in batches:
+            for y, cell, value in zip(*(b.column(c).to_pylist() for c in ("y", "cells", "held")), strict=True):
+                held += len(cell) // 4
+                if held <= most_cells:
+                    seen.append((np.frombuffer(cell, "<i4"), np.frombuffer(value), int(y > 0)))
         if {y for _, _, y in seen} == {0, 1}:
             w, bias = ftrl(seen, bits, epochs)
         else:
@@ -125,8 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits:
             w, bias = none, float(np.log(share / (1 - share)))
         yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "b": [bias]})
 
+    made = sample.select("h", "y", "text").mapInArrow(vectors, "h long, y int, cells binary, held binary")
+    single = made.groupBy("h").agg(F.min(F.struct("y", "cells", "held")).alias("x"))  # a doc_id's rows leave their tasks as one
     # one task: the order of the examples is part of the method, and their number is bounded
-    rows = sample.select("text", "y", "h").repartition(1).sortWithinPartitions("h").select("text", "y").mapInArrow(learn, "w binary, b double").collect()
+    with arrow_rows(docs.sparkSession, 500):
+        rows = single.repartition(1).sortWithinPartitions("h").select("x.*").mapInArrow(learn, "w binary, b double").collect()
     return (np.frombuffer(rows[0]["w"], np.float32), rows[0]["b"]) if rows else (none, 0.0)
 
 
@@ -157,3 +178,13 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bit
     """doc_id, held_out, score, predicted for every row of docs."""
     w, bias = train(docs, labels, per_class, bits, epochs)
     return score(docs, w, bias).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def keep_predicted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of docs that are predicted to have label 1, as they are; only their places leave the scoring tasks."""
+    w, bias = train(docs, labels, per_class, bits, epochs)
+    placed = located(docs)
+    good = score(placed, w, bias, keep=["__file", "__row"]).where("predicted = 1").select("__file", "__row", F.lit(1).cast("long").alias("kept"))
+    with arrow_rows(docs.sparkSession):
+        folder = write_marks(good, "classified")
+    return mark(placed, folder, "__kept").where("__kept = 1").select(*docs.columns)
