@@ -6,18 +6,22 @@ address - are reported only where their complements lie within ``scope`` code po
 an identifier needs a secret, a secret needs an identifier, an endpoint needs both.
 
 Matches and the gaps between them are taken inside the row (one split and one
-extraction per pattern); texts are dropped before anything is shuffled.  Starts are
+extraction per pattern); texts are dropped before anything is shuffled.  Only redaction
+carries a row that holds a match along, with its first part.  Starts are
 running sums over (row, kind).  The interval join of parts with complements is a sweep
 over the parts of a row in order of start: the nearest complement on either side
 decides whether the widened intervals meet, so no pairs are made.
 
 Defined results: a null text is the empty text and has no spans.  Offsets are in code
-points, end exclusive.  Repeated rows give repeated results; a null doc_id is kept;
-extra columns are ignored.
+points, end exclusive.  Equal starts are in the order of KINDS.  Texts of any length are
+scanned whole.  Repeated rows give repeated results; a null doc_id is kept; extra columns
+are ignored (redact: kept as they are); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +36,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: Weak parts.
 ACCOUNT = r"""(?<![A-Za-z0-9_])(?:[uU][sS][eE][rR](?:_?[nN][aA][mM][eE]|_?[iI][dD])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[kK][eE][yY]_?[iI][dD])["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
-RANDOM = r"(?<![A-Za-z0-9+/_])(?=[A-Za-z0-9+/]{0,40}[0-9])(?=[A-Za-z0-9+/]{0,40}[A-Z])(?=[A-Za-z0-9+/]{0,40}[a-z])[A-Za-z0-9+/]{16,}={0,2}"
+RANDOM = r"(?<![A-Za-z0-9+/_])(?=[A-Za-z0-9+/]{16})(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{16,}={0,2}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<![A-Za-z0-9_])[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![A-Za-z0-9_])"
 #: Code points within which complementary parts belong together.
 SCOPE = 200
@@ -62,14 +66,16 @@ def _matches(kind: str, pattern: str) -> Column:
     return F.when(text.rlike(pattern), numbered)
 
 
-def _parts(docs: DataFrame) -> DataFrame:
-    """One row per part: row_id, doc_id, kind, start, end; rows without parts have null kinds."""
-    a = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def _parts(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row per part: row_id, doc_id, kind, start, end; rows without parts have null kinds.  keep: only on one part of a row."""
+    a = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
     arrays = [_matches(k, p).alias(f"_{k}") for k, p in PATTERNS.items()]
-    a = a.select("row_id", "doc_id", *arrays)
+    a = a.select("row_id", "doc_id", *keep, *arrays)
     none = F.array().cast(PART)
     parts = F.concat(*[F.coalesce(F.col(f"_{k}").cast(PART), none) for k in PATTERNS])
-    a = a.select("row_id", "doc_id", F.explode_outer(parts).alias("x")).select("row_id", "doc_id", "x.*").repartition("row_id")
+    a = a.select("row_id", "doc_id", *keep, F.posexplode_outer(parts).alias("at", "x"))
+    first = [F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c) for c in keep]
+    a = a.select("row_id", "doc_id", *first, "x.*").repartition("row_id")
     w = Window.partitionBy("row_id", "raw").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     a = a.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(w)).withColumn("start", F.col("end") - F.col("len"))
     kind = (
@@ -77,12 +83,12 @@ def _parts(docs: DataFrame) -> DataFrame:
         .when((F.col("raw") == "access") & (F.col("len") < LEAST_ACCESS), "short_access")
         .otherwise(F.col("raw"))
     )
-    return a.select("row_id", "doc_id", kind.alias("kind"), "start", "end")
+    return a.select("row_id", "doc_id", *keep, kind.alias("kind"), "start", "end")
 
 
-def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """row_id, doc_id, kind, start, end of every reported span; a row with nulls where there is none."""
-    p = _parts(docs)
+def find_spans(docs: DataFrame, scope: int = SCOPE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, doc_id, kind, start, end of every reported span; rows with nulls for what is not reported, one at least."""
+    p = _parts(docs, *keep)
     k = F.col("kind")
     identifier = k.isin("access", "account", "short_access")
     secret = k.isin("assign", "hex", "random", "short_assign")
@@ -103,7 +109,7 @@ def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         .when(k == "endpoint", F.col("near_id") & F.col("near_secret"))
         .otherwise(F.lit(True))
     )
-    return p.select("row_id", "doc_id", F.when(weak, k).alias("kind"), F.when(weak, start).alias("start"), F.when(weak, end).alias("end"))
+    return p.select("row_id", "doc_id", *keep, F.when(weak, k).alias("kind"), F.when(weak, start).alias("start"), F.when(weak, end).alias("end"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -123,16 +129,18 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "<SECRET>") -> DataF
 
     Overlapping and touching spans become one mask; n_chars, where there, is counted anew.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    plain = keyed.select(F.col("__key").alias("doc_id"), "text")
-    found = find_spans(plain, scope).where(F.col("kind").isNotNull()).select(F.col("doc_id").alias("__key"), "start", "end").distinct()
-    order = Window.partitionBy("__key").orderBy("start", "end")
+    hit = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in PATTERNS.values()]), F.lit(False))
+    clean = docs.where(~hit)
+    held = docs.where(hit).select(F.lit(None).cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("__held"))
+    found = find_spans(held, scope, ("__held",))
+    order = Window.partitionBy("row_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("__new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
     found = found.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = found.groupBy("__key", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = merged.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    joined = keyed.join(spans, "__key", "left")
+    row = F.first("__held", ignorenulls=True).alias("__held")
+    merged = found.groupBy("row_id", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), row)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    joined = merged.groupBy("row_id").agg(F.sort_array(F.collect_list(span)).alias("__spans"), row).select("__spans", "__held.*")
     n = F.size("__spans")
     pieces = F.transform(
         "__spans",
@@ -146,8 +154,8 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "<SECRET>") -> DataF
         ),
     )
     rest = F.expr("substring(text, cast(element_at(__spans, -1).end as int) + 1)")
-    text = F.when(F.col("__spans").isNotNull() & (n > 0), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    masked = joined.withColumn("text", F.when(n > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:  # after the text has its value: a lambda is not evaluated twice in one projection
+        counted = F.when(n > 0, F.length("text")).otherwise(F.col("n_chars"))
+        masked = masked.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
+    return clean.union(masked.select(*docs.columns))
