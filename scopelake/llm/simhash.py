@@ -1,7 +1,7 @@
 """SimHash near-duplicate detection by pigeonhole blocks.
 
 1. Every document gets a 64-bit fingerprint of its word shingles (Arrow batches, numpy).
-2. Documents with equal fingerprints are one node; its name is the smallest doc_id.
+2. Documents with equal fingerprints are one node, which the fingerprint itself names.
 3. A fingerprint is cut into ``blocks`` parts.  Two fingerprints that differ in at most
    ``distance`` bits agree on at least ``blocks - distance`` whole parts, so every choice
    of that many parts is a join key and any close pair meets under at least one.
@@ -14,9 +14,9 @@
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is
 linked like any other.  Repeated rows have equal results.  Rows with a null doc_id are
-fingerprinted and linked; the component_id of a group without any doc_id is null.  Doc_ids
-are taken to lie below 2**62, and rows with one doc_id are one document.  Extra
-columns are ignored; an empty table gives no rows.
+fingerprinted and linked; the component_id of a group without any doc_id is null.  Very
+long texts are hashed whole, in steps.  Extra columns are ignored (keep_one: kept as they
+are); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,30 +27,32 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import arrow_rows, written
+from scopelake.llm.common import arrow_rows, located, mark, marks_at, write_marks, written
 
 SHINGLE_WORDS, SEED, DISTANCE, BLOCKS = 4, 42, 4, 7
 #: Hashes whose bits are counted at a time.
 _STEP = 1 << 18
 
 
-def fingerprint_bytes(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The fingerprint of one text as an unsigned 64-bit number."""
-    from xxhash import xxh64_intdigest
-
+def _shingles(text: str | None, shingle_words: int) -> tuple[bytes, list[int], list[int]]:
+    """(lower-cased words joined by spaces, starts, ends of the shingles in it); fewer words are one shingle, none have none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = len(words)
+    joined, n = b" ".join(words), len(words)
     if n <= shingle_words:
-        return xxh64_intdigest(joined, seed)
+        return joined, [0] * bool(n), [len(joined)] * bool(n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    s, e = starts[: n - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist()
+    return joined, starts[: n - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist()
+
+
+def fingerprint_bytes(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The fingerprint of one text as an unsigned 64-bit number."""
+    from xxhash import xxh64_intdigest
+
+    joined, s, e = _shingles(text, shingle_words)
     total = len(s)
     ones = np.zeros(64, np.int64)
     for at in range(0, total, _STEP):
@@ -121,34 +123,20 @@ def _links(keyed: DataFrame, distance: int) -> DataFrame:
     return keyed.mapInArrow(stream, "a long, b long")
 
 
-#: Names of nodes whose documents all lack a doc_id lie above this; doc_ids lie below.
-NAMELESS = 1 << 62
-
-
-def _named_or_null() -> Column:
-    return F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id")
-
-
-def _stand_in(of: str) -> Column:
-    return F.xxhash64(of).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NAMELESS)
-
-
-def _nodes(prints: DataFrame) -> DataFrame:
-    """fp, id: the distinct fingerprints, each with the smallest doc_id that has it."""
-    return prints.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("id", F.coalesce("id", _stand_in("fp")))
-
-
-def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame, *keep: str) -> DataFrame:
-    """prints with component_id: the smallest node of a component, which is its smallest doc_id or NAMELESS and more.
+def _named(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """prints with the component_id of their fingerprint; named: fp, component_id.
 
     Copies share a fingerprint: the many rows of one are dealt out over salts.
     """
     salts = 16
-    root = F.coalesce("root", "id")
-    named = nodes.join(roots, nodes.id == roots.node, "left").select("fp", root.alias("component_id"))
     many = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(many, ["fp", "salt"]).select("doc_id", *keep, "component_id")
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    return salted.join(many, ["fp", "salt"]).drop("salt")
+
+
+def _members(roots: DataFrame) -> DataFrame:
+    """node, root of every node of a component of two and more, the root itself included."""
+    return roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
@@ -225,24 +213,20 @@ def near_duplicates(
     """doc_id, fp, component_id, one row per input row; component_id is the smallest doc_id reachable."""
     with arrow_rows(docs.sparkSession):
         prints = written(fingerprints(docs, shingle_words, seed), "fingerprints")
-    nodes = written(_nodes(prints), "nodes")
-    found = _named(prints, nodes, components(close_links(nodes, distance, blocks)), "fp")
-    return found.select("doc_id", "fp", _named_or_null())
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")  # the fingerprint is the node
+    roots = written(components(close_links(nodes.select(F.col("fp").alias("id"), "fp"), distance, blocks)), "roots")
+    linked = _members(roots).join(nodes, F.col("node") == F.col("fp")).select("root", "node", "least")
+    names = linked.groupBy("root").agg(F.min("least").alias("name"))
+    found = _members(roots).join(names, "root").select("node", "root", "name")
+    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.when(F.col("root").isNotNull(), F.col("name")).otherwise(F.col("least")).alias("component_id"))
+    return _named(prints, named).select("doc_id", "fp", "component_id")
 
 
 def shingle_hashes(text: str | None, shingle_words: int, seed: int) -> np.ndarray:
     """The 64-bit hashes of the distinct shingles, sorted; a shorter text is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(tokens), len(tokens)
-    if n <= shingle_words:
-        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    s, e = starts[: n - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist()
+    joined, s, e = _shingles(text, shingle_words)
     return np.unique(np.fromiter((xxh64_intdigest(joined[x:y], seed) for x, y in zip(s, e, strict=True)), np.uint64, len(s)))
 
 
@@ -294,36 +278,72 @@ def _alike(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> tup
     return (np.concatenate(heads), np.concatenate(tails)) if heads else (ids[:0], ids[:0])
 
 
-def _verified(text: DataFrame, loose: DataFrame, shingle_words: int, seed: int, similarity: float) -> DataFrame:
-    """Links a, b that connect the texts of each loose component (node, root) as all its pairs at ``similarity`` or more do.
+#: Most bytes of shingle sets of one component that a task holds once; a larger component is cut into parts of this size.
+PART_BYTES = 16 << 20
+
+
+def _meetings(own: int, parts: int) -> list[tuple[int, int]]:
+    """(i, j) of the tasks that get a node of a component of so many parts: those that compare its part with another."""
+    if parts <= 1:
+        return [(0, 0)]
+    i = (own * 0x9E3779B97F4A7C15 >> 20) % parts
+    return [(min(i, j), max(i, j)) for j in range(parts) if j != i]
+
+
+def _verified(placed: DataFrame, nodes: DataFrame, loose: DataFrame, shingle_words: int, seed: int, similarity: float, part_bytes: int) -> DataFrame:
+    """Links a, b that connect the nodes of each loose component (node, root) as all its pairs at ``similarity`` or more do.
 
-    Only texts of components of two and more are hashed again; a component is one task's.
+    Only texts of components of two and more are hashed again.  A component is one task's
+    up to ``part_bytes``; a larger one is cut into parts, and a task compares two of them:
+    every pair of sets meets, and each task gives a spanning forest of its own.
     """
     least = Fraction(str(similarity))
-    members = loose.select(F.col("node").alias("doc_id"), F.col("root").alias("c")).union(loose.select("root", F.col("root").alias("c")).distinct())
+    members = _members(loose).join(nodes, F.col("node") == F.col("id")).select("__file", "__row", "id", F.col("root").alias("c"), "n")
+    members = written(members, "members")
+    large = members.groupBy("c").agg(F.ceil(8 * F.sum("n") / part_bytes).alias("parts")).where("parts > 1")
+    folder = write_marks(members.join(large, "c", "left").select("__file", "__row", "id", "c", F.coalesce("parts", F.lit(1)).cast("long").alias("parts")), "member-marks")
+    shape = "c long, i long, j long, id long, held binary"
+    names, kinds = ["c", "i", "j", "id", "held"], [pa.int64()] * 4 + [pa.binary()]
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
         for b in batches:
-            held = [shingle_hashes(t.as_py(), shingle_words, seed).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("doc_id"), pa.array(held, pa.binary())], names=["c", "id", "held"])
+            if not b.num_rows:
+                continue
+            at, (ids, cs, parts) = marks_at(folder, 3, b.column("__file").to_numpy(), b.column("__row").to_numpy(), seen)
+            text = b.column("text")
+            rows, size = [], 0
+            for k, own, c, n in zip(at.tolist(), ids.tolist(), cs.tolist(), parts.tolist(), strict=True):
+                held = shingle_hashes(text[k].as_py(), shingle_words, seed).tobytes()
+                for i, j in _meetings(own, n):
+                    rows.append((c, i, j, own, held))
+                    size += len(held) + 32
+                    if size > 8 << 20:
+                        yield pack(rows)
+                        rows, size = [], 0
+            if rows:
+                yield pack(rows)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(b.column("c").to_pylist(), b.column("id").to_pylist(), b.column("held").to_pylist(), strict=True))
-        for _, of in groupby(rows, key=lambda r: r[0]):
-            group = [(i, np.frombuffer(h, np.uint64)) for _, i, h in of]
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in names), strict=True))
+        for _, of in groupby(rows, key=lambda r: r[:3]):
+            group = [(r[3], np.frombuffer(r[4], np.uint64)) for r in of]
             a, b = _alike(np.array([i for i, _ in group], np.int64), [h for _, h in group], least)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    hashed = text.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(sets, "c long, id long, held binary")
-    with arrow_rows(text.sparkSession, 500):
-        return written(hashed.repartition("c").sortWithinPartitions("c").mapInArrow(links, "a long, b long"), "verified")
+    with arrow_rows(placed.sparkSession, 500):
+        hashed = placed.select("__file", "__row", "text").mapInArrow(sets, shape)
+        return written(hashed.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(links, "a long, b long"), "verified")
 
 
-def similar_documents(
-    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = SEED, words: int = 16, block_bits: int = 18, verify_words: int = 4, nameless: bool = False
-) -> DataFrame:
-    """doc_id, component_id for texts linked by a Jaccard similarity of their shingle sets of at least ``similarity``.
+def _groups(
+    placed: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = SEED, words: int = 16, block_bits: int = 18, verify_words: int = 4, part_bytes: int = PART_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """(prints: doc_id, fp of every row; nodes: fp, root, first = (no id, doc_id, __file, __row) of the first row that has it).
 
     Candidates come from fingerprints.  A Jaccard similarity of 0.8 is a cosine of 0.89 and
     leaves 15 % of SimHash bits different, 10 of 64: no block of a 64-bit fingerprint is
@@ -333,9 +353,8 @@ def similar_documents(
     Hamming distance at ``similarity`` and 3 standard deviations, over ``64 * verify_words``
     bits, is a candidate.  Every link is then verified on the shingle sets of the whole
     texts (as 64-bit hashes), for all pairs of a component of candidates: no link is below
-    ``similarity``.  One text is one node whatever its copies: nodes are equal shingle sets.
-    A component of candidates is held by one task, 8 bytes a distinct shingle.  With
-    ``nameless``, groups without a doc_id keep a number above NAMELESS as component_id.
+    ``similarity``.  Equal shingle sets are one node, whatever the number of their rows.
+    Rows are known by their place in the files, so no text is ever shuffled.
     """
     cosine = 2 * similarity / (1 + similarity)
     part, bits = float(np.arccos(cosine) / np.pi), 64 * verify_words
@@ -348,7 +367,8 @@ def similar_documents(
         for b in batches:
             sets = [shingle_hashes(t.as_py(), shingle_words, seed) for t in b.column("text")]
             fp = [wide_fingerprint(h, words) + xxh3_128_digest(h.tobytes()) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__file", "__row", "doc_id")), pa.array(fp, pa.binary()), pa.array(n)], names=["__file", "__row", "doc_id", "fp", "n"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -362,14 +382,29 @@ def similar_documents(
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * verify_words), len(held), [None, pa.py_buffer(held.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, blocks)), flat.cast(pa.binary())], names=["k", "id", "fp"])
 
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), _stand_in("text")).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with arrow_rows(docs.sparkSession):
-        found = written(text.mapInArrow(prints, "doc_id long, fp binary"), "wide-fingerprints")
-    nodes = written(_nodes(found), "nodes")
+    placed = placed.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with arrow_rows(placed.sparkSession):
+        found = written(placed.mapInArrow(prints, "__file long, __row long, doc_id long, fp binary, n long"), "wide-fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__file", "__row")).alias("first")
+    nodes = written(found.groupBy("fp").agg(first, F.first("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("id", "fp").mapInArrow(keys, "k long, id long, fp binary").repartition("k").sortWithinPartitions("k")
-    loose = components(_links(keyed, distance).distinct())
-    named = _named(found, nodes, components(_verified(text, loose, shingle_words, seed, similarity)))
-    return named if nameless else named.select(F.when(F.col("doc_id") < NAMELESS, F.col("doc_id")).alias("doc_id"), _named_or_null())
+    loose = written(components(_links(keyed, distance).distinct()), "loose")
+    places = nodes.select("id", "n", F.col("first.__file").alias("__file"), F.col("first.__row").alias("__row"))
+    roots = components(_verified(placed, places, loose, shingle_words, seed, similarity, part_bytes))
+    rooted = nodes.join(roots, nodes.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("root"), "first")
+    return found.select("doc_id", "fp"), rooted
+
+
+def similar_documents(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, component_id of every row: texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles.
+
+    component_id is the smallest doc_id reachable, null where there is none.  Arguments and
+    method are those of _groups().
+    """
+    prints, rooted = _groups(located(docs), **how)
+    rooted = written(rooted.select("fp", "root", F.col("first.doc_id").alias("least")), "rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return _named(prints, named).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -378,9 +413,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows without a doc_id are known by their text here: they go where a row with one is
     alike, and otherwise one row of each group of them stays.
     """
-    known = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), _stand_in("text")))
-    found = similar_documents(known.select(F.col("__id").alias("doc_id"), "text"), nameless=True, **how)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = known.join(stays, F.col("__id") == F.col("__kept"), "left_semi")
-    one = Window.partitionBy("__id").orderBy(*[F.col(c) for c in docs.columns])
-    return kept.withColumn("__one", F.row_number().over(one)).where("__one = 1").select(*docs.columns)
+    placed = located(docs)
+    _, rooted = _groups(placed, **how)
+    stays = rooted.groupBy("root").agg(F.min("first").alias("x")).select("x.__file", "x.__row", F.lit(1).cast("long").alias("kept"))
+    return mark(placed, write_marks(stays, "kept-marks"), "__kept").where("__kept = 1").select(*docs.columns)
