@@ -9,6 +9,16 @@ near_duplicates      of each group of like documents that of the smallest doc_id
 secret_scan          every reported span becomes a mask
 source_mix           each source's documents, as often as its target takes them
 best_fit_packing     pieces of at most 2048 tokens, each with its place in a sequence
+
+Decisions are made on narrow rows (place, fingerprint, size) and applied by place in a
+second reading; texts shuffle nowhere but where a secret is masked.
+
+Defined results: a null text is empty; it is scored by the bias alone, like any other text
+without words, and all such texts are one near-duplicate group.  A null doc_id, source or
+other column is kept as it is.  Very long texts are used whole.  Of alike documents the
+smallest doc_id stays, rows without one come last, and ties leave one row.  Repeated rows
+are exact copies of one another: one stays.  Extra columns are carried along, whatever
+their names but for those that begin with two underscores.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scopelake.llm import classifier, mixing, packing, secrets, simhash
-from scopelake.llm.common import arrow_rows, table, written
+from scopelake.llm.common import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    weights, bias = classifier.train(docs, table(spark, sf_dir, "labels"))
-    scored = classifier.score(docs, weights, bias, keep=docs.columns, names=("__score", "__predicted"))
-    with arrow_rows(spark):  # whole rows go through Python: small batches, so written here
-        return written(scored.where("__predicted = 1").select(*docs.columns), "classified")
+    return classifier.keep_predicted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
