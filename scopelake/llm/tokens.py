@@ -3,7 +3,7 @@
 The tokenizers library encodes everything; this module only avoids encoding the same
 word over and over.  In this family of pre-tokenizers a token never runs from a
 non-space character into white space, and a lone newline is a token of its own, so a
-text without two adjacent white-space characters may be cut before every space and on
+text without two adjacent white-space characters and without an added token may be cut before every space and on
 both sides of every newline without changing its ids.  The pieces are looked up in a
 per-worker memo of bounded size; unknown pieces are encoded in one library call per
 batch.  Other texts are encoded whole, or - when very long - in runs cut between a
@@ -49,26 +49,28 @@ def _stem(word: str) -> str:
 class WordMemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``memo_entries`` bounds the remembered words (about 200 bytes each); beyond it
-    new words are encoded again whenever a batch holds them.
+    ``memo_entries`` bounds the remembered words (about 200 bytes each).  A word is
+    remembered when a second batch holds it, as far as a bitmap of hashes can tell, so that
+    the many words that occur once take no room; others are encoded again.
     """
 
-    def __init__(self, path: str, memo_entries: int = 700_000, run_chars: int = 500_000):
+    def __init__(self, path: str, memo_entries: int = 400_000, run_chars: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens are found in whole texts, before words are: texts that hold one go to the library
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.seen = bytearray(1 << 21)
         self.memo_entries = memo_entries
         self.run_chars = run_chars
         self.marks = dict(zip(_MARKS, self._library(_MARKS), strict=True))
         self.newline_id = int(np.frombuffer(self.marks["\n"], "<u4")[0])
         self.memo["\n"] = self.marks["\n"]
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """Whether spaces and newlines are the only white space and none touches another or an end."""
+    def _plain(self, text: str) -> bool:
+        """Whether spaces and newlines are the only white space, none touches another or an end, and no added token is there."""
         return not (
             "  " in text
             or "\n" in text
@@ -76,6 +78,7 @@ class WordMemoEncoder:
             or text[0] in " \n"
             or text[-1] in " \n"
             or _OTHER_SPACE.search(text)
+            or any(t in text for t in self.added)
         )
 
     def _library(self, pieces: list[str]) -> list[bytes]:
@@ -83,7 +86,7 @@ class WordMemoEncoder:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _runs(self, text: str) -> list[str]:
-        """The text in runs of at least run_chars, cut where no token can lie across."""
+        """The text in runs of at least run_chars, cut where no token can lie across (added tokens hold no white space)."""
         runs, at = [], 0
         while len(text) - at > self.run_chars:
             cut = _CUT.search(text, at + self.run_chars)
@@ -148,8 +151,13 @@ class WordMemoEncoder:
         for n, stem in zip(open_, stems, strict=True):
             word, ids = words[n], more.get(stem) or memo[stem]
             found[n] = ids + self.marks[word[-1]] if len(stem) < len(word) else ids
-        if len(memo) < self.memo_entries:
-            memo.update(more)
+        seen, last = self.seen, len(self.seen) - 1
+        for stem, ids in more.items():
+            at = hash(stem) & last
+            if not seen[at]:
+                seen[at] = 1
+            elif len(memo) < self.memo_entries:
+                memo[stem] = ids
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
