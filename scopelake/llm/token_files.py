@@ -15,8 +15,9 @@ Any document is read by its index entry alone.  A shard is written under a name
 own attempt and renamed when it is whole, so a lost executor leaves no half file and a
 second attempt writes the same bytes.
 
-Defined results: a null or empty text holds the end id alone.  Repeated rows are written
-once each, next to each other.  Extra columns are ignored; an empty table gives no rows.
+Defined results: a null or empty text holds the end id alone.  Texts of any length are
+encoded whole.  Rows of one doc_id are written once each, next to each other, in the order
+of reading.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,34 +89,39 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         fs, top = file_system(folder)
         own = f"{top}/.shard-{shard:05d}-{uuid.uuid4().hex}"
         coder, (squeeze, _) = encoder(path), _codec(dictionary)
-        index: list[tuple] = []
+        index: list[np.ndarray] = []
         at, total = len(MAGIC) + len(digest), 0
         with fs.open_output_stream(own) as f:
             f.write(MAGIC + digest)
             for b in batches:
                 doc, text = b.column("doc_id"), b.column("text")
                 for lo, hi in bounded_slices(text):
-                    frames = []
+                    frames, entries = [], []
                     for d, raw in zip(doc[lo:hi].to_pylist(), coder.encode(text[lo:hi].to_pylist()), strict=True):
                         ids, width = _narrow(raw + END_BYTES)
                         frame = squeeze.compress(ids)
                         frames.append(frame)
-                        index.append((0 if d is None else d, d is None, at, len(frame), len(ids) // width, width))
+                        entries.append((0 if d is None else d, d is None, at, len(frame), len(ids) // width, width))
                         at, total = at + len(frame), total + len(ids) // width
                     f.write(b"".join(frames))
-            f.write(np.array(index, INDEX).tobytes())
-            f.write(struct.pack(FOOT, len(index), total, at, MAGIC))
+                    index.append(np.array(entries, INDEX))
+            held = sum(map(len, index))
+            for entries in index:
+                f.write(entries.tobytes())
+            f.write(struct.pack(FOOT, held, total, at, MAGIC))
         name = f"{top}/shard-{shard:05d}.tok"
         if index:
             fs.move(own, name)
         else:
             fs.delete_file(own)
         if index:
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(index)], "ids": [total]}, schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [held], "ids": [total]}, schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    skinny = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows of one doc_id, or without one, are dealt by their place in the reading, so that many of them are many shards
+    skinny = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("__at"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = skinny.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    order = (F.col("doc_id").asc_nulls_last(), "__at")
+    ordered = skinny.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest, first = [], 0
     with arrow_rows(docs.sparkSession):
         shards = ordered.mapInArrow(write, "shard long, docs long, ids long").collect()  # one row per shard
