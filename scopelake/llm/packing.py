@@ -12,8 +12,9 @@ Pieces get their rank within their length from counts per (length, bucket), with
 bucket a hash of (doc_id, piece): a length that a third of all pieces share is ranked in
 ``buckets`` separate groups.  No step collects pieces.
 
-Defined results: a null or empty text is one piece, the end id alone.  Repeated rows are
-packed once each.  Extra columns are ignored; an empty table gives no rows.
+Defined results: a null or empty text is one piece, the end id alone.  Texts of any
+length are cut into pieces whole.  Pieces of one length are in the order of a hash, ties
+in any order.  Repeated rows are packed once each.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -139,9 +140,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> Da
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # <= capacity rows
     steps = spark.createDataFrame(plan(histogram, capacity), "length long, _rank long, _n long, _bin long, _each long, _at long")
     local = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece")) - 1
-    ranked = dealt.withColumn("_local", local).join(F.broadcast(first), ["length", "_b"])  # <= capacity * buckets rows
+    ranked = dealt.withColumn("_local", local).join(first, ["length", "_b"])  # dealt is already partitioned so for its ranks
     ranked = ranked.withColumn("_r", F.col("_first") + F.col("_local"))
     inside = (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_n"))
+    # two steps a length on average, whatever the corpus: some thousand rows of 48 bytes
     placed = ranked.join(F.broadcast(steps.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & inside)
     nth = F.col("_r") - F.col("_rank")
     return placed.select(
