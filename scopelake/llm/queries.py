@@ -11,9 +11,10 @@ from scopelake.llm.common import table
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of another length than the most frequent one take no part either: they have no inner product with the others."""
     from scopelake.llm.topk import top_k
 
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).drop("scored")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    return digests(formatted(said.unionByName(more))).drop("rewrites")
+    return digests(formatted(said.unionByName(more)))
 
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(20 + length(body) + 3 * length(body) - length(replace(body, '<', '')) - length(replace(body, '[', '')) - length(replace(body, '\', ''))) AS BIGINT) AS formatted_chars
+  CAST(sum(20 + length(body) + 3 * length(body) - length(replace(body, '<', '')) - length(replace(body, '[', '')) - length(replace(body, '\', ''))) AS BIGINT) AS formatted_chars,
+  false AS rewrites, CAST(0 AS BIGINT) AS unlocated
 FROM e GROUP BY conv_id"""
 
 WARC = """
@@ -176,7 +178,7 @@ p AS (SELECT *, sum(gap + length(m)) OVER (PARTITION BY k, raw ORDER BY n) - len
 q AS (SELECT k, raw, v, CAST(s AS BIGINT) AS s, CASE WHEN raw = 'random' THEN regexp_extract(m, '^[A-Za-z0-9+/]*={{0,2}}') ELSE m END AS m FROM p),
 r AS (
   SELECT k, s, s + length(m) AS e, CASE WHEN raw = 'assign' AND length(v) < 6 THEN 'short_assign' WHEN raw = 'access' AND length(m) < 20 THEN 'short_access' ELSE raw END AS kind FROM q
-  WHERE raw <> 'random' OR (length(rtrim(m, '=')) >= 16 AND regexp_matches(left(rtrim(m, '='), 41), '[0-9]') AND regexp_matches(left(rtrim(m, '='), 41), '[A-Z]') AND regexp_matches(left(rtrim(m, '='), 41), '[a-z]'))),
+  WHERE raw <> 'random' OR (length(rtrim(m, '=')) >= 16 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]'))),
 l AS (SELECT *, {near(identifier)} AS near_id, {near(secret)} AS near_secret FROM r WINDOW w AS (PARTITION BY k ORDER BY s, e, kind)),
 f AS (
   SELECT * FROM l WHERE CASE WHEN kind IN ('account', 'short_access') THEN near_secret WHEN kind IN ('short_assign', 'random') THEN near_id WHEN kind = 'endpoint' THEN near_id AND near_secret ELSE true END)

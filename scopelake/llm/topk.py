@@ -1,47 +1,56 @@
 """Exact top-k by inner product over a pivot-distance index.
 
-Vectors are lifted to one length: (x, sqrt(M - |x|^2)) with M the largest squared norm.
-For a query (q, 0), |q - x|^2 = |q|^2 + M - 2 q.x, so the highest inner products are the
-nearest lifted vectors, and the triangle inequality holds there.
-
-Index.  Pivots are chosen from a bounded sample (farthest first).  Every vector is keyed
-by its nearest pivot and its distance to it, range-partitioned by (pivot, distance, id)
-and cut into blocks of ``block_rows``: an annulus of one pivot with its inner and outer
-radius.  Equal vectors in any number fill several blocks; no pivot is one task.
-
-Search.  Queries are dealt into blocks the same way.
- a. A query block first reads its ``seeds`` nearest blocks; the k-th score found there
-    bounds each query's answer from below.
- b. Going outwards from the query's own distance to each pivot, an annulus is at least
-    max(inner - d, d - outer, 0) away; it is expanded only while that is not above the
-    bound of some query of the block.  Only (query block, annulus) pairs that pass meet.
- c. Scores are exact integers; each pair gives at most k rows a query and only those
-    that reach its bound, and the k best by (score, smaller id) remain.
-The pairs are of blocks, never of rows, and grow with the annuli that bounds leave open.
-
-Components become floor(scale * x), x as double.  Defined results: a vector that is
-null, empty, holds null or non-finite components, or whose length differs from the most
-frequent one takes no part; so does a row with a null id.  Repeated ids are candidates
-of their own, except of their own id.  Extra columns are ignored; with no queries or no
+Index.  Pivots, about the root of the number of vectors, are chosen from a bounded sample
+(farthest first).  Every vector is keyed by its nearest pivot and its distance to it,
+range-partitioned by (pivot, distance, id) and cut into annuli of at most ``annulus_rows``
+vectors, written one after another to files of the shared folder.  Equal vectors in any
+number fill several annuli; no pivot is one task.  A pivot's list of annuli is a file of
+its own; what is broadcast is a row per pivot.
+
+Search.  Queries are keyed alike and sorted, so that a block of ``query_rows`` holds
+neighbours.  A task takes a block through the pivots, nearest first, and through the
+annuli of each from the ring of its queries outwards.  For x at a distance r from pivot p
+
+    q.x = q.p + q.(x - p) <= q.p + |q| r
+    q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2   with   |q - x| >= | |q - p| - r |
+
+so a pivot, or an annulus with its inner and outer radius and greatest norm, is passed
+over for every query whose k-th score so far is above both bounds, and read only where it
+is left open for some query of the block.  Scores tighten before each next annulus.  Each
+query's k best are whole when its task ends: nothing is joined or sorted afterwards.
+
+The triangle inequality can close only what lies far off.  Where distances are nearly
+equal, as for independent vectors of many dimensions, every annulus stays open and the
+search reads all of them, in blocks; ``scored`` tells how many vectors each query met.
+
+Components become floor(scale * x), x as double.  Scores are exact integers: vectors of
+squared norms below 2**24 are held and multiplied as 32-bit floats, else as doubles.
+Defined results: a vector that is null, empty, holds null or non-finite components, or
+whose length differs from the most frequent one takes no part; so does a row with a null
+id.  Repeated ids are candidates of their own, except of their own id, and queries of
+their own.  Ties go to smaller ids.  Extra columns are ignored; with no queries or no
 candidates there are no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import written
+from scopelake.llm.common import file_system, shared_folder, written
 
 K, SCALE = 20, 64
-#: Rows of the sample that pivots are chosen from, pivots, rows of a block, blocks read for the first bounds.
-SAMPLE, PIVOTS, BLOCK_ROWS, SEEDS = 2048, 24, 2048, 2
-#: Relative slack of the floating-point bounds; it only ever keeps more.
-SLACK = 1e-9
+#: Bounds of the sample that pivots are chosen from (rows, bytes), and of their number.
+SAMPLE, SAMPLE_BYTES, PIVOTS = 4096, 16 << 20, 1024
+#: Rows of an annulus, queries of a block.
+ANNULUS_ROWS, QUERY_ROWS = 1024, 512
+#: Slack of the floating-point bounds, as a part of the greatest squared norm; it only ever keeps more.
+SLACK = 1e-6
 
 
 def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -55,18 +64,19 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return x.select("vec_id", "v", F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c).alias("norm2"))
 
 
-def choose_pivots(x: DataFrame, m: float, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Lifted pivots, farthest first from the sample (the first by a hash of the vector)."""
+def choose_pivots(x: DataFrame, width: int, pivots: int, sample: int = SAMPLE) -> np.ndarray:
+    """Pivots, farthest first from the sample (the first by a hash of the vector)."""
     # ids first, so that no task sends vectors that are not chosen
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * width)))
     keyed = x.withColumn("h", F.xxhash64("v"))
     chosen = keyed.select("h", "vec_id").orderBy("h", "vec_id").limit(sample).distinct()
-    rows = keyed.join(F.broadcast(chosen), ["h", "vec_id"]).orderBy("h", "vec_id").select("v", "norm2").limit(sample).collect()
-    lifted = np.array([[*r["v"], np.sqrt(max(0.0, m - r["norm2"]))] for r in rows])
-    chosen, far = [0], ((lifted - lifted[0]) ** 2).sum(1)
-    while len(chosen) < min(pivots, len(lifted)) and far.max() > 0:
+    rows = keyed.join(F.broadcast(chosen), ["h", "vec_id"]).orderBy("h", "vec_id").select("v").limit(sample).collect()
+    held = np.array([r["v"] for r in rows])
+    chosen, far = [0], ((held - held[0]) ** 2).sum(1)
+    while len(chosen) < min(pivots, len(held)) and far.max() > 0:
         chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((lifted - lifted[chosen[-1]]) ** 2).sum(1))
-    return lifted[chosen]
+        far = np.minimum(far, ((held - held[chosen[-1]]) ** 2).sum(1))
+    return held[chosen]
 
 
 def _matrix(column) -> np.ndarray:
@@ -74,184 +84,206 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _keyed(x: DataFrame, pivots: np.ndarray, m: float, lift: bool) -> DataFrame:
-    """x with pivot and dist, those of its lifted vector; without lift of the vector as a query."""
+def _keyed(x: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """x with its nearest pivot and the distance to it, in partitions sorted by them."""
+    shared = x.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p2 = (pivots**2).sum(1)
+        p = shared.value
+        p2 = (p**2).sum(1)
         for b in batches:
             if not b.num_rows:
                 continue
-            v, n2 = _matrix(b.column("v")), b.column("norm2").to_numpy()
-            last = np.sqrt(np.maximum(0, m - n2)) if lift else np.zeros(len(v))
-            d2 = n2[:, None] + (m - n2 if lift else np.zeros(len(v)))[:, None] + p2[None] - 2 * (v @ pivots[:, :-1].T + last[:, None] * pivots[None, :, -1])
+            v = _matrix(b.column("v"))
+            d2 = p2[None] - 2 * (v @ p.T)
             at = d2.argmin(1)
-            dist = np.sqrt(np.maximum(0, d2[np.arange(len(v)), at]))
+            dist = np.sqrt(np.maximum(0, b.column("norm2").to_numpy() + d2[np.arange(len(v)), at]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(dist)], names=[*b.schema.names, "pivot", "dist"])
 
     return x.mapInArrow(run, "vec_id long, v array<double>, norm2 double, pivot int, dist double")
 
 
-BLOCK = "block long, pivot int, inner double, outer double, n int, ids binary, vectors binary"
+def _sorted(keyed: DataFrame, parts: int) -> DataFrame:
+    order = ["pivot", "dist", "vec_id"]
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
-def _blocks(keyed: DataFrame, rows: int, parts: int) -> DataFrame:
-    """Annuli of one pivot with up to ``rows`` vectors each."""
+#: What the list of a pivot says of each annulus.
+RING = np.dtype([("inner", "<f8"), ("outer", "<f8"), ("top", "<f8"), ("n", "<i8"), ("part", "<i8"), ("offset", "<i8")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def write_index(keyed: DataFrame, folder: str, rows: int, parts: int, kind: str) -> np.ndarray:
+    """Write annuli and the pivots' lists of them; gives (pivot, inner, outer, top) of every pivot that has any."""
+    fs, top = file_system(folder)
+    fs.create_dir(top, recursive=True)
+    names = ["pivot", *RING.names]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-        have = 0
-
-        def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, have, number
-            if not held:
-                return
-            ids, v, pivot, dist = (np.concatenate(c) for c in zip(*held, strict=True))
-            at = 0
-            while at < len(ids):
-                end = at + int(np.searchsorted(pivot[at:], pivot[at], "right"))
-                if not last and end == len(ids) and end - at < rows:
+        part, fs, top = TaskContext.get().partitionId(), *file_system(folder)
+        own, at, made, held = f"{top}/.{uuid.uuid4().hex}", 0, [], []
+        out = fs.open_output_stream(own, compression=None)
+
+        def cut(last: bool) -> None:
+            nonlocal at, held
+            ids, v, norm2, pivot, dist = (np.concatenate(c) for c in zip(*held, strict=True))
+            begin = 0
+            while begin < len(ids):
+                end = begin + int(np.searchsorted(pivot[begin:], pivot[begin], "right"))
+                if not last and end == len(ids) and end - begin < rows:
                     break
-                end = min(end, at + rows)
-                s = slice(at, end)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": [number], "pivot": pa.array([pivot[at]], pa.int32()), "inner": [float(dist[s].min())], "outer": [float(dist[s].max())],
-                        "n": pa.array([end - at], pa.int32()), "ids": [ids[s].astype("<i8").tobytes()], "vectors": [v[s].astype("<f8").tobytes()],
-                    }
-                )
-                number += 1
-                at = end
-            held, have = ([(ids[at:], v[at:], pivot[at:], dist[at:])], len(ids) - at) if at < len(ids) else ([], 0)
+                end = min(end, begin + rows)
+                s = slice(begin, end)
+                raw = ids[s].astype("<i8").tobytes() + v[s].astype(kind).tobytes()
+                out.write(raw)
+                made.append((int(pivot[begin]), float(dist[s].min()), float(dist[s].max()), float(norm2[s].max()), end - begin, part, at))
+                at, begin = at + len(raw), end
+            held = [(ids[begin:], v[begin:], norm2[begin:], pivot[begin:], dist[begin:])] if begin < len(ids) else []
 
         for b in batches:
             if b.num_rows:
-                held.append((b.column("vec_id").to_numpy(), _matrix(b.column("v")), b.column("pivot").to_numpy(), b.column("dist").to_numpy()))
-                have += b.num_rows
-            if have >= 2 * rows:
-                yield from cut(False)
-        yield from cut(True)
-
-    order = ["pivot", "dist", "vec_id"]
-    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("vec_id", "v", "pivot", "dist").mapInArrow(run, BLOCK)
-
-
-def _meet(pairs: DataFrame, k: int, width: int) -> DataFrame:
-    """pairs (q_ids, q_vectors, floor, ids, vectors) -> query_id, vec_id, score: the k best of each pair that reach the floor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qi, qv, fl, ci, cv in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_vectors", "floors", "ids", "vectors")), strict=True):
-                q, c = np.frombuffer(qv, "<f8").reshape(-1, width), np.frombuffer(cv, "<f8").reshape(-1, width)
-                q_ids, ids = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                floors = np.frombuffer(fl, "<f8") if fl is not None else np.full(len(q), -np.inf)
-                order = np.argsort(ids, kind="stable")  # ties go to smaller ids
-                ids, c = ids[order], c[order]
-                found: list[tuple] = []
-                for lo in range(0, len(q), 512):
-                    s = q[lo : lo + 512] @ c.T  # whole numbers below 2**53: exact
-                    s[q_ids[lo : lo + 512, None] == ids[None]] = -np.inf
-                    s[s < floors[lo : lo + 512, None]] = -np.inf
-                    if s.shape[1] > k:
-                        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        s[s < least[:, None]] = -np.inf
-                    rows, at = np.nonzero(s > -np.inf)
-                    # more than k remain only where scores tie with the k-th: the first by id do
-                    better = np.lexsort((ids[at], -s[rows, at], rows))
-                    rows, at = rows[better], at[better]
-                    start = np.searchsorted(rows, np.arange(s.shape[0]))
-                    keep = np.arange(len(rows)) - start[rows] < k
-                    rows, at = rows[keep], at[keep]
-                    found.append((q_ids[lo + rows], ids[at], s[rows, at].astype(np.int64)))
-                a, d, e = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(d), pa.array(e)], names=["query_id", "vec_id", "score"])
-
-    return pairs.select("q_ids", "q_vectors", "floors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
-
-
-def _best(scores: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) that is_query holds for."""
+                held.append((b.column("vec_id").to_numpy(), _matrix(b.column("v")), *(b.column(c).to_numpy() for c in ("norm2", "pivot", "dist"))))
+            if sum(len(h[0]) for h in held) >= 4 * rows:
+                cut(False)
+        if held:
+            cut(True)
+        out.close()
+        if made:
+            fs.move(own, f"{top}/annuli-{part:05d}")
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=names)
+        else:
+            fs.delete_file(own)
+
+    def enlist(part: pa.Table) -> pa.Table:
+        ring = np.empty(part.num_rows, RING)
+        for c in RING.names:
+            ring[c] = part.column(c).to_numpy()
+        ring.sort(order=["inner", "outer", "part", "offset"])
+        pivot, (fs, top) = part.column("pivot")[0].as_py(), file_system(folder)
+        own = f"{top}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own, compression=None) as f:
+            f.write(ring.tobytes())
+        fs.move(own, f"{top}/pivot-{pivot:05d}")
+        return pa.table({"pivot": [pivot], "inner": [ring["inner"].min()], "outer": [ring["outer"].max()], "top": [ring["top"].max()]})
+
+    shape = "pivot long, inner double, outer double, top double, n long, part long, offset long"
+    made = written(_sorted(keyed, parts).select("vec_id", "v", "norm2", "pivot", "dist").mapInArrow(write, shape), "annuli")
+    found = made.groupBy("pivot").applyInArrow(enlist, "pivot long, inner double, outer double, top double").collect()  # a row per pivot
+    return np.array([tuple(r) for r in found]).reshape(-1, 4)
+
+
+class _Best:
+    """The k best (score, smaller id first) of each query of a block, and the k-th score where there are k."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.rows, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores (rows by ids) of some queries; -inf takes no part."""
+        least = self.floor[rows]
+        if len(ids) > self.k:  # more than k remain only where scores tie with the k-th: the first by id do
+            least = np.maximum(least, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        row, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        if not len(row):
+            return
+        every = np.concatenate((self.rows, rows[row])), np.concatenate((self.ids, ids[at])), np.concatenate((self.scores, scores[row, at]))
+        order = np.lexsort((every[1], -every[2], every[0]))
+        r, i, s = (x[order] for x in every)
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = nth < self.k
+        self.rows, self.ids, self.scores = r[keep], i[keep], s[keep]
+        full = nth == self.k - 1
+        self.floor[r[full]] = s[full]
+
+
+def _reach(qp: np.ndarray, q2: np.ndarray, qd: np.ndarray, inner: np.ndarray, outer: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The greatest inner product that each query (rows) can have within each annulus (columns)."""
+    away = np.maximum(0, np.maximum(qd - outer, inner - qd))
+    return np.minimum(qp + np.sqrt(q2)[:, None] * outer, (q2[:, None] + top - away**2) / 2)
+
+
+def search_block(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, summary: np.ndarray, slack: float, k: int, read) -> tuple[_Best, np.ndarray]:
+    """(k best, vectors met) of each query; read(pivot) gives its rings, read(pivot, ring) the ids and vectors of one."""
+    best, met = _Best(len(q), k), np.zeros(len(q), np.int64)
+    q2, which = (q**2).sum(1), summary[:, 0].astype(np.int64)
+    qp = q @ pivots[which].T
+    qd = np.sqrt(np.maximum(0, q2[:, None] + (pivots[which] ** 2).sum(1) - 2 * qp))
+    reach = _reach(qp, q2, qd, *summary[:, 1:].T) + slack
+    typed = None
+    for at in np.argsort(qd.min(0), kind="stable"):
+        some = np.flatnonzero(reach[:, at] >= best.floor)
+        if not len(some):
+            continue
+        rings = read(which[at])
+        inside = _reach(qp[some, at, None], q2[some], qd[some, at, None], rings["inner"], rings["outer"], rings["top"]) + slack
+        ring = np.median(qd[some, at])
+        for a in np.argsort(np.abs((rings["inner"] + rings["outer"]) / 2 - ring), kind="stable"):
+            open_ = some[inside[:, a] >= best.floor[some]]
+            if not len(open_):
+                continue
+            c_ids, c = read(which[at], rings[a])
+            typed = q.astype(c.dtype) if typed is None else typed
+            scores = (typed[open_] @ c.T).astype(np.float64)
+            scores[ids[open_, None] == c_ids[None]] = -np.inf
+            best.add(open_, c_ids, scores)
+            met[open_] += len(c_ids)
+    return best, met
+
+
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, pivots: int | None = None, annulus_rows: int = ANNULUS_ROWS, query_rows: int = QUERY_ROWS
+) -> DataFrame:
+    """query_id, rank, vec_id, score, scored for the rows of vectors (vec_id, embedding) that is_query holds for."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shape = "query_id long, rank int, vec_id long, score long, scored long"
     x = written(usable(vectors, scale), "vectors")
-    stats = x.agg(F.count("*").alias("n"), F.max("norm2").alias("m"), F.max(F.size("v")).alias("w")).first()
-    if not stats["n"]:
-        return empty
+    stats = x.agg(F.count("*").alias("n"), F.max("norm2").alias("m"), F.max(F.size("v")).alias("w"), F.count_if(is_query).alias("q")).first()
+    if not stats["n"] or not stats["q"]:
+        return spark.createDataFrame([], shape)
     n, m, width = stats["n"], stats["m"], stats["w"]
     if m >= 2.0**53:
         raise ValueError("vectors too long for exact scores; lower the scale")
-    p = choose_pivots(x, m, pivots)
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block_rows)))
-    index = written(_blocks(_keyed(x, p, m, True), block_rows, parts), "annuli", "none")
-    asked = written(_blocks(_keyed(x.where(is_query), p, m, False), max(1, block_rows // 4), parts), "queries", "none")
-    asked = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    meta = index.select("block", "pivot", "inner", "outer")
-
-    def reach(with_bounds: bool):
-        """Per query block and pivot: the least and most distance of its queries, and the farthest that one must look."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p2 = (p**2).sum(1)
-            for b in batches:
-                for i, block in enumerate(b.column("q_block").to_pylist()):
-                    q = np.frombuffer(b.column("q_vectors")[i].as_py(), "<f8").reshape(-1, width)
-                    q2 = (q**2).sum(1)
-                    d = np.sqrt(np.maximum(0, q2[:, None] + p2[None] - 2 * q @ p[:, :-1].T))
-                    far = np.full(len(q), np.inf)
-                    if with_bounds:
-                        floors = np.frombuffer(b.column("floors")[i].as_py(), "<f8")
-                        far = np.sqrt(np.maximum(0, q2 + m - 2 * floors)) * (1 + SLACK) + SLACK * np.sqrt(m)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "q_block": [block] * len(p), "pivot": pa.array(range(len(p)), pa.int32()), "near_d": d.min(0), "far_d": d.max(0),
-                            # a query needs annuli that meet [d - far, d + far]
-                            "low": (d - far[:, None]).min(0), "high": (d + far[:, None]).max(0),
-                        }
-                    )
-
-        return run
-
-    shape = "q_block long, pivot int, near_d double, far_d double, low double, high double"
-    # a. the nearest annuli of each query block
-    near = asked.select("q_block", "q_vectors").mapInArrow(reach(False), shape).join(meta, "pivot")
-    away = F.greatest(F.lit(0.0), F.col("inner") - F.col("far_d"), F.col("near_d") - F.col("outer"))
-    first = Window.partitionBy("q_block").orderBy(away, F.abs(F.col("inner") - F.col("near_d")), "block")
-    seeds = written(near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SEEDS).select("q_block", "block"), "seeds")
-    none = F.lit(None).cast("binary").alias("floors")
-    seeded = written(_best(_meet(seeds.join(asked, "q_block").join(index, "block").select("*", none), k, width), k), "seed-scores")
-    floor = seeded.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    one = asked.select("q_block", "q_ids").mapInArrow(_exploded, "q_block long, place int, query_id long").join(floor, "query_id", "left")
-    packed = one.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("place", "floor"))).alias("f"))  # one row per query of a block
-    bounds = packed.select("q_block", F.transform("f", lambda y: F.coalesce(y["floor"].cast("double"), F.lit(float("-inf")))).alias("f"))
-    bounds = bounds.mapInArrow(_packed, "q_block long, floors binary")
-    bounded = written(asked.join(bounds, "q_block"), "bounded", "none")
-    # b. the annuli that bounds leave open
-    wide = bounded.select("q_block", "q_vectors", "floors").mapInArrow(reach(True), shape)
-    open_ = (F.col("outer") >= F.col("low") * (1 - SLACK) - SLACK) & (F.col("inner") <= F.col("high") * (1 + SLACK) + SLACK)
-    pairs = wide.join(meta, "pivot").where(open_).select("q_block", "block")
-    pairs = pairs.join(seeds, ["q_block", "block"], "left_anti")
-    # c. what they hold
-    more = _meet(pairs.join(bounded, "q_block").join(index, "block"), k, width)
-    rows = _best(more.union(seeded.select("query_id", "vec_id", "score")), k)
-    return rows.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for block, raw in zip(b.column("q_block").to_pylist(), b.column("q_ids").to_pylist(), strict=True):
-            ids = np.frombuffer(raw, "<i8")
-            yield pa.RecordBatch.from_pydict({"q_block": [block] * len(ids), "place": np.arange(len(ids), dtype=np.int32), "query_id": ids})
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        floors = [np.array(f, "<f8").tobytes() for f in b.column("f").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("q_block"), pa.array(floors, pa.binary())], names=["q_block", "floors"])
+    kind = "<f4" if m < 2.0**24 else "<f8"
+    p = choose_pivots(x, width, pivots or min(PIVOTS, int(np.ceil(np.sqrt(n)))))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _keyed(x, p)
+    folder = shared_folder(spark, "pivot-index")
+    summary = write_index(keyed, folder, annulus_rows, max(1, min(most, -(-n // annulus_rows))), kind)
+    held = spark.sparkContext.broadcast((p, summary))  # a row per pivot
+    slack = SLACK * m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (p, summary), (fs, top), files = held.value, file_system(folder), {}
+
+        def read(pivot: int, ring=None):
+            if ring is None:
+                with fs.open_input_file(f"{top}/pivot-{pivot:05d}") as f:
+                    return np.frombuffer(f.read(), RING)
+            part, rows = int(ring["part"]), int(ring["n"])
+            if part not in files:
+                files[part] = fs.open_input_file(f"{top}/annuli-{part:05d}")
+            raw = files[part].read_at(rows * (8 + width * int(kind[2])), int(ring["offset"]))
+            return np.frombuffer(raw, "<i8", rows), np.frombuffer(raw, kind, offset=8 * rows).reshape(rows, width)
+
+        def found(ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            best, met = search_block(ids, q, p, summary, slack, k, read)
+            rank = np.arange(len(best.rows)) - np.searchsorted(best.rows, best.rows) + 1
+            columns = [ids[best.rows], rank.astype(np.int32), best.ids, best.scores.astype(np.int64), met[best.rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "rank", "vec_id", "score", "scored"])
+
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for lo in range(0, b.num_rows, query_rows):
+                part = b.slice(lo, query_rows)
+                waiting.append((part.column("vec_id").to_numpy(), _matrix(part.column("v"))))
+                if sum(len(w[0]) for w in waiting) >= query_rows:
+                    yield found(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+                    waiting = []
+        if waiting:
+            yield found(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+
+    asked = keyed.where(is_query)
+    blocks = max(-(-stats["q"] // query_rows), min(most, -(-stats["q"] // 64)))
+    return _sorted(asked, blocks).select("vec_id", "v").mapInArrow(run, shape)
