@@ -147,13 +147,12 @@ def reference(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer_path())
-    t.encode_special_tokens = True
     return [np.array([*x.ids, 0], "<u4") for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_memo_encoder_equals_the_library(docs, spark, sf):
     texts = [t for _, t in local(docs)] + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    texts += ["a.\nb, c.\n,d", " x", "x ", "\x01 a", "a\tb", "don't we'll\n'tis", "3.14, 2.\n", "<|endoftext|> x", "é.\nÉ,", "a b c", "\n", "a\n\nb", "a ,b"]
+    texts += ["a.\nb, c.\n,d", " x", "x ", "\x01 a", "a\tb", "don't we'll\n'tis", "3.14, 2.\n", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n\n b<|endoftext|", "<|endoftext|>" + " long text, cut in runs" * 40 + " <|endoftext|>", "é.\nÉ,", "a b c", "\n", "a\n\nb", "a ,b"]
     small = tokens.WordMemoEncoder(tokens.default_tokenizer_path(), memo_entries=50, run_chars=200)
     for e in (tokens.encoder(tokens.default_tokenizer_path()), small, small):
         assert [x + tokens.END_BYTES for x in e.encode(texts)] == [x.tobytes() for x in reference(texts)]
@@ -548,7 +547,7 @@ def test_top_k(spark):
             want.append((q, tuple((k, i, -s) for k, (s, i) in enumerate(best, 1))))
     once = [w for w in want if w[0] != 20]
     got = defaultdict(list)
-    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, block_rows=32, pivots=5).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, annulus_rows=32, query_rows=4, pivots=5).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert {q: tuple(sorted(v)) for q, v in got.items() if q != 20} == dict(once)
     few = topk.top_k(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
