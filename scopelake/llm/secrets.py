@@ -20,6 +20,7 @@ are ignored (redact: kept as they are); an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +44,16 @@ SCOPE = 200
 
 #: Pattern by raw kind, in the order of ties.
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": r"(?<![0-9a-f])[0-9a-f]{%d,}" % LEAST_HEX, "account": ACCOUNT, "random": RANDOM, "endpoint": ENDPOINT}
+_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16}"
+#: What a text must hold for a pattern to match at all: cheaper to look for than the pattern.
+NEEDS: dict[str, Callable[[Column], Column]] = {
+    "assign": lambda t: t.contains(":") | t.contains("="),
+    "access": lambda t: t.contains("AKIA"),
+    "hex": lambda t: t.rlike(_RUN),
+    "account": lambda t: t.contains(":") | t.contains("="),
+    "random": lambda t: t.rlike(_RUN),
+    "endpoint": lambda t: t.contains("://") | (t.contains(".") & t.contains(":")),
+}
 #: Every kind of span in the order of ties; the last four are weak parts with complements.
 KINDS = ["assign", "access", "hex", "account", "short_access", "short_assign", "random", "endpoint"]
 
@@ -51,6 +62,10 @@ KINDS = ["assign", "access", "hex", "account", "short_access", "short_assign", "
 PART = "array<struct<raw:string,n:int,gap:int,len:int,value:int>>"
 
 
+def _hit(kind: str, text: Column) -> Column:
+    return NEEDS[kind](text) & text.rlike(PATTERNS[kind])
+
+
 def _matches(kind: str, pattern: str) -> Column:
     """[(kind, n, gap before, length, length of the assigned value)] of one pattern."""
     text = F.col("text")
@@ -63,7 +78,7 @@ def _matches(kind: str, pattern: str) -> Column:
             F.lit(kind).alias("raw"), n.alias("n"), x["gap"].alias("gap"), F.length(x["m"]).alias("len"), value(x["m"]).alias("value")
         ),
     )
-    return F.when(text.rlike(pattern), numbered)
+    return F.when(_hit(kind, text), numbered)
 
 
 def _parts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -129,7 +144,7 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = "<SECRET>") -> DataF
 
     Overlapping and touching spans become one mask; n_chars, where there, is counted anew.
     """
-    hit = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in PATTERNS.values()]), F.lit(False))
+    hit = F.coalesce(reduce(lambda a, b: a | b, [_hit(kind, F.col("text")) for kind in PATTERNS]), F.lit(False))
     clean = docs.where(~hit)
     held = docs.where(hit).select(F.lit(None).cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("__held"))
     found = find_spans(held, scope, ("__held",))
