@@ -5,8 +5,8 @@ word over and over.  In this family of pre-tokenizers a token never runs from a
 non-space character into white space, and a lone newline is a token of its own, so a
 text without two adjacent white-space characters and without an added token may be cut before every space and on
 both sides of every newline without changing its ids.  The pieces are looked up in a
-per-worker memo of bounded size; unknown pieces are encoded in one library call per
-batch.  Other texts are encoded whole, or - when very long - in runs cut between a
+per-worker memo of bounded size; unknown pieces are encoded by the library's model, if they
+are letters, and otherwise in one library call per batch.  Other texts are encoded whole, or - when very long - in runs cut between a
 non-space and a white-space character, which is also safe.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ _LOADED: dict[str, "WordMemoEncoder"] = {}
 #: Stands for "no space before"; texts that hold it, or other white space than spaces and newlines, go to the library whole.
 _BARE = "\x01"
 _OTHER_SPACE = re.compile("[\x01\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Letters that every Unicode version knows, and how byte-level models show a space and the bytes of other characters.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_SPACE = "\u0120"
+_SHOWN = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -49,16 +54,20 @@ def _stem(word: str) -> str:
 class WordMemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``memo_entries`` bounds the remembered words (about 200 bytes each).  A word is
-    remembered when a second batch holds it, as far as a bitmap of hashes can tell, so that
-    the many words that occur once take no room; others are encoded again.
+    ``memo_entries`` bounds the remembered words (about 150 bytes each).  When it is half
+    full a word is remembered only once a second batch holds it, as far as a table of hashes
+    can tell, so that the many words that occur once take no more room; words that are not
+    remembered are encoded again.
     """
 
-    def __init__(self, path: str, memo_entries: int = 400_000, run_chars: int = 500_000):
+    def __init__(self, path: str, memo_entries: int = 690_000, run_chars: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # letters in a row are one piece of a byte-level pre-tokenizer, and go to its model at once
+        byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model if byte_level else None
         # added tokens are found in whole texts, before words are: texts that hold one go to the library
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
@@ -100,6 +109,14 @@ class WordMemoEncoder:
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words without newlines, with the space before or, after _BARE, without; one call for many."""
         out: dict[str, bytes] = {}
+        if self.model is not None:
+            for w in words:
+                core = w[1:] if w[:1] == _BARE else w
+                if _LETTERS.fullmatch(core):
+                    shown = core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)
+                    ids = [t.id for t in self.model.tokenize(shown if w[:1] == _BARE else _SPACE + shown)]
+                    out[w] = struct.pack(f"<{len(ids)}I", *ids)
+            words = [w for w in words if w not in out]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             shown = [w[1:] if w[:1] == _BARE else " " + w for w in part]
@@ -152,6 +169,9 @@ class WordMemoEncoder:
             word, ids = words[n], more.get(stem) or memo[stem]
             found[n] = ids + self.marks[word[-1]] if len(stem) < len(word) else ids
         seen, last = self.seen, len(self.seen) - 1
+        if 2 * (len(memo) + len(more)) <= self.memo_entries:
+            memo.update(more)
+            more = {}
         for stem, ids in more.items():
             at = hash(stem) & last
             if not seen[at]:
