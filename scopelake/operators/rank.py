@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopelake.functions.storage import written
 from scopelake.functions.text import clamp, finite, path_filter, percent_g
 
 FOCUSED, DEPRIORITIZED = 1.25, 0.55
@@ -56,8 +57,11 @@ def top_ranked(scored: DataFrame, k: int, *tie: str, by: str = "score") -> DataF
 
 
 def all_ranked(scored: DataFrame, *tie: str, by: str = "score") -> DataFrame:
-    """Every row with its rank: a range sort, then each partition counts on from those before it."""
-    ordered = scored.orderBy(F.desc(by), *tie).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}).persist()
+    """Every row with its rank: a range sort, then each partition counts on from those before it.
+
+    The sorted rows are written, so that counts and rows come from one run of the sort.
+    """
+    ordered = written(scored.orderBy(F.desc(by), *tie).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "ranked")
     counts = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ordered.join(F.broadcast(starts), "_p")  # a row per partition
