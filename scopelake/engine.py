@@ -95,9 +95,7 @@ class Engine:
 
     def dependencies(self) -> tuple[DataFrame, DataFrame]:
         files = trees.module_files(self.spark, self.root)
-        every = trees.listing(self.spark, self.root)
-        configs = [c for name in trees.CONFIG_NAMES for c in trees.small_files(self.root, every, name) if not c[0]]
-        base, aliases = trees.aliases(self.spark, configs)
+        base, aliases = trees.aliases(self.spark, trees.nearest_config(self.root), trees.folder_names(self.root))
         return modules.dependency_graph(modules.scan_modules(files).persist(), base, aliases)
 
     def _one(self, path: str) -> DataFrame:
@@ -105,7 +103,8 @@ class Engine:
         return trees.with_content(self.spark, self.root, f)
 
     def overlay(self, path: str, focus: tuple[int, int], slice_: tuple[int, int] | None = None) -> DataFrame:
-        return flow.overlay(self._one(path), focus, slice_)
+        base, aliases = trees.aliases(self.spark, trees.nearest_config(self.root), trees.folder_names(self.root))
+        return flow.overlay(self._one(path), focus, slice_, trees.module_files(self.spark, self.root).select("path"), base, aliases)
 
     def scope_graph(self, path: str) -> DataFrame:
         return flow.scope_graph(self._one(path))

@@ -72,6 +72,13 @@ def relative_target(base_dir: Column, specifier: Column) -> Column:
     return collapsed_path(F.concat(base_dir, F.lit("/"), specifier))
 
 
+def aliased_files(specifiers: DataFrame, files: DataFrame, base: str, aliases: DataFrame) -> DataFrame:
+    """specifier, resolved of those that an alias (ord, pattern, targets) leads to a file of files (path)."""
+    via = expand_aliases(specifiers, aliases).select("specifier", "preference", relative_target(F.lit(base), F.col("target")).alias("target"))
+    tried = via.select("specifier", "preference", F.posexplode(candidates(F.col("target"))).alias("k", "path"))
+    return tried.join(files.select("path"), "path").groupBy("specifier").agg(F.min_by("path", F.struct("preference", "k")).alias("resolved"))
+
+
 def route(imports: DataFrame) -> DataFrame:
     """imports (specifier, resolved, alias) with kind: internal, dropped (relative, unresolved) or external."""
     relative = F.col("specifier").startswith(".")

@@ -51,6 +51,26 @@ def focused_scope(scopes: DataFrame, closed: DataFrame, start: int, end: int) ->
     return whole.groupBy("path").agg(F.max_by("scope_id", "depth").alias("scope_id"))
 
 
+def breadcrumb_trail(scopes: DataFrame, closed: DataFrame, start: int, end: int) -> DataFrame:
+    """path, scope_id, depth of the scopes on the way down to a range of lines, the file's own scope first.
+
+    At each step the narrowest child that holds the range is entered, of equal ones the
+    first.  A child as wide as its parent is entered only if one of its own children holds
+    the range and is narrower.
+    """
+    span = F.col("end_line") - F.col("start_line")
+    holds = scopes.where((F.col("start_line") <= start) & (F.col("end_line") >= end)).withColumn("span", span)
+    best = Window.partitionBy("path", "parent_id").orderBy("span", "preorder")
+    entered = holds.where("depth > 0").withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    inner = holds.groupBy(F.col("parent_id").alias("scope_id")).agg(F.min("span").alias("inner"))
+    outer = scopes.select(F.col("scope_id").alias("parent_id"), span.alias("outer"))
+    wide = F.coalesce(F.col("span") >= F.col("outer"), F.lit(False)) & ~F.coalesce(F.col("inner") < F.col("span"), F.lit(False))
+    entered = entered.join(inner, "scope_id", "left").join(outer, "parent_id", "left").where(~wide & (F.col("span") <= F.coalesce("outer", "span")))
+    chain = closed.join(entered.select(F.col("scope_id").alias("ancestor")), "ancestor", "left_semi").groupBy("node").agg(F.count("*").alias("_n"))
+    whole = entered.join(chain, F.col("scope_id") == F.col("node")).where(F.col("_n") == F.col("depth"))
+    return scopes.where("depth = 0").select("path", "scope_id", "depth").unionByName(whole.select("path", "scope_id", "depth"))
+
+
 def relative_depth(nodes: DataFrame, closed: DataFrame) -> DataFrame:
     """node_id, file_depth: steps below the nearest file; null above files."""
     files = nodes.where("node_type = 'file'").select(F.col("node_id").alias("ancestor"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scopelake.operators import deps
 from scopelake.operators import flow as ops
 from scopelake.sources.analyzers.flow_scan import BUILTINS, flow_rows
 
@@ -73,8 +74,12 @@ def resolved(scanned: DataFrame, ordered: bool) -> tuple[DataFrame, DataFrame, D
     return s, last if not ordered else d, found.withColumnRenamed("scope", "scope_id"), c
 
 
-def overlay(files: DataFrame, focus: tuple[int, int], slice_: tuple[int, int] | None = None) -> DataFrame:
-    """Tokens in the focused lines with category, tooltip and the line of their definition."""
+def overlay(files: DataFrame, focus: tuple[int, int], slice_: tuple[int, int] | None = None, modules: DataFrame | None = None, base: str = "", aliases: DataFrame | None = None) -> DataFrame:
+    """Tokens in the focused lines with category, tooltip and the line of their definition.
+
+    An import is internal if it is relative, or if one of the aliases leads it to a file
+    of modules (path).
+    """
     s, d, u, c = resolved(scan(files, "focus").persist(), ordered=False)
     u = ops.focus_lines(u, "line", slice_ or focus, focus)
     dd = d.select("def_id", F.col("kind").alias("def_kind"), F.col("line").alias("def_line"), F.col("col").alias("def_col"), "source", F.col("scope_id").alias("def_scope"))
@@ -83,6 +88,11 @@ def overlay(files: DataFrame, focus: tuple[int, int], slice_: tuple[int, int] |
     fn = c.join(s.where("kind = 'function' OR depth = 0").select(F.col("scope_id").alias("ancestor")), "ancestor", "left_semi")
     fn = fn.groupBy("node").agg(F.min_by("ancestor", "distance").alias("fn")).withColumnRenamed("node", "scope_id")
     j = u.join(dd, "def_id", "left").join(depth, "def_scope", "left").join(fn, "scope_id", "left")
+    internal = F.col("source").startswith(".")
+    if modules is not None and aliases is not None:
+        away = d.where("source IS NOT NULL AND NOT startswith(source, '.')").select(F.col("source").alias("specifier")).distinct()
+        j = j.join(deps.aliased_files(away, modules, base, aliases).select(F.col("specifier").alias("source"), F.lit(True).alias("by_alias")), "source", "left")
+        internal = internal | F.coalesce("by_alias", F.lit(False))
     below = c.select(F.col("node").alias("def_scope"), F.col("ancestor").alias("fn"), F.lit(True).alias("fn_holds_def"))
     above = c.select(F.col("node").alias("fn"), F.col("ancestor").alias("def_scope"), F.lit(True).alias("def_holds_fn"))
     j = j.join(below, ["def_scope", "fn"], "left").join(above, ["fn", "def_scope"], "left")
@@ -92,7 +102,7 @@ def overlay(files: DataFrame, focus: tuple[int, int], slice_: tuple[int, int] |
         inside_focus=F.col("def_line").between(start, end) & (F.col("def_depth") > 0),
         kind=F.col("def_kind"),
         builtin=F.col("name").isin(*BUILTINS),
-        import_internal=F.coalesce(F.col("source").startswith("."), F.lit(False)),
+        import_internal=F.coalesce(internal, F.lit(False)),
         module_level=F.col("def_depth") == 0,
         own=flag("fn_holds_def"),
         ancestor=flag("def_holds_fn"),

@@ -193,6 +193,21 @@ def repository_root(path: str) -> str:
     return str(next((p for p in (start, *start.parents) if (p / ".git").exists()), start))
 
 
+def nearest_config(root: str) -> list[tuple[str, str]]:
+    """(folder relative to root, content) of configuration files from root upwards, nearest first; folders above are ``..`` paths."""
+    fs, top = file_system(root)
+    out, at, up = [], top.rstrip("/"), []
+    while at:
+        for name in CONFIG_NAMES:
+            try:
+                with fs.open_input_stream(f"{at}/{name}", compression=None) as f:
+                    out.append(("/".join(up), f.read().decode("utf-8", "replace")))
+            except OSError:
+                continue
+        at, up = at.rpartition("/")[0], [*up, ".."]
+    return out
+
+
 def source_files(spark: SparkSession, root: str, gitignore: bool = True) -> DataFrame:
     """path, file_size, last_modified, content of every file that is analyzed."""
     every = listing(spark, root)
@@ -234,16 +249,41 @@ def strip_comments(text: str) -> str:
     return re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", text)
 
 
-def aliases(spark: SparkSession, configs: list[tuple[str, str]]) -> tuple[str, DataFrame]:
-    """(base folder, alias rows) of the first configuration; what cannot be read gives none."""
+def folder_names(root: str) -> list[str]:
+    return [p for p in file_system(root)[1].split("/") if p]
+
+
+def _seen_from(names: list[str], pattern: str, target: list[str]) -> tuple[str, str] | None:
+    """(pattern, target) of an alias from within the folder names below the configuration; None if it leads elsewhere."""
+    if target[: len(names)] == names:
+        return pattern, "/".join(target[len(names) :])
+    at = target.index("*") if "*" in target else len(names)
+    if at < len(names) and target[:at] == names[:at]:  # what the star stands for must begin with the other names
+        return pattern.replace("*", "/".join(names[at:]) + "/*", 1), "/".join(target[at:])
+    return None
+
+
+def aliases(spark: SparkSession, configs: list[tuple[str, str]], names: list[str] = ()) -> tuple[str, DataFrame]:
+    """(base folder, alias rows) of the first configuration; what cannot be read gives none.
+
+    names are those of the scanned folder's path, for a configuration above it.
+    """
     rows, base = [], ""
     if configs:
         folder, text = configs[0]
         try:
             options = json.loads(re.sub(r",(\s*[}\]])", r"\1", strip_comments(text))).get("compilerOptions") or {}
-            base = "/".join(p for p in (folder, options.get("baseUrl", ".").strip("./")) if p)
+            own = options.get("baseUrl", ".").strip("./")
+            below = list(names[len(names) - folder.count("..") :]) if folder else []
+            base = "" if below else own
             for n, (pattern, to) in enumerate((options.get("paths") or {}).items()):
-                rows.append((n, pattern, [to] if isinstance(to, str) else list(to)))
+                to = [to] if isinstance(to, str) else list(to)
+                if not below:
+                    rows.append((n, pattern, to))
+                    continue
+                for target in to:
+                    seen = _seen_from(below, pattern, [p for p in f"{own}/{target}".split("/") if p not in ("", ".")])
+                    rows += [(n, seen[0], [seen[1]])] if seen else []
         except (ValueError, AttributeError):
             rows = []
     return base, spark.createDataFrame(rows, "ord int, pattern string, targets array<string>")

@@ -4,6 +4,7 @@ import pytest
 
 from scopelake import cli, report
 from scopelake.engine import Engine
+from scopelake.operators.explorer import breadcrumb_trail
 from scopelake.sources import flow
 
 FILES = {
@@ -101,3 +102,40 @@ def test_data_flow(spark):
     by = {r["id"]: r["type"] for r in nodes.collect()}
     assert sorted((by[r["source"]], by[r["target"]]) for r in edges.where("type = 'control-flow'").collect()) == [("if_branch", "else_branch"), ("try", "catch")]
     assert edges.where("type = 'data'").count() == 2
+
+
+def test_imports_by_alias_are_internal(spark):
+    f = spark.createDataFrame([("src/a.ts", 'import { x } from "@/b";\nimport { y } from "@/gone";\nimport z from "./c";\nconst s = x + y + z;\n'), ("src/b.ts", "export const x = 1;\n")], "path string, content string")
+    rows = spark.createDataFrame([(0, "@/*", ["src/*"])], "ord int, pattern string, targets array<string>")
+    t = {r["name"]: (r["category"], r["tooltip"]) for r in flow.overlay(f, (4, 4), None, f.select("path"), "", rows).collect()}
+    assert t == {"x": ("importInternal", "Import (internal): @/b"), "y": ("importExternal", "Import (external): @/gone"), "z": ("importInternal", "Import (internal): ./c")}
+    assert {r["name"]: r["category"] for r in flow.overlay(f, (4, 4)).collect()}["x"] == "importExternal"
+
+
+def test_configuration_above_the_scanned_folder(spark, tmp_path):
+    (tmp_path / "app" / "src").mkdir(parents=True)
+    (tmp_path / "tsconfig.json").write_text('{"compilerOptions": {"baseUrl": ".", "paths": {"@app/*": ["app/src/*"], "#/*": ["*"], "@lib/*": ["lib/*"]}}}')
+    (tmp_path / "app" / "src" / "b.ts").write_text("export const x = 1;\n")
+    (tmp_path / "app" / "a.ts").write_text('import { x } from "@app/b";\nimport { x as y } from "#/app/src/b";\nimport { z } from "@lib/b";\nconst s = x + y + z;\n')
+    e = Engine(spark, str(tmp_path / "app"))
+    edges = sorted((r["source"], r["target"]) for r in e.dependencies()[1].where("edge_kind <> 'export'").collect())
+    assert edges == [("a.ts", "@lib/b"), ("a.ts", "src/b.ts"), ("a.ts", "src/b.ts")]
+    assert {r["name"]: r["category"] for r in e.overlay("a.ts", (4, 4)).collect()} == {"x": "importInternal", "y": "importInternal", "z": "importExternal"}
+
+
+def test_the_way_down_to_a_range(spark):
+    #       id, parent, depth, start, end, preorder
+    rows = [(0, None, 0, 1, 100, 0), (1, 0, 1, 1, 100, 1), (2, 1, 2, 10, 50, 2), (3, 1, 2, 10, 60, 3), (4, 2, 3, 10, 50, 4), (5, 4, 4, 20, 30, 5), (6, 2, 3, 40, 45, 6), (7, 5, 5, 20, 30, 7)]
+    s = spark.createDataFrame([("a.ts", *r) for r in rows], "path string, scope_id long, parent_id long, depth long, start_line long, end_line long, preorder long")
+    up = {r[0]: r[1] for r in rows}
+    closed = []
+    for node in up:
+        at, n = node, 0
+        while at is not None:
+            closed.append((node, at, n))
+            at, n = up[at], n + 1
+    c = spark.createDataFrame(closed, "node long, ancestor long, distance long")
+    trail = lambda a, b: [r["scope_id"] for r in breadcrumb_trail(s, c, a, b).orderBy("depth").collect()]
+    assert trail(22, 25) == [0, 1, 2, 4, 5]  # wide wrappers only where something narrower lies below; 7 is none
+    assert trail(41, 42) == [0, 1, 2, 6] and trail(55, 58) == [0, 1, 3] and trail(12, 60) == [0, 1, 3]
+    assert trail(90, 95) == [0] and trail(1, 200) == [0]
