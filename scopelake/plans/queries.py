@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scopelake.functions import text as T
+from scopelake.functions.storage import written
 from scopelake.operators import deps, flow, lines, rank, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +73,10 @@ w AS (SELECT f.*, mc, ml, mt, mp,
 s AS (SELECT *, num / den AS raw_score, round(num / den, 4) AS score FROM w WHERE den > 0)"""
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return rank.with_score(files(spark, sf), WEIGHTS).withColumn("score", F.round("raw_score", 4))
+def scored(spark: SparkSession, sf: str, stored: bool = False) -> DataFrame:
+    """Files with scores; stored where more than one pass reads them: texts are then measured once, into narrow rows."""
+    f = files(spark, sf)
+    return rank.with_score(written(f, "file-metrics") if stored else f, WEIGHTS).withColumn("score", F.round("raw_score", 4))
 
 
 @query(f"WITH {SCORE_SQL} SELECT doc_id, path, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 50")
@@ -83,7 +86,7 @@ def hotspot_rank_documents(spark, sf):
 
 @query(f"WITH {SCORE_SQL} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM s")
 def hotspot_rank_all(spark, sf):
-    return rank.all_ranked(scored(spark, sf).select("doc_id", "score"), "doc_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return rank.all_ranked(scored(spark, sf, stored=True).select("doc_id", "score"), "doc_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(r"""SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS BIGINT) AS loc,
@@ -159,7 +162,7 @@ CATEGORY_SQL = "CASE WHEN todo_count > 0 THEN 'maintainability' WHEN loc >= comp
 d AS (SELECT *, row_number() OVER (PARTITION BY top, category ORDER BY rank) AS k FROM r), n AS (SELECT *, row_number() OVER (ORDER BY rank) AS i FROM d WHERE k = 1)
 SELECT concat('finding-', lpad(CAST(i AS VARCHAR), 3, '0')) AS id, top AS path, category, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS priority, score FROM n WHERE i <= 40""")
 def finding_dedupe_numbering(spark, sf):
-    s = scored(spark, sf).withColumn("path", F.substring_index("path", "/", 1)).withColumn("category", rank.category(rank.evidence(list(WEIGHTS))))
+    s = scored(spark, sf, stored=True).withColumn("path", F.substring_index("path", "/", 1)).withColumn("category", rank.category(rank.evidence(list(WEIGHTS))))
     r = rank.all_ranked(s.select("doc_id", "path", "category", "score"), "doc_id")
     return rank.findings(r, 40).select("id", "path", "category", "priority", "score")
 
@@ -373,20 +376,22 @@ def alias_expansion(spark, sf):
     return deps.best_alias(deps.expand_aliases(h, rules))
 
 
-@query("""SELECT p_partkey::VARCHAR || '/' || p_brand AS source, 's' || l_suppkey AS target, p_brand AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND right(p_brand, 1) IN ('1', '2') GROUP BY ALL""")
+def brand_exports(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("name"), F.concat_ws("/", F.col("p_partkey").cast("string"), "p_brand").alias("export_id"))
+
+
+@query("""SELECT p_partkey::VARCHAR || '/' || p_brand AS source, 's' || l_suppkey AS target, p_brand AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (CAST(substr(p_brand, 7) AS INT) - 1) % 5 = l_suppkey % 5 GROUP BY ALL""")
 def symbol_edges(spark, sf):
-    p, l = table(spark, sf, "part"), table(spark, sf, "lineitem").where("l_returnflag = 'R'")
-    exports = p.select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("name"), F.concat_ws("/", F.col("p_partkey").cast("string"), "p_brand").alias("export_id")).where(F.substring("name", -1, 1).isin("1", "2"))
-    brands = p.select(F.sort_array(F.collect_set("p_brand")).alias("symbols"))
-    imports = l.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("importer"), F.col("l_partkey").alias("resolved")).crossJoin(F.broadcast(brands))
-    return deps.symbol_edges(imports, exports).groupBy("source", "target", "name").agg(F.count("*").alias("n"))
+    """Each supplier imports a fifth of the 25 brands from every part it delivers; most parts do not export them."""
+    symbols = F.array(*[F.concat(F.lit("Brand#"), (1 + F.col("l_suppkey") % 5 + n).cast("string")) for n in range(0, 25, 5)])
+    imports = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("importer"), F.col("l_partkey").alias("resolved"), symbols.alias("symbols"))
+    return deps.symbol_edges(imports, brand_exports(spark, sf)).groupBy("source", "target", "name").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey::VARCHAR || '/' || p_brand AS source, 's' || l_suppkey AS target, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linestatus = 'O' GROUP BY ALL""")
+@query("""SELECT p_partkey::VARCHAR || '/' || p_brand AS source, 's' || l_suppkey AS target, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def fallback_edges(spark, sf):
-    exports = table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("name"), F.concat_ws("/", F.col("p_partkey").cast("string"), "p_brand").alias("export_id"))
-    imports = table(spark, sf, "lineitem").where("l_linestatus = 'O'").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("importer"), F.col("l_partkey").alias("resolved"), F.array().cast("array<string>").alias("symbols"))
-    return deps.symbol_edges(imports, exports).groupBy("source", "target").agg(F.count("*").alias("n"))
+    imports = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("importer"), F.col("l_partkey").alias("resolved"), F.array().cast("array<string>").alias("symbols"))
+    return deps.symbol_edges(imports, brand_exports(spark, sf)).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
 def part_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -500,16 +505,9 @@ def display_slice(spark, sf):
 STOP = ["the", "of", "and", "to", "in", "is", "that", "for", "on", "with", "der", "die", "das", "und", "de", "la", "le", "et"]
 
 
-@query(f"""WITH w AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS name FROM documents WHERE lang = 'en')
-SELECT name, CAST(count(*) AS BIGINT) AS count FROM w WHERE name <> '' AND name NOT IN ({", ".join(repr(s) for s in STOP)}) GROUP BY name ORDER BY count DESC, name LIMIT 20""")
-def not_builtin(spark, sf):
-    w = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("name")).where("name <> ''")
-    return flow.unresolved_counts(w, spark.createDataFrame([(s,) for s in STOP], "name string"))
-
-
 @query(f"""WITH w AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS name FROM documents)
 SELECT name, CAST(count(*) AS BIGINT) AS count FROM w WHERE name <> '' AND name NOT IN ({", ".join(repr(s) for s in STOP)}) GROUP BY name ORDER BY count DESC, name LIMIT 20""")
-def not_builtin_all(spark, sf):
+def not_builtin(spark, sf):
     """The words of documents in every language."""
     w = table(spark, sf, "documents").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("name")).where("name <> ''")
     return flow.unresolved_counts(w, spark.createDataFrame([(s,) for s in STOP], "name string"))
@@ -527,10 +525,10 @@ def grouping_sets(spark, sf):
     return d.rollup("part", "suffix").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_suppkey AS id FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 EXCEPT SELECT s_suppkey FROM supplier WHERE s_nationkey < 5")
+@query("SELECT l_suppkey AS id FROM lineitem INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 EXCEPT SELECT s_suppkey FROM supplier WHERE s_nationkey < 5")
 def set_operations(spark, sf):
     s = table(spark, sf, "supplier")
-    a = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("id"))
+    a = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"))
     return a.intersect(s.where("s_acctbal > 0").select("s_suppkey")).subtract(s.where("s_nationkey < 5").select("s_suppkey"))
 
 
@@ -563,21 +561,9 @@ def events_session(spark, sf):
 # interactive views
 
 
-@query("""WITH n AS (SELECT 'folder' AS kind, n_name AS name, CAST(count(*) AS BIGINT) AS v FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL UNION ALL SELECT 'file', s_name, CAST(s_suppkey % 7 AS BIGINT) FROM supplier)
-SELECT name, CAST(row_number() OVER (ORDER BY kind <> 'folder', v DESC, lower(name)) AS INT) AS place FROM n ORDER BY kind <> 'folder', v DESC, lower(name) LIMIT 40""")
-def explorer_sort(spark, sf):
-    from scopelake.operators.explorer import explorer_order
-
-    s = table(spark, sf, "supplier")
-    folders = s.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("v")).withColumn("kind", F.lit("folder"))
-    n = folders.unionByName(s.select(F.lit("file").alias("kind"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).cast("long").alias("v")))
-    order = explorer_order(F.col("kind"), F.col("v"), F.col("name"))
-    return n.orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("name", "place")
-
-
 @query("""WITH n AS (SELECT 'folder' AS kind, n_name AS name, CAST(count(*) AS BIGINT) AS v FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL UNION ALL SELECT 'file', s_name, CAST(s_suppkey % 7 AS BIGINT) FROM supplier)
 SELECT name, CAST(row_number() OVER (ORDER BY kind <> 'folder', v DESC, lower(name)) AS INT) AS place FROM n""")
-def explorer_sort_all(spark, sf):
+def explorer_sort(spark, sf):
     """Every row with its place: a range sort, no task sees them all."""
     from scopelake.operators.explorer import explorer_order
 
@@ -636,105 +622,133 @@ def colour_scale(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(colour_position(F.col("p_size").cast("double"), [5.0, 20.0, 40.0]), 6).alias("position"))
 
 
-@query("""SELECT p_partkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:,.1f}', b / 1024.0::DOUBLE) || ' KB' ELSE format('{:,.1f}', b / 1048576.0::DOUBLE) || ' MB' END AS shown FROM (SELECT p_partkey, p_partkey * p_size * 37 AS b FROM part WHERE p_partkey % 2 = 1 AND p_size % 2 = 1)""")
-def byte_sizes(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 2 = 1 AND p_size % 2 = 1")
-    return p.select("p_partkey", T.byte_size(F.col("p_partkey") * F.col("p_size") * 37).alias("shown"))
-
-
 @query("""SELECT p_partkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:,.1f}', b / 1024.0::DOUBLE) || ' KB' ELSE format('{:,.1f}', b / 1048576.0::DOUBLE) || ' MB' END AS shown FROM (SELECT p_partkey, p_partkey * p_size * 37 AS b FROM part)""")
-def byte_sizes_all(spark, sf):
+def byte_sizes(spark, sf):
     """Every part; exact halves go to the even digit in both."""
     return table(spark, sf, "part").select("p_partkey", T.byte_size(F.col("p_partkey") * F.col("p_size") * 37).alias("shown"))
 
 
-# analyzers, on sources written here; the SQL states what they must give
+# analyzers, on source files written from the rows of the tables; the SQL counts what each file must give
 
-TS_SOURCE = """import { join as j } from "path";
-const top = 1;
 
-export function outer(p: number) {
-  const local = p + top;
-  function inner() {
-    console.log(local);
-    return local + p + top + j("a", "b") + missing;
-  }
-  if (p && local) { return inner(); }
-  return [1, 2].map((x) => x ?? 0);
-}
-"""
-PY_SOURCE = "import os\n\nclass K:\n    def m(self, a=1):\n        # TODO\n        if a and self:\n            return [x for x in a]\n\nf = lambda q: q\n"
-SCSS_SOURCE = "@mixin m($a) {\n  x: $a;\n}\n.s {\n  @include m(1);\n  .t { y: z }\n}\n"
-MD_SOURCE = "# A\n\n> said\n\n## B\n\n![x](data:image/png;base64,AA)\n"
+def made_files(rows: DataFrame, path: Column, *parts: Column | str) -> DataFrame:
+    """path, content: one file per row, the parts after one another."""
+    return rows.select(path.alias("path"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("content"))
 
 
-def sources(spark: SparkSession, *rows: tuple[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(rows), "path string, content string")
+def joined(n: Column, each, sep: str) -> Column:
+    """each(0), each(1) ... each(n - 1) as one string."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), each), sep)).otherwise("")
 
 
-def scopes_of(spark: SparkSession, path: str, text: str) -> DataFrame:
-    from scopelake.sources.analyze import analyze, scopes
+def numbered(prefix: str) -> Callable[[Column], Column]:
+    return lambda i: F.concat(F.lit(prefix), i.cast("string"))
 
-    return scopes(analyze(sources(spark, (path, text)))).select("name", "complexity", "start_line", "end_line", "parameter_count")
 
+def scopes_of(files: DataFrame) -> DataFrame:
+    from scopelake.sources.analyze import analyze, scopes
 
-def golden(columns: str, *rows: tuple) -> str:
-    shown = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT" for v in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {shown}) AS t({columns})"
+    return scopes(analyze(files)).select("path", "name", "complexity", "start_line", "end_line", "parameter_count")
 
 
-SCOPE_COLUMNS = "name, complexity, start_line, end_line, parameter_count"
+def scopes_sql(table: str, key: str, suffix: str, n: str, m: str, *scopes: tuple) -> str:
+    """name, complexity, first and last line, parameters of the scopes of every row's file; n and m may be used."""
+    rows = f"(SELECT {key}::VARCHAR || '.{suffix}' AS path, {key} AS key, {n} AS n, {m} AS m, * FROM {table})"
+    return " UNION ALL ".join(f"SELECT path, {a} AS name, CAST({b} AS DOUBLE) AS complexity, CAST({c} AS BIGINT) AS start_line, CAST({d} AS BIGINT) AS end_line, CAST({e} AS BIGINT) AS parameter_count FROM {rows}" for a, b, c, d, e in scopes)
 
 
-@query(golden(SCOPE_COLUMNS, ("(imports)", 0.0, 1, 1, 0), ("outer", 3.0, 4, 12, 1), ("inner", 1.0, 6, 9, 0), ("map(ƒ)", 2.0, 11, 11, 1)))
+@query(scopes_sql("supplier", "s_suppkey", "ts", "s_suppkey % 5", "s_nationkey % 4", ("'(imports)'", 0, 1, 1, 0), ("'f' || key", "1 + n", 3, "8 + n", "m"), ("'inner'", 1, "4 + n", "6 + n", 0)))
 def ts_scopes(spark, sf):
-    return scopes_of(spark, "a.ts", TS_SOURCE)
+    """Suppliers as modules: a function with as many branches and parameters as the row says, and one inside it."""
+    t = table(spark, sf, "supplier")
+    n, m, key = F.col("s_suppkey") % 5, F.col("s_nationkey") % 4, F.col("s_suppkey").cast("string")
+    parts = ['import { a } from "./m";\n\nexport function f', key, "(", joined(m, numbered("p"), ", "), ") {\n", F.repeat(F.lit("  if (top) { a(); }\n"), n.cast("int")), "  function inner() {\n    return 1;\n  }\n  return 0;\n}\n"]
+    return scopes_of(made_files(t, F.concat(key, F.lit(".ts")), *parts))
 
 
-@query(golden(SCOPE_COLUMNS, ("(imports)", 0.0, 1, 1, 0), ("(class) K", 1.0, 3, 7, 0), ("m", 3.0, 4, 7, 2), ("(lambda)", 1.0, 9, 9, 1)))
+@query(scopes_sql("part", "p_partkey", "py", "p_size % 6", "p_partkey % 3", ("'(imports)'", 0, 1, 1, 0), ("'f' || key", "1 + n", 4, "5 + 2 * n", "m")))
 def py_scopes(spark, sf):
-    return scopes_of(spark, "a.py", PY_SOURCE)
+    t = table(spark, sf, "part")
+    n, m, key = F.col("p_size") % 6, F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    parts = ["import os\n\n\ndef f", key, "(", joined(m, numbered("p"), ", "), "):\n", F.repeat(F.lit("    if os:\n        os()\n"), n.cast("int")), "    return 0\n"]
+    return scopes_of(made_files(t, F.concat(key, F.lit(".py")), *parts))
 
 
-@query(golden(SCOPE_COLUMNS, ("@mixin m($a)", 0.0, 1, 3, 0), (".s", 0.0, 4, 7, 0), (".t", 0.0, 6, 6, 0)))
+@query(scopes_sql("customer", "c_custkey", "css", "c_custkey % 4", "c_nationkey", ("'.c' || key", 0, 1, "2 + n", 0), ("'.n' || m", 0, "3 + n", "4 + n", 0)))
 def css_scopes(spark, sf):
-    return scopes_of(spark, "a.scss", SCSS_SOURCE)
+    t = table(spark, sf, "customer")
+    n, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    parts = [".c", key, " {\n", F.repeat(F.lit("  color: red;\n"), n.cast("int")), "}\n.n", F.col("c_nationkey").cast("string"), " {\n}\n"]
+    return scopes_of(made_files(t, F.concat(key, F.lit(".css")), *parts))
 
 
-@query(golden(SCOPE_COLUMNS, ("# A", 0.0, 1, 7, 0), ("> said", 0.0, 3, 3, 0), ("## B", 0.0, 5, 7, 0), ("data-url image/png;base64", 0.0, 7, 7, 0)))
+@query(scopes_sql("customer", "c_custkey", "md", "c_custkey % 7", "c_nationkey", ("'# C' || key", 0, 1, "2 + n", 0), ("'## N' || m", 0, "2 + n", "2 + n", 0)))
 def md_scopes(spark, sf):
-    return scopes_of(spark, "a.md", MD_SOURCE)
+    t = table(spark, sf, "customer")
+    n, key = F.col("c_custkey") % 7, F.col("c_custkey").cast("string")
+    return scopes_of(made_files(t, F.concat(key, F.lit(".md")), "# C", key, "\n", F.repeat(F.lit("text\n"), n.cast("int")), "## N", F.col("c_nationkey").cast("string"), "\n"))
+
 
+def flow_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as modules: n variables from a parameter and a constant, all of them and an unknown name returned."""
+    t = table(spark, sf, "supplier")
+    n, key = F.col("s_suppkey") % 5 + 1, F.col("s_suppkey").cast("string")
+    lines = joined(n, lambda i: F.concat(F.lit("  const a"), i.cast("string"), F.lit(" = p + top;\n")), "")
+    return made_files(t, F.concat(key, F.lit(".ts")), "const top = 1;\nfunction f", key, "(p) {\n", lines, "  return ", joined(n, numbered("a"), " + "), " + gone;\n}\n")
 
-@query(golden("name, line, category", ("console", 7, "builtin"), ("local", 7, "capture"), ("local", 8, "capture"), ("p", 8, "param"), ("top", 8, "module"), ("j", 8, "importExternal"), ("missing", 8, "unresolved")))
+
+@query("""WITH f AS (SELECT s_suppkey::VARCHAR || '.ts' AS path, s_suppkey % 5 + 1 AS n FROM supplier)
+SELECT path, 'param' AS category, CAST(n AS BIGINT) AS n FROM f UNION ALL SELECT path, 'module', CAST(n AS BIGINT) FROM f UNION ALL SELECT path, 'local', CAST(n AS BIGINT) FROM f UNION ALL SELECT path, 'unresolved', CAST(1 AS BIGINT) FROM f""")
 def focus_overlay(spark, sf):
     from scopelake.sources.flow import overlay
 
-    return overlay(sources(spark, ("a.ts", TS_SOURCE)), (7, 8)).select("name", "line", "category")
+    return overlay(flow_files(spark, sf), (3, 100)).groupBy("path", "category").agg(F.count("*").alias("n"))
 
 
-@query(golden("name, declared, captured", ("global@1", "outer,top", ""), ("block@10", "", "inner"), ("outer", "inner,local,p", ""), ("inner", "", "local,p"), ("function@11", "x", "")))
+@query("""WITH f AS (SELECT s_suppkey::VARCHAR || '.ts' AS path, s_suppkey, s_suppkey % 5 + 1 AS n FROM supplier)
+SELECT path, 'global@1' AS name, 'f' || s_suppkey || ',top' AS declared, '' AS captured FROM f UNION ALL SELECT path, 'f' || s_suppkey, array_to_string(list_transform(range(n), lambda i: 'a' || i), ',') || ',p', '' FROM f""")
 def scope_graph(spark, sf):
     from scopelake.sources.flow import scope_graph as graph
 
-    return graph(sources(spark, ("a.ts", TS_SOURCE))).select("name", F.array_join("declared", ",").alias("declared"), F.array_join("captured", ",").alias("captured"))
+    return graph(flow_files(spark, sf)).select("path", "name", F.array_join("declared", ",").alias("declared"), F.array_join("captured", ",").alias("captured"))
 
 
-@query(golden("type, n", ("data", 10)))
+@query("""SELECT s_suppkey::VARCHAR || '.ts' AS path, 'data' AS type, CAST(3 * (s_suppkey % 5 + 1) AS BIGINT) AS n FROM supplier""")
 def data_flow_edges(spark, sf):
     from scopelake.sources.flow import data_flow
 
-    return data_flow(sources(spark, ("a.ts", TS_SOURCE)))[1].groupBy("type").agg(F.count("*").alias("n"))
+    edges = data_flow(flow_files(spark, sf))[1].withColumn("path", F.regexp_extract("target", r"^u:(.*)#", 1))
+    return edges.groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+def nation_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as modules that export, suppliers as modules that import them by path and by alias, and a package."""
+    own, key = F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.col("s_suppkey").cast("string")
+    made = made_files(table(spark, sf, "supplier"), F.concat(F.lit("s/"), key, F.lit(".ts")), 'import { v } from "../', own, '";\nimport q from "lib', (F.col("s_suppkey") % 3).cast("string"), '";\nimport { v as w } from "@n/', own, '";\nimport "./gone";\nconst u = v + w;\n')
+    nation = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".ts"))
+    return made.unionByName(made_files(table(spark, sf, "nation"), nation, "export const v = 1;\n"))
+
+
+ALIAS_ROWS = [(0, "@n/*", ["*"])], "ord int, pattern string, targets array<string>"
 
 
-@query(golden("source, target, edge_kind", ("a.ts", "u/b.ts", "import"), ("u/b.ts::b", "a.ts", "export"), ("a.ts", "react", "external"), ("a.ts", "lib/c.ts", "import")))
+@query("""WITH f AS (SELECT 's/' || s_suppkey || '.ts' AS path, 'n' || s_nationkey || '.ts' AS own, 'lib' || (s_suppkey % 3) AS lib FROM supplier)
+SELECT path AS source, own AS target, 'import' AS edge_kind, CAST(2 AS BIGINT) AS n FROM f UNION ALL SELECT own || '::v', path, 'export', CAST(2 AS BIGINT) FROM f UNION ALL SELECT path, lib, 'external', CAST(1 AS BIGINT) FROM f""")
 def dependency_graph(spark, sf):
     from scopelake.sources.modules import dependency_graph as graph
     from scopelake.sources.modules import scan_modules
 
-    files = sources(spark, ("a.ts", 'import { b } from "./u/b";\nimport r from "react";\nimport { nothing } from "@l/c";\nimport "./gone";\n'), ("u/b.ts", "export const b = 1;\n"), ("lib/c.ts", "export default 1;\n"))
-    aliases = spark.createDataFrame([(0, "@l/*", ["lib/*"])], "ord int, pattern string, targets array<string>")
-    return graph(scan_modules(files), "", aliases)[1].select("source", "target", "edge_kind")
+    edges = graph(scan_modules(nation_modules(spark, sf)), "", spark.createDataFrame(*ALIAS_ROWS))[1]
+    return edges.groupBy("source", "target", "edge_kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 's/' || s_suppkey || '.ts' AS path, unnest(['v', 'w']) AS name, 'importInternal' AS category FROM supplier""")
+def overlay_aliases(spark, sf):
+    """Imports by path and by alias are internal where they lead to a file."""
+    from scopelake.sources.flow import overlay
+
+    f = nation_modules(spark, sf)
+    return overlay(f, (5, 5), None, f.select("path"), "", spark.createDataFrame(*ALIAS_ROWS)).select("path", "name", "category")
 
 
 @query()
