@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from scopelake.llm.common import words_of, written
 
 #: Rows of the sample that only orders the rules, and how often each is evaluated to rise above the cost of a job.
-SAMPLE_ROWS, REPEATS = 400, 20
+SAMPLE_ROWS, REPEATS = 400, 4
 
 
 @dataclass(frozen=True)
@@ -90,13 +90,14 @@ def base_failed() -> Column:
 def default_rules() -> list[Rule]:
     """Thresholds in the style of published web-text filters."""
     n, text = F.col("n_words"), F.col("text")
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    # what is left without the others: a match per run of others, not one per letter
+    letters, capitals = (F.length(F.regexp_replace(text, p, "")) for p in (r"\P{L}+", r"\P{Lu}+"))
     return [
         Rule("mean_word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n)),
         Rule("symbols_per_word", 10 * F.col("n_symbols") > n),
         Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("few_letters", 10 * letters < 6 * F.col("word_chars")),
-        Rule("shouting", 2 * F.regexp_count(text, F.lit(r"\p{Lu}")) > letters),
+        Rule("shouting", 2 * capitals > letters),
         Rule("ellipsis_lines", 10 * F.regexp_count(text, F.lit("(?m)(\\.\\.\\.|…)[ \t\r]*$")) > 3 * F.greatest(F.col("n_lines"), F.lit(1))),
         Rule("bullet_lines", 10 * F.regexp_count(text, F.lit("(?m)^[ \t]*[-*•]")) > 9 * F.greatest(F.col("n_lines"), F.lit(1))),
     ]
