@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from scopelake.llm.common import arrow_rows, located, mark, write_marks
+from scopelake.llm.common import arrow_rows, located, mark, trimmed, write_marks
 
 PER_CLASS, BITS, EPOCHS = 3000, 18, 3
 #: Bound of the sample in memory: entries of all its vectors.
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits:
     single = made.groupBy("h").agg(F.min(F.struct("y", "cells", "held")).alias("x"))  # a doc_id's rows leave their tasks as one
     # one task: the order of the examples is part of the method, and their number is bounded
     with arrow_rows(docs.sparkSession, 500):
-        rows = single.repartition(1).sortWithinPartitions("h").select("x.*").mapInArrow(learn, "w binary, b double").collect()
+        rows = single.repartition(1).sortWithinPartitions("h").select("x.*").mapInArrow(trimmed(learn), "w binary, b double").collect()
     return (np.frombuffer(rows[0]["w"], np.float32), rows[0]["b"]) if rows else (none, 0.0)
 
 
@@ -171,7 +171,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str] | N
 
     schema = docs.select(*keep).schema.add(names[0], DoubleType()).add(names[1], IntegerType())
     text = [] if "text" in keep else [F.col("text").cast("string").alias("_scored")]
-    return docs.select(*keep, *text).mapInArrow(run, schema)
+    return docs.select(*keep, *text).mapInArrow(trimmed(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS, epochs: int = EPOCHS) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,18 @@ def mark(docs: DataFrame, folder: str, name: str) -> DataFrame:
     return docs.withColumn(name, read.asNondeterministic()("__file", "__row"))  # evaluated once, also below a filter
 
 
+def trimmed(run):
+    """run, a function of Arrow batches, giving back what the allocators hold when its batches end: workers outlive tasks."""
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return through
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a folder or file, on the driver or an executor."""
     from pyarrow import fs

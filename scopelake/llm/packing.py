@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import arrow_rows, written
+from scopelake.llm.common import arrow_rows, trimmed, written
 from scopelake.llm.tokens import END_BYTES, bounded_slices, default_tokenizer_path, encoder
 
 CAPACITY = 2048
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
                 yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], names=columns)
 
     kinds = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in columns)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), kinds)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:

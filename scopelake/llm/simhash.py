@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import arrow_rows, located, mark, marks_at, write_marks, written
+from scopelake.llm.common import arrow_rows, located, mark, marks_at, trimmed, write_marks, written
 
 SHINGLE_WORDS, SEED, DISTANCE, BLOCKS = 4, 42, 4, 7
 #: Hashes whose bits are counted at a time.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int
             fp = np.array([fingerprint_bytes(t.as_py(), shingle_words, seed) for t in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(one, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(one), "doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def _links(keyed: DataFrame, distance: int) -> DataFrame:
         if held:
             yield from links(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return keyed.mapInArrow(stream, "a long, b long")
+    return keyed.mapInArrow(trimmed(stream), "a long, b long")
 
 
 def _named(prints: DataFrame, named: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def _verified(placed: DataFrame, nodes: DataFrame, loose: DataFrame, shingle_wor
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     with arrow_rows(placed.sparkSession, 500):
-        hashed = placed.select("__file", "__row", "text").mapInArrow(sets, shape)
+        hashed = placed.select("__file", "__row", "text").mapInArrow(trimmed(sets), shape)
         return written(hashed.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(links, "a long, b long"), "verified")
 
 
@@ -384,7 +384,7 @@ def _groups(
 
     placed = placed.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with arrow_rows(placed.sparkSession):
-        found = written(placed.mapInArrow(prints, "__file long, __row long, doc_id long, fp binary, n long"), "wide-fingerprints")
+        found = written(placed.mapInArrow(trimmed(prints), "__file long, __row long, doc_id long, fp binary, n long"), "wide-fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__file", "__row")).alias("first")
     nodes = written(found.groupBy("fp").agg(first, F.first("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("id", "fp").mapInArrow(keys, "k long, id long, fp binary").repartition("k").sortWithinPartitions("k")

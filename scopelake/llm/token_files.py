@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import arrow_rows, file_system, shared_folder
+from scopelake.llm.common import arrow_rows, file_system, shared_folder, trimmed
 from scopelake.llm.tokens import END_BYTES, bounded_slices, default_tokenizer_path, encoder
 
 MAGIC = b"TOKZSTD1"
@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     ordered = skinny.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest, first = [], 0
     with arrow_rows(docs.sparkSession):
-        shards = ordered.mapInArrow(write, "shard long, docs long, ids long").collect()  # one row per shard
+        shards = ordered.mapInArrow(trimmed(write), "shard long, docs long, ids long").collect()  # one row per shard
     for r in sorted(shards):
         manifest.append({"shard": r["shard"], "path": f"{folder}/shard-{r['shard']:05d}.tok", "docs": r["docs"], "ids": r["ids"], "first": first})
         first += r["ids"]
