@@ -188,7 +188,7 @@ def encoder(path: str) -> WordMemoEncoder:
     return _LOADED[path]
 
 
-def bounded_slices(column: pa.Array, size: int = 4_000_000):
+def bounded_slices(column: pa.Array, size: int = 2_000_000):
     """Ranges (start, end) of consecutive texts of an Arrow column that together stay near so many bytes."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
