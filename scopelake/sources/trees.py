@@ -94,13 +94,16 @@ def translated(line: str, folder: str) -> str | None:
     """A line of the ignore file in ``folder`` as a pattern from the repository's root.
 
     A leading slash goes before the pattern is looked at for slashes, so ``/name`` matches
-    at any depth below its folder.
+    at any depth below its folder.  A slash at the end alone ties a name to a folder below
+    the root, but not to the root: there ``name/`` is a folder at any depth.
     """
     line = line.rstrip("\n")
     if not line or line.lstrip().startswith("#"):
         return None
     sign, body = ("!", line[1:]) if line.startswith("!") else ("", line)
     body = body.removeprefix("/")
+    if not folder and "/" in body and "/" not in body.rstrip()[:-1]:
+        return f"{sign}**/{body}"
     if "/" in body:
         return sign + (f"{folder}/" if folder else "") + body
     return sign + (f"{folder}/**/{body}" if folder else f"**/{body}")

@@ -45,6 +45,32 @@ def test_notebook_lines_are_virtual():
     assert r.loc == 4 and virtual_text(text) == "a\nb\nx\ny"
 
 
+def test_folder_names_of_the_root_match_at_any_depth():
+    import re
+
+    def hit(line, folder, path):
+        ((negated, regex),) = ignore_patterns([(folder, line)])
+        return not negated and bool(re.search(regex, path))
+
+    assert hit("de/", "", "a/de/f") and hit("/de/", "", "de/f") and not hit("de/", "", "a/de") and not hit("a/de/", "", "b/a/de/f")
+    assert hit("de/", "d", "d/de/f") and not hit("de/", "d", "d/a/de/f")
+
+
+def test_generic_functions_of_other_languages():
+    r = scan_generic("func (s *S) F(a int, b string) (int, error) {\n  for {\n    if a > 1 { a-- }\n  }\n}\nfunc G[T any](x T) []string {\n}\nfunc H() {}\n")
+    assert [(s.name, s.complexity, s.start_line, s.end_line, s.parameter_count) for s in r.scopes] == [("F", 3, 1, 5, 2), ("G", 1, 6, 7, 1), ("H", 1, 8, 8, 0)]
+    r = scan_generic("const g = (x, y) => {\n  return x ? y : 0;\n};\nlet h = async z => {\n};\nfunction k(a) {\n  if (a) { const m = () => { while (a) {} } }\n}\n")
+    assert [(s.name, s.complexity, s.start_line, s.end_line, s.parameter_count) for s in r.scopes] == [("g", 2, 1, 3, 2), ("h", 1, 4, 5, 1), ("k", 2, 6, 8, 1), ("m", 2, 7, 7, 0)]
+
+
+def test_generic_nested_functions_take_linear_time():
+    import time
+
+    n, start = 6000, time.perf_counter()
+    r = scan_generic("".join(f"function f{i}(a) {{ if (a) {{\n" for i in range(n)) + "}}" * n)
+    assert len(r.scopes) == n and all(s.complexity == 2 for s in r.scopes) and time.perf_counter() - start < 5
+
+
 def test_generic():
     r = scan_generic("int f(int a) {\n  if (a && 1) return 2; // TODO\n}\n")
     assert [(s.name, s.complexity, s.parameter_count) for s in r.scopes] == [("f", 3, 1)]
