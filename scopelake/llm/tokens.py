@@ -146,7 +146,7 @@ class WordMemoEncoder:
         spaced = pc.replace_substring(joined, "\n", f" \n {_BARE}")
         words = pc.split_pattern(pc.replace_substring_regex(spaced, r"([\pL\pN])([,.]) ", rf"\1 {_BARE}\2 "), " ")
         coded = words.flatten().dictionary_encode()
-        ids, lengths = self._known(coded.dictionary.to_pylist())
+        ids, lengths = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         codes = coded.indices.to_numpy()
         # every word's ids in turn: repeat its place, counted up over its length
         each = lengths[codes]
