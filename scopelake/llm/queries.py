@@ -93,6 +93,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.online import pack_online
+
+    return pack_online(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopelake.llm.negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_secret_scans, op3_chat_formatting, op4_warc_segments, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_secret_scans, op3_chat_formatting, op4_warc_segments, op5_mix_to_target_weights, op6_token_id_output, op7_simhash_near_dedup, op8_quality_classifier, op9_best_fit_packing, op10_quality_rules, op11_vector_codes, op12_online_packing, op13_hard_negatives, pipeline)}
 
 
 TOP_K = """
@@ -113,6 +132,41 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20"""
 
+HARD = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5"""
+
+
+def _codes_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """The rounds one after another: b0 are the first codebooks, b1, b2 those after each round, as rows of (part, entry, values)."""
+    steps = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+x AS MATERIALIZED (SELECT k, part, v[1 + part * len(v) // {parts} : (part + 1) * len(v) // {parts}] AS v FROM k, range({parts}) r(part)),
+n AS (SELECT k, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM k QUALIFY entry < {entries}),
+b0 AS (SELECT part, entry, v FROM x JOIN n USING (k))"""
+    nearest = lambda b: f"SELECT k, x.part, x.v, arg_min(entry, {{'d': d, 'e': entry}}) AS entry, min(d) AS d FROM (SELECT k, x.part, x.v, entry, list_sum(list_transform(list_zip(x.v, {b}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM x JOIN {b} USING (part)) x GROUP BY ALL"
+    for r in range(rounds):
+        steps += f""",
+a{r} AS MATERIALIZED ({nearest(f"b{r}")}),
+u{r} AS (SELECT part, entry, list(CAST(floor(s / c) AS BIGINT) ORDER BY i) AS v FROM (SELECT part, entry, i, sum(v[i])::DOUBLE AS s, count(*) AS c FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS (SELECT part, entry, coalesce(u{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN u{r} USING (part, entry))"""
+    return f"""{steps},
+f AS ({nearest(f"b{rounds}")}),
+c AS (SELECT k, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY k),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (k), h"""
+
+
 CHAT = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -189,4 +243,4 @@ FROM d LEFT JOIN f USING (k) GROUP BY k, doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express: not tokenizers, models, fingerprints, look-around or dynamic programmes."""
-    return {"op1_exact_top_k": TOP_K, "op2_secret_scans": _secrets_sql(), "op3_chat_formatting": CHAT, "op4_warc_segments": WARC, "op10_quality_rules": RULES}
+    return {"op1_exact_top_k": TOP_K, "op2_secret_scans": _secrets_sql(), "op3_chat_formatting": CHAT, "op4_warc_segments": WARC, "op10_quality_rules": RULES, "op11_vector_codes": _codes_sql(), "op13_hard_negatives": HARD}

@@ -8,10 +8,14 @@ both sides of every newline without changing its ids.  The pieces are looked up
 per-worker memo of bounded size; unknown pieces are encoded by the library's model, if they
 are letters, and otherwise in one library call per batch.  Other texts are encoded whole, or - when very long - in runs cut between a
 non-space and a white-space character, which is also safe.
+
+Where the pre-tokenizer drops white space altogether (``SpacelessEncoder``), every text may
+be cut at every run of it, whatever it holds.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -35,22 +39,17 @@ _SHOWN = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
-def default_tokenizer_path() -> str:
+def default_tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The public tokenizer file that the registered queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 #: Tokens of their own after a letter and before white space.
 _MARKS = ["\n", ",", "."]
 
 
-def _stem(word: str) -> str:
-    """The word without a comma or full stop that follows a letter at its end."""
-    return word[:-1] if word[-1:] in (",", ".") and word[-2:-1].isalpha() else word
-
-
 class WordMemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -75,9 +74,13 @@ class WordMemoEncoder:
         self.memo_entries = memo_entries
         self.run_chars = run_chars
         self.marks = dict(zip(_MARKS, self._library(_MARKS), strict=True))
-        self.newline_id = int(np.frombuffer(self.marks["\n"], "<u4")[0])
         self.memo["\n"] = self.marks["\n"]
 
+    @staticmethod
+    def stem(word: str) -> str:
+        """The word without a comma or full stop that follows a letter at its end."""
+        return word[:-1] if word[-1:] in (",", ".") and word[-2:-1].isalpha() else word
+
     def _plain(self, text: str) -> bool:
         """Whether spaces and newlines are the only white space, none touches another or an end, and no added token is there."""
         return not (
@@ -117,6 +120,7 @@ class WordMemoEncoder:
                     ids = [t.id for t in self.model.tokenize(shown if w[:1] == _BARE else _SPACE + shown)]
                     out[w] = struct.pack(f"<{len(ids)}I", *ids)
             words = [w for w in words if w not in out]
+        newline = int(np.frombuffer(self.marks["\n"], "<u4")[0])
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             shown = [w[1:] if w[:1] == _BARE else " " + w for w in part]
@@ -124,7 +128,7 @@ class WordMemoEncoder:
             found: list[bytes] = []
             for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
                 ids = np.asarray(x.ids, dtype="<u4")
-                raw, ends = ids.tobytes(), np.flatnonzero(ids == self.newline_id) * 4
+                raw, ends = ids.tobytes(), np.flatnonzero(ids == newline) * 4
                 starts = [0, *(ends + 4).tolist()]
                 found += [raw[s:e] for s, e in zip(starts, [*ends.tolist(), len(raw)], strict=True)]
             out.update(zip(part, found, strict=True))
@@ -145,6 +149,12 @@ class WordMemoEncoder:
         joined = pa.array([_BARE + texts[i] for i in plain], pa.large_string())
         spaced = pc.replace_substring(joined, "\n", f" \n {_BARE}")
         words = pc.split_pattern(pc.replace_substring_regex(spaced, r"([\pL\pN])([,.]) ", rf"\1 {_BARE}\2 "), " ")
+        for i, raw in zip(plain, self._joined(words), strict=True):
+            out[i] = raw
+        return out
+
+    def _joined(self, words: pa.ListArray) -> list[bytes]:
+        """The ids of each list of words, one word after another."""
         coded = words.flatten().dictionary_encode()
         ids, lengths = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         codes = coded.indices.to_numpy()
@@ -152,21 +162,19 @@ class WordMemoEncoder:
         each = lengths[codes]
         ends = np.cumsum(each)
         begins = np.cumsum(lengths) - lengths
-        flat = ids[np.repeat(begins[codes] - (ends - each), each) + np.arange(ends[-1])]
+        flat = ids[np.repeat(begins[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate(([0], ends))[words.offsets.to_numpy()].tolist()
-        for i, lo, hi in zip(plain, bounds[:-1], bounds[1:], strict=True):
-            out[i] = flat[lo:hi].tobytes()
-        return out
+        return [flat[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the distinct words one after another, how many each has)."""
         memo = self.memo
         found = list(map(memo.get, words))
         open_ = [n for n, ids in enumerate(found) if ids is None]
-        stems = [_stem(words[n]) for n in open_]
+        stems = [self.stem(words[n]) for n in open_]
         more = self._encode_words([s for s in dict.fromkeys(stems) if s not in memo])
         for n, stem in zip(open_, stems, strict=True):
-            word, ids = words[n], more.get(stem) or memo[stem]
+            word, ids = words[n], more[stem] if stem in more else memo[stem]
             found[n] = ids + self.marks[word[-1]] if len(stem) < len(word) else ids
         seen, last = self.seen, len(self.seen) - 1
         if 2 * (len(memo) + len(more)) <= self.memo_entries:
@@ -181,10 +189,77 @@ class WordMemoEncoder:
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
+#: White space that Unicode and every pattern language agree on.
+_PLAIN_SPACE = r"[\t-\r]"
+#: Letters and digits that stay so in lower case and join with no mark after them (the dotted capital I grows one).
+_FIRM = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]"
+_FIRM_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+")
+
+
+class SpacelessEncoder(WordMemoEncoder):
+    """For tokenizers that drop white space before they look for words: words are what stands between it.
+
+    Tokens never reach across white space, normal forms and lower case don't either, and
+    added tokens hold none, so words are encoded alone whatever else the text holds.
+    A comma or full stop between a firm letter and white space is a word of its own.
+    """
+
+    #: Words above this are not remembered: texts without spaces.
+    LONGEST = 64
+
+    def __init__(self, path: str, memo_entries: int = 690_000):
+        super().__init__(path, memo_entries)
+        self.model = self.tokenizer.model
+        self.memo = {"": b""}
+
+    @staticmethod
+    def stem(word: str) -> str:
+        return word[:-1] if word[-1:] in (",", ".") and _FIRM_LETTERS.fullmatch(word[-2:-1]) else word
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for w in words:
+            if _FIRM_LETTERS.fullmatch(w):
+                low = w.lower()
+                shown = low if low.isascii() else low.encode().decode("latin-1").translate(_SHOWN)
+                ids = [t.id for t in self.model.tokenize(shown)]
+                out[w] = struct.pack(f"<{len(ids)}I", *ids)
+        words = [w for w in words if w not in out]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            out.update(zip(part, self._library(part), strict=True))
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        spaced = pc.replace_substring_regex(pa.array([t or "" for t in texts], pa.large_string()), _PLAIN_SPACE, " ")
+        spaced = pc.replace_substring_regex(spaced, f"({_FIRM})([,.]) ", r"\1 \2 ")
+        return self._joined(pc.split_pattern(spaced, " "))
+
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        long = [w for w in words if len(w) > self.LONGEST]
+        held = dict(zip(long, self._library(long), strict=True)) if long else {}
+        self.memo.update(held)
+        try:
+            return super()._known(words)
+        finally:
+            for w in held:
+                self.memo.pop(w, None)
+
+
+def drops_space(path: str) -> bool:
+    """Whether the pre-tokenizer of a tokenizer file starts with a split that drops all white space."""
+    with open(path, encoding="utf-8") as f:
+        steps = json.load(f).get("pre_tokenizer") or {}
+    first = (steps.get("pretokenizers") or [steps])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    # fixed value: what such a pattern takes - letters, one digit, or signs, none of them white space
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 def encoder(path: str) -> WordMemoEncoder:
     """One encoder per worker process and file."""
     if path not in _LOADED:
-        _LOADED[path] = WordMemoEncoder(path)
+        _LOADED[path] = SpacelessEncoder(path) if drops_space(path) else WordMemoEncoder(path)
     return _LOADED[path]
 
 

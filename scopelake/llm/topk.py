@@ -1,11 +1,10 @@
 """Exact top-k by inner product over a pivot-distance index.
 
 Index.  Pivots, about the root of the number of vectors, are chosen from a bounded sample
-(farthest first).  Every vector is keyed by its nearest pivot and its distance to it,
-range-partitioned by (pivot, distance, id) and cut into annuli of at most ``annulus_rows``
-vectors, written one after another to files of the shared folder.  Equal vectors in any
-number fill several annuli; no pivot is one task.  A pivot's list of annuli is a file of
-its own; what is broadcast is a row per pivot.
+(farthest first).  Every vector is keyed by its nearest pivot and its distance to it, and
+the annuli of each pivot are written in order of distance (``lists``): at most
+``annulus_rows`` vectors each, so that equal vectors in any number fill several and no
+pivot is one task.
 
 Search.  Queries are keyed alike and sorted, so that a block of ``query_rows`` holds
 neighbours.  A task takes a block through the pivots, nearest first, and through the
@@ -23,8 +22,10 @@ The triangle inequality can close only what lies far off.  Where distances are n
 equal, as for independent vectors of many dimensions, every annulus stays open and the
 search reads all of them, in blocks; ``scored`` tells how many vectors each query met.
 
-Components become floor(scale * x), x as double.  Scores are exact integers: vectors of
-squared norms below 2**24 are held and multiplied as 32-bit floats, else as doubles.
+Components become floor(scale * x), x as double.  Scores are exact for vectors of any
+length: held as 32-bit floats where all squared norms are below 2**24, else as doubles,
+and multiplied in integers where doubles could round (see ``vectors``, which also says
+what counts beyond a long).
 Defined results: a vector that is null, empty, holds null or non-finite components, or
 whose length differs from the most frequent one takes no part; so does a row with a null
 id.  Repeated ids are candidates of their own, except of their own id, and queries of
@@ -34,7 +35,6 @@ candidates there are no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,36 +42,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import file_system, shared_folder, written
+from scopelake.llm import lists
+from scopelake.llm.common import written
+from scopelake.llm.vectors import NONE, SLACK, Best, is_open, matrix, products, sampled, whole
 
 K, SCALE = 20, 64
-#: Bounds of the sample that pivots are chosen from (rows, bytes), and of their number.
-SAMPLE, SAMPLE_BYTES, PIVOTS = 4096, 16 << 20, 1024
+#: Bound of the number of pivots.
+PIVOTS = 1024
 #: Rows of an annulus, queries of a block.
 ANNULUS_ROWS, QUERY_ROWS = 1024, 512
-#: Slack of the floating-point bounds, as a part of the greatest squared norm; it only ever keeps more.
-SLACK = 1e-6
 
 
-def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of whole doubles), norm2 of the vectors that take part."""
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    x = x.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(F.coalesce(finite, F.lit(False)))
-    common = x.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    x = x.where(F.size("e") == (common[0]["n"] if common else 0))
-    x = x.withColumn("v", F.transform("e", lambda c: F.floor(F.lit(float(scale)) * c).cast("double")))
-    return x.select("vec_id", "v", F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c).alias("norm2"))
-
-
-def choose_pivots(x: DataFrame, width: int, pivots: int, sample: int = SAMPLE) -> np.ndarray:
-    """Pivots, farthest first from the sample (the first by a hash of the vector)."""
-    # ids first, so that no task sends vectors that are not chosen
-    sample = max(1, min(sample, SAMPLE_BYTES // (8 * width)))
-    keyed = x.withColumn("h", F.xxhash64("v"))
-    chosen = keyed.select("h", "vec_id").orderBy("h", "vec_id").limit(sample).distinct()
-    rows = keyed.join(F.broadcast(chosen), ["h", "vec_id"]).orderBy("h", "vec_id").select("v").limit(sample).collect()
-    held = np.array([r["v"] for r in rows])
+def choose_pivots(x: DataFrame, width: int, pivots: int) -> np.ndarray:
+    """Pivots, farthest first from a bounded sample (the first by a hash of the vector)."""
+    held = sampled(x, width)
+    if not len(held):
+        return np.zeros((1, width))
     chosen, far = [0], ((held - held[0]) ** 2).sum(1)
     while len(chosen) < min(pivots, len(held)) and far.max() > 0:
         chosen.append(int(far.argmax()))
@@ -79,211 +65,85 @@ def choose_pivots(x: DataFrame, width: int, pivots: int, sample: int = SAMPLE) -
     return held[chosen]
 
 
-def _matrix(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
-def _keyed(x: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """x with its nearest pivot and the distance to it, in partitions sorted by them."""
-    shared = x.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        p2 = (p**2).sum(1)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = _matrix(b.column("v"))
-            d2 = p2[None] - 2 * (v @ p.T)
-            at = d2.argmin(1)
-            dist = np.sqrt(np.maximum(0, b.column("norm2").to_numpy() + d2[np.arange(len(v)), at]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(dist)], names=[*b.schema.names, "pivot", "dist"])
-
-    return x.mapInArrow(run, "vec_id long, v array<double>, norm2 double, pivot int, dist double")
-
-
-def _sorted(keyed: DataFrame, parts: int) -> DataFrame:
-    order = ["pivot", "dist", "vec_id"]
-    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-
-#: What the list of a pivot says of each annulus.
-RING = np.dtype([("inner", "<f8"), ("outer", "<f8"), ("top", "<f8"), ("n", "<i8"), ("part", "<i8"), ("offset", "<i8")])
-
-
-def write_index(keyed: DataFrame, folder: str, rows: int, parts: int, kind: str) -> np.ndarray:
-    """Write annuli and the pivots' lists of them; gives (pivot, inner, outer, top) of every pivot that has any."""
-    fs, top = file_system(folder)
-    fs.create_dir(top, recursive=True)
-    names = ["pivot", *RING.names]
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, fs, top = TaskContext.get().partitionId(), *file_system(folder)
-        own, at, made, held = f"{top}/.{uuid.uuid4().hex}", 0, [], []
-        out = fs.open_output_stream(own, compression=None)
-
-        def cut(last: bool) -> None:
-            nonlocal at, held
-            ids, v, norm2, pivot, dist = (np.concatenate(c) for c in zip(*held, strict=True))
-            begin = 0
-            while begin < len(ids):
-                end = begin + int(np.searchsorted(pivot[begin:], pivot[begin], "right"))
-                if not last and end == len(ids) and end - begin < rows:
-                    break
-                end = min(end, begin + rows)
-                s = slice(begin, end)
-                raw = ids[s].astype("<i8").tobytes() + v[s].astype(kind).tobytes()
-                out.write(raw)
-                made.append((int(pivot[begin]), float(dist[s].min()), float(dist[s].max()), float(norm2[s].max()), end - begin, part, at))
-                at, begin = at + len(raw), end
-            held = [(ids[begin:], v[begin:], norm2[begin:], pivot[begin:], dist[begin:])] if begin < len(ids) else []
-
-        for b in batches:
-            if b.num_rows:
-                held.append((b.column("vec_id").to_numpy(), _matrix(b.column("v")), *(b.column(c).to_numpy() for c in ("norm2", "pivot", "dist"))))
-            if sum(len(h[0]) for h in held) >= 4 * rows:
-                cut(False)
-        if held:
-            cut(True)
-        out.close()
-        if made:
-            fs.move(own, f"{top}/annuli-{part:05d}")
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=names)
-        else:
-            fs.delete_file(own)
-
-    def enlist(part: pa.Table) -> pa.Table:
-        ring = np.empty(part.num_rows, RING)
-        for c in RING.names:
-            ring[c] = part.column(c).to_numpy()
-        ring.sort(order=["inner", "outer", "part", "offset"])
-        pivot, (fs, top) = part.column("pivot")[0].as_py(), file_system(folder)
-        own = f"{top}/.{uuid.uuid4().hex}"
-        with fs.open_output_stream(own, compression=None) as f:
-            f.write(ring.tobytes())
-        fs.move(own, f"{top}/pivot-{pivot:05d}")
-        return pa.table({"pivot": [pivot], "inner": [ring["inner"].min()], "outer": [ring["outer"].max()], "top": [ring["top"].max()]})
-
-    shape = "pivot long, inner double, outer double, top double, n long, part long, offset long"
-    made = written(_sorted(keyed, parts).select("vec_id", "v", "norm2", "pivot", "dist").mapInArrow(write, shape), "annuli")
-    found = made.groupBy("pivot").applyInArrow(enlist, "pivot long, inner double, outer double, top double").collect()  # a row per pivot
-    return np.array([tuple(r) for r in found]).reshape(-1, 4)
-
-
-class _Best:
-    """The k best (score, smaller id first) of each query of a block, and the k-th score where there are k."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.floor = k, np.full(queries, -np.inf)
-        self.rows, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-
-    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores (rows by ids) of some queries; -inf takes no part."""
-        least = self.floor[rows]
-        if len(ids) > self.k:  # more than k remain only where scores tie with the k-th: the first by id do
-            least = np.maximum(least, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-        row, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        if not len(row):
-            return
-        every = np.concatenate((self.rows, rows[row])), np.concatenate((self.ids, ids[at])), np.concatenate((self.scores, scores[row, at]))
-        order = np.lexsort((every[1], -every[2], every[0]))
-        r, i, s = (x[order] for x in every)
-        nth = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = nth < self.k
-        self.rows, self.ids, self.scores = r[keep], i[keep], s[keep]
-        full = nth == self.k - 1
-        self.floor[r[full]] = s[full]
-
-
-def _reach(qp: np.ndarray, q2: np.ndarray, qd: np.ndarray, inner: np.ndarray, outer: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """The greatest inner product that each query (rows) can have within each annulus (columns)."""
+def _reach(qp: np.ndarray, q2: np.ndarray, qd: np.ndarray, p2: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The greatest inner product that each query (rows) can have within each annulus (columns), with the slack of its norms."""
+    inner, outer, top = known["inner"], known["outer"], known["top"]
     away = np.maximum(0, np.maximum(qd - outer, inner - qd))
-    return np.minimum(qp + np.sqrt(q2)[:, None] * outer, (q2[:, None] + top - away**2) / 2)
-
-
-def search_block(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, summary: np.ndarray, slack: float, k: int, read) -> tuple[_Best, np.ndarray]:
-    """(k best, vectors met) of each query; read(pivot) gives its rings, read(pivot, ring) the ids and vectors of one."""
-    best, met = _Best(len(q), k), np.zeros(len(q), np.int64)
-    q2, which = (q**2).sum(1), summary[:, 0].astype(np.int64)
-    qp = q @ pivots[which].T
-    qd = np.sqrt(np.maximum(0, q2[:, None] + (pivots[which] ** 2).sum(1) - 2 * qp))
-    reach = _reach(qp, q2, qd, *summary[:, 1:].T) + slack
-    typed = None
-    for at in np.argsort(qd.min(0), kind="stable"):
-        some = np.flatnonzero(reach[:, at] >= best.floor)
-        if not len(some):
-            continue
-        rings = read(which[at])
-        inside = _reach(qp[some, at, None], q2[some], qd[some, at, None], rings["inner"], rings["outer"], rings["top"]) + slack
-        ring = np.median(qd[some, at])
-        for a in np.argsort(np.abs((rings["inner"] + rings["outer"]) / 2 - ring), kind="stable"):
-            open_ = some[inside[:, a] >= best.floor[some]]
-            if not len(open_):
+    bound = np.minimum(qp + np.sqrt(q2)[:, None] * outer, (q2[:, None] + top - away**2) / 2)
+    return bound + SLACK * np.maximum(np.maximum(q2[:, None], top), p2)
+
+
+def search_block(ids: np.ndarray, q: np.ndarray, index: lists.Lists, k: int, read: lists.Reader) -> tuple[Best, np.ndarray]:
+    """(k best, vectors met) of each query of a block."""
+    best, met, known = Best(len(q), k), np.zeros(len(q), np.int64), index.known
+    pivots = index.centres[known["centre"]]
+    typed = q.astype(index.kind)
+    with np.errstate(all="ignore"):
+        q2, p2 = (q**2).sum(1), (pivots**2).sum(1)
+        qp = q @ pivots.T
+        qd = np.sqrt(np.maximum(0, q2[:, None] + p2 - 2 * qp))
+        reach = _reach(qp, q2, qd, p2, known)
+        for at in np.argsort(qd.min(0), kind="stable"):
+            some = np.flatnonzero(is_open(reach[:, at], best.floor))
+            if not len(some):
                 continue
-            c_ids, c = read(which[at], rings[a])
-            typed = q.astype(c.dtype) if typed is None else typed
-            scores = (typed[open_] @ c.T).astype(np.float64)
-            scores[ids[open_, None] == c_ids[None]] = -np.inf
-            best.add(open_, c_ids, scores)
-            met[open_] += len(c_ids)
+            rings = read.list_of(int(known["file"][at]))
+            inside = _reach(qp[some, at, None], q2[some], qd[some, at, None], p2[at], rings)
+            own = np.median(qd[some, at])
+            for a in np.argsort(np.abs((rings["inner"] + rings["outer"]) / 2 - own), kind="stable"):
+                left = some[is_open(inside[:, a], best.floor[some])]
+                if not len(left):
+                    continue
+                (c_ids,), c = read.ring(rings[a])
+                scores = products(typed[left], c, q2[left], np.square(c, dtype=np.float64).sum(1))
+                scores[ids[left, None] == c_ids[None]] = NONE
+                best.add(left, c_ids, scores)
+                met[left] += len(c_ids)
     return best, met
 
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, pivots: int | None = None, annulus_rows: int = ANNULUS_ROWS, query_rows: int = QUERY_ROWS
 ) -> DataFrame:
-    """query_id, rank, vec_id, score, scored for the rows of vectors (vec_id, embedding) that is_query holds for."""
+    """query_id, rank, vec_id, score, scored for the rows of vectors (vec_id, embedding) that is_query (on vec_id) holds for."""
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score long, scored long"
-    x = written(usable(vectors, scale), "vectors")
+    x = written(whole(vectors, scale).where("vec_id IS NOT NULL"), "vectors")
     stats = x.agg(F.count("*").alias("n"), F.max("norm2").alias("m"), F.max(F.size("v")).alias("w"), F.count_if(is_query).alias("q")).first()
     if not stats["n"] or not stats["q"]:
         return spark.createDataFrame([], shape)
-    n, m, width = stats["n"], stats["m"], stats["w"]
-    if m >= 2.0**53:
-        raise ValueError("vectors too long for exact scores; lower the scale")
-    kind = "<f4" if m < 2.0**24 else "<f8"
+    n, width = stats["n"], stats["w"]
     p = choose_pivots(x, width, pivots or min(PIVOTS, int(np.ceil(np.sqrt(n)))))
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(x, p)
-    folder = shared_folder(spark, "pivot-index")
-    summary = write_index(keyed, folder, annulus_rows, max(1, min(most, -(-n // annulus_rows))), kind)
-    held = spark.sparkContext.broadcast((p, summary))  # a row per pivot
-    slack = SLACK * m
+    index = lists.write_lists(lists.keyed(x, p), p, annulus_rows, max(1, min(most, -(-n // annulus_rows))), "<f4" if stats["m"] < 2.0**24 else "<f8")
+    held = spark.sparkContext.broadcast(index)  # a row per pivot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (p, summary), (fs, top), files = held.value, file_system(folder), {}
-
-        def read(pivot: int, ring=None):
-            if ring is None:
-                with fs.open_input_file(f"{top}/pivot-{pivot:05d}") as f:
-                    return np.frombuffer(f.read(), RING)
-            part, rows = int(ring["part"]), int(ring["n"])
-            if part not in files:
-                files[part] = fs.open_input_file(f"{top}/annuli-{part:05d}")
-            raw = files[part].read_at(rows * (8 + width * int(kind[2])), int(ring["offset"]))
-            return np.frombuffer(raw, "<i8", rows), np.frombuffer(raw, kind, offset=8 * rows).reshape(rows, width)
+        index = held.value
 
-        def found(ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            best, met = search_block(ids, q, p, summary, slack, k, read)
-            rank = np.arange(len(best.rows)) - np.searchsorted(best.rows, best.rows) + 1
-            columns = [ids[best.rows], rank.astype(np.int32), best.ids, best.scores.astype(np.int64), met[best.rows]]
+        def found(ids: np.ndarray, q: np.ndarray, read: lists.Reader) -> pa.RecordBatch:
+            best, met = search_block(ids, q, index, k, read)
+            columns = [ids[best.rows], best.ranks().astype(np.int32), best.ids, best.scores, met[best.rows]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "rank", "vec_id", "score", "scored"])
 
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            for lo in range(0, b.num_rows, query_rows):
-                part = b.slice(lo, query_rows)
-                waiting.append((part.column("vec_id").to_numpy(), _matrix(part.column("v"))))
-                if sum(len(w[0]) for w in waiting) >= query_rows:
-                    yield found(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
-                    waiting = []
-        if waiting:
-            yield found(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
-
-    asked = keyed.where(is_query)
-    blocks = max(-(-stats["q"] // query_rows), min(most, -(-stats["q"] // 64)))
-    return _sorted(asked, blocks).select("vec_id", "v").mapInArrow(run, shape)
+        with index.reader() as read:
+            for ids, q in blocks(batches, query_rows):
+                yield found(ids, q, read)
+
+    asked = lists.keyed(x.where(is_query), p)
+    tasks = max(-(-stats["q"] // query_rows), min(most, -(-stats["q"] // 64)))
+    return lists.in_order(asked, tasks).select("vec_id", "v").mapInArrow(run, shape)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int, *more: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows of a task as (ids, vectors, and ``more`` long columns) of about so many rows."""
+    waiting: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            part = b.slice(lo, rows)
+            waiting.append((part.column("vec_id").to_numpy(), matrix(part.column("v")), *(part.column(c).to_numpy() for c in more)))
+            if sum(len(w[0]) for w in waiting) >= rows:
+                yield tuple(np.concatenate(c) for c in zip(*waiting, strict=True))
+                waiting = []
+    if waiting:
+        yield tuple(np.concatenate(c) for c in zip(*waiting, strict=True))
