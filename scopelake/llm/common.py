@@ -31,8 +31,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     It lies under ``spark.checkpoint.dir``.  Where the session has no such setting a
     temporary folder is made, set as the checkpoint folder and removed at the end of the
     process - in local mode only, since executors elsewhere could not reach it.  What is
-    written under a named folder stays: results are read from it lazily, so its owner
-    deletes it when they are no longer needed.
+    written under a named folder stays, since results are read from it lazily; within
+    ``scope()`` it is deleted at the end.  Asking for the context's folder and the plan of
+    a DataFrame (``located``) needs a classic session, not Spark Connect.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
@@ -46,7 +47,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, made, ignore_errors=True)
             top = "file://" + made
             spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(made)
+    return made
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end what operators wrote to the shared folder inside: read or write their results before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            fs, path = file_system(folder)
+            with suppress(FileNotFoundError):
+                fs.delete_dir(path)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -102,6 +122,19 @@ def _mark_file(folder: str, file: int, part: int) -> str:
     return f"{folder}/{file & (1 << 64) - 1:016x}-{part:x}"
 
 
+def settle(fs, own: str, name: str) -> None:
+    """Rename a whole file to a name that every attempt of a task gives it, with the same content.
+
+    Where another attempt was first, a store may replace its file or refuse; both are right.
+    """
+    try:
+        fs.move(own, name)
+    except OSError:
+        if not fs.get_file_info(name).is_file:
+            raise
+        fs.delete_file(own)
+
+
 def write_marks(marks: DataFrame, name: str) -> str:
     """Write marks (__file, __row and further long columns, one row per place) for reading by place; gives the folder.
 
@@ -118,7 +151,7 @@ def write_marks(marks: DataFrame, name: str) -> str:
         own, name = f"{top}/.{uuid.uuid4().hex}", _mark_file(top, part.column("__file")[0].as_py(), part.column("__part")[0].as_py())
         with fs.open_output_stream(own) as f:
             f.write(held.tobytes())
-        fs.move(own, name)
+        settle(fs, own, name)
         return pa.table({"n": pa.array([part.num_rows], pa.int64())})
 
     chunk = F.shiftright("__row", _MARK_ROWS.bit_length() - 1).alias("__part")

@@ -3,7 +3,7 @@
 A set of files in the shared folder, in ascending order of doc_id (null last):
 
     <folder>/dictionary                 zstandard dictionary, trained on a bounded sample
-    <folder>/shard-00000.tok            head, frames, index, foot
+    <folder>/shard-00000-<attempt>.tok  head, frames, index, foot
 
     head   8 bytes magic, 32 bytes SHA-256 of the dictionary
     frame  one zstandard frame per document: its ids as little-endian unsigned 16- or
@@ -87,7 +87,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 
         shard = TaskContext.get().partitionId()
         fs, top = file_system(folder)
-        own = f"{top}/.shard-{shard:05d}-{uuid.uuid4().hex}"
+        name = f"shard-{shard:05d}-{uuid.uuid4().hex}.tok"  # the attempt's own
+        own = f"{top}/.{name}"
         coder, (squeeze, _) = encoder(path), _codec(dictionary)
         index: list[np.ndarray] = []
         at, total = len(MAGIC) + len(digest), 0
@@ -109,13 +110,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
             for entries in index:
                 f.write(entries.tobytes())
             f.write(struct.pack(FOOT, held, total, at, MAGIC))
-        name = f"{top}/shard-{shard:05d}.tok"
         if index:
-            fs.move(own, name)
+            fs.move(own, f"{top}/{name}")
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [held], "ids": [total], "name": [name]}, schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("name", pa.string())]))
         else:
             fs.delete_file(own)
-        if index:
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [held], "ids": [total]}, schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     # rows of one doc_id, or without one, are dealt by their place in the reading, so that many of them are many shards
     skinny = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("__at"))
@@ -124,9 +123,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     ordered = skinny.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest, first = [], 0
     with arrow_rows(docs.sparkSession):
-        shards = ordered.mapInArrow(trimmed(write), "shard long, docs long, ids long").collect()  # one row per shard
+        shards = ordered.mapInArrow(trimmed(write), "shard long, docs long, ids long, name string").collect()  # one row per shard
     for r in sorted(shards):
-        manifest.append({"shard": r["shard"], "path": f"{folder}/shard-{r['shard']:05d}.tok", "docs": r["docs"], "ids": r["ids"], "first": first})
+        manifest.append({"shard": r["shard"], "path": f"{folder}/{r['name']}", "docs": r["docs"], "ids": r["ids"], "first": first})
         first += r["ids"]
     return manifest
 

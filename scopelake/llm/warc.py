@@ -1,13 +1,15 @@
 """WARC archives: write with deduplication and segments, read back by segment reassembly.
 
-Writing.  Payloads are compared by SHA-256 without moving them (smallest page_id per
-digest from a partial aggregation); only digests that occur twice are joined back, dealt
-out over salts so that a payload a third of all pages share is no single task.  A page
+Writing.  Payloads are compared by SHA-256 and never shuffle: smallest page_id per digest
+from a partial aggregation, digests that occur twice joined back to the places of their
+rows (dealt out over as many salts as the digest's rows need), and the originals of
+revisits read by place where the page is written.  A page
 becomes a ``response`` record (HTTP head, chunked transfer framing) or a ``revisit``
 (head with the payload's length and digest, no payload).  A block longer than
 ``segment_bytes`` is cut: segment 1 stays a response, the rest are ``continuation``
 records with origin identifier and number, the last with the total length.  Each record
-is a gzip member of its own; a file is renamed into place when it is whole.
+is a gzip member of its own; a file is renamed when it is whole, to a name of the attempt's
+own that its rows return.
 
 Reading.  Files are parsed member by member, so memory is bounded by one segment.
 Continuations are grouped by origin identifier, ordered by segment number, checked
@@ -36,11 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopelake.llm.common import file_system, shared_folder, written
+from scopelake.llm.common import file_system, located, mark, shared_folder, write_marks, written
 
 LEAST_REVISIT = 100
 SEGMENT_BYTES, CHUNK_BYTES, ROLL_BYTES = 32_768, 8_192, 256 << 20
-SALTS = 16
+#: Rows of one digest that meet in a task.
+SALT_ROWS = 100_000
+#: Digests with more rows than that, up to which they are broadcast (10 MB).
+FEW_HOT = 100_000
 CRLF = b"\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -123,16 +128,29 @@ def read_records(stream, step: int = 1 << 20) -> Iterator[tuple[dict[str, str],
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """pages (page_id, url, html) as page_id, url, payload, digest, original (null for responses)."""
+    """pages (page_id, url, html) as page_id, url, payload, digest, original (null for responses).
+
+    What is grouped and joined are digests with the places of their rows; the marks of
+    revisits are then read by place, so that no payload shuffles.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    digest = F.sha2("payload", 256)
-    seen = p.where(F.octet_length("payload") >= least).select(digest.alias("d"), "page_id").groupBy("d").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
-    seen = seen.where("n > 1").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
-    salted = p.withColumns({"digest": digest, "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")})
-    joined = salted.join(seen, (salted.digest == seen.d) & (salted.salt == seen.s), "left")
-    original = F.when(F.col("original").eqNullSafe(F.col("page_id")), None).otherwise(F.col("original"))
-    return joined.select("page_id", "url", "payload", "digest", original.alias("original"))
+    p = located(pages).select("__file", "__row", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    digests = written(p.where(F.octet_length("payload") >= least).select("__file", "__row", "page_id", F.sha2("payload", 256).alias("digest")), "digests")
+    seen = digests.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
+    # a salt for every SALT_ROWS rows of a digest: its rows meet in tasks of about so many, however many there are
+    seen = written(seen.where("n > 1 AND original IS NOT NULL").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS)), "originals")
+    some, hot = seen.agg(F.count("*"), F.count_if(F.col("salts") > 1)).first()
+    if not some:
+        return p.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.lit(None).cast("long").alias("original"))
+    salted = digests.withColumn("_n", F.lit(1))
+    if hot:
+        many = seen.where("salts > 1").select(F.col("d").alias("_d"), F.col("salts").alias("_n"))
+        salted = digests.join(F.broadcast(many) if hot <= FEW_HOT else many, F.col("digest") == F.col("_d"), "left")
+    salted = salted.withColumn("_s", F.pmod(F.xxhash64("__file", "__row"), F.coalesce("_n", F.lit(1))))
+    seen = seen.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    again = salted.join(seen, (F.col("digest") == F.col("d")) & (F.col("_s") == F.col("s"))).where("NOT original <=> page_id")
+    marks = write_marks(again.select("__file", "__row", "original"), "revisits")
+    return mark(p, marks, "original").select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), "original")
 
 
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, least_revisit: int = LEAST_REVISIT, roll_bytes: int = ROLL_BYTES) -> list[str]:
@@ -144,11 +162,11 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
         from pyspark import TaskContext
 
         part, fs, top = TaskContext.get().partitionId(), *file_system(folder)
-        out, own, size, names, made = None, "", 0, [], 0
+        out, own, size, names, made, attempt = None, "", 0, [], 0, uuid.uuid4().hex
 
         def close() -> None:
             out.close()
-            names.append(f"part-{part:05d}-{len(names):04d}.warc.gz")
+            names.append(f"part-{part:05d}-{len(names):04d}-{attempt}.warc.gz")
             fs.move(own, f"{top}/{names[-1]}")
 
         for b in batches:
@@ -172,8 +190,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
         if names:
             yield pa.RecordBatch.from_pydict({"name": names})
 
-    placed = revisits(pages, least_revisit).sortWithinPartitions("page_id", "digest")
-    return [f"{folder}/{r['name']}" for r in placed.mapInArrow(write, "name string").collect()]  # one short name per archive
+    return [f"{folder}/{r['name']}" for r in revisits(pages, least_revisit).mapInArrow(write, "name string").collect()]  # one short name per archive
 
 
 SEEN = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])

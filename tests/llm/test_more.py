@@ -303,3 +303,78 @@ def test_very_long_texts(spark, long_docs):
     assert chat.digests(chat.formatted(talk)).first()["loss_chars"] == sum(map(len, rows.values()))
     pages = long_docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     assert {r["page_id"]: r["payload_bytes"] for r in warc.archive(pages)[1].collect()} == {d: len(t.encode()) for d, t in rows.items()}
+
+
+# second attempts
+
+
+class Refusing:
+    """A store that refuses to rename onto a file that is there, as some do."""
+
+    def __init__(self, fs):
+        self.fs = fs
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def move(self, own, name):
+        if self.fs.get_file_info(name).is_file:
+            raise FileExistsError(name)
+        self.fs.move(own, name)
+
+
+@pytest.mark.parametrize("refuses", [False, True])
+def test_a_second_attempt_finds_its_file_taken(tmp_path, refuses):
+    from scopelake.llm.common import file_system, settle
+
+    fs, top = file_system(str(tmp_path))
+    fs = Refusing(fs) if refuses else fs
+    for n in range(2):
+        (tmp_path / f"own{n}").write_text("marks")
+        settle(fs, f"{top}/own{n}", f"{top}/marks")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["marks"]
+    with pytest.raises(OSError):
+        settle(fs, f"{top}/none", f"{top}/other")
+
+
+def test_writing_again_into_a_folder_leaves_both_whole(spark, docs, tmp_path):  # noqa: F811
+    from scopelake.llm import token_files, warc
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 3 * 200)) for i in range(30)], "page_id long, url string, html string")
+    first, second = (warc.write_archives(pages, str(tmp_path / "w")) for _ in range(2))
+    assert not set(first) & set(second)
+    read = [sorted(map(tuple, warc.read_archives(spark, p).collect())) for p in (first, second)]
+    assert read[0] == read[1] and len(read[0]) == 30
+    made = [token_files.write_token_files(docs, str(tmp_path / "t")) for _ in range(2)]
+    assert not {m["path"] for m in made[0]} & {m["path"] for m in made[1]}
+
+
+def test_payloads_do_not_shuffle(spark, tmp_path, monkeypatch):
+    """Revisits of a payload with more rows than a salt takes; the rows that are written come straight from the scan."""
+    from scopelake.llm import warc
+
+    monkeypatch.setattr(warc, "SALT_ROWS", 7)
+    rows = [(i if i % 10 else None, "u", ("a" if i % 3 else str(i // 30)) * 150) for i in range(1, 200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "p"))
+    found = warc.revisits(spark.read.parquet(str(tmp_path / "p")))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    least = {}
+    for p, _, h in rows:
+        if p is not None:
+            least[h] = min(p, least.get(h, p))
+    key = lambda r: (repr(r[0]), r[1], repr(r[2]))
+    want = sorted(((p, h, None if least.get(h) == p else least.get(h)) for p, _, h in rows), key=key)
+    assert sorted(((r["page_id"], bytes(r["payload"]).decode(), r["original"]) for r in found.collect()), key=key) == want
+
+
+def test_a_scope_leaves_nothing_behind(spark, docs, tmp_path):  # noqa: F811
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        with common.scope():
+            packing.pack_documents(docs).write.parquet(str(tmp_path / "out"))
+            assert list((tmp_path / "shared").iterdir())
+        assert not list((tmp_path / "shared").iterdir())
+        assert spark.read.parquet(str(tmp_path / "out")).count()
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
