@@ -368,13 +368,10 @@ def test_payloads_do_not_shuffle(spark, tmp_path, monkeypatch):
 
 
 def test_a_scope_leaves_nothing_behind(spark, docs, tmp_path):  # noqa: F811
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        with common.scope():
-            packing.pack_documents(docs).write.parquet(str(tmp_path / "out"))
-            assert list((tmp_path / "shared").iterdir())
-        assert not list((tmp_path / "shared").iterdir())
-        assert spark.read.parquet(str(tmp_path / "out")).count()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    there = lambda f: common.file_system(f)[0].get_file_info(common.file_system(f)[1]).type.name
+    with common.scope():
+        packing.pack_documents(docs).write.parquet(str(tmp_path / "out"))
+        made = list(common._SCOPES[-1])
+        assert made and {there(f) for f in made} == {"Directory"}
+    assert {there(f) for f in made} == {"NotFound"}
+    assert spark.read.parquet(str(tmp_path / "out")).count()
