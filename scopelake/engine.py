@@ -8,31 +8,49 @@ from pyspark.sql import functions as F
 from scopelake.functions.catalogue import FIELDS, profile
 from scopelake.operators import rank, tree
 from scopelake.sources import analyze, flow, modules, trees
+from scopelake.sources.cache import Cache
 
 # Paths that count less unless asked otherwise.
 DEPRIORITIZED = [".agents/", "docs/idea/", "vendor/", "vendors/", "node_modules/"]
 
 
 class Engine:
-    """One source tree.  The analysis is the dominant cost and is kept once it is made."""
+    """One source tree.  The analysis is the dominant cost and is kept once it is made.
 
-    def __init__(self, spark: SparkSession, root: str):
+    With a ``cache`` folder it outlives the session, and refresh() analyzes only files
+    whose content has changed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, cache: str | None = None):
         self.spark, self.root = spark, root
+        self.cache = Cache(spark, root, cache) if cache else None
+        self._files: DataFrame | None = None
         self._analyzed: DataFrame | None = None
         self._nodes: DataFrame | None = None
+        self.refreshed: dict[str, int] = {}
 
     def analyzed(self) -> DataFrame:
-        if self._analyzed is None:
+        if self._analyzed is None and self.cache:
+            if not self.cache.version():
+                self.refreshed = self.cache.refresh()
+            self._files, self._analyzed = self.cache.manifest(), self.cache.rows()
+        elif self._analyzed is None:
             self._files = trees.source_files(self.spark, self.root).persist()
             self._analyzed = analyze.analyze(self._files).persist()
         return self._analyzed
 
-    def refresh(self) -> DataFrame:
-        """Read the tree anew."""
-        for df in (self._analyzed, self._nodes):
+    def release(self) -> None:
+        """Give back what is held in memory."""
+        for df in (self._files, self._analyzed, self._nodes):
             if df is not None:
                 df.unpersist()
-        self._analyzed = self._nodes = None
+        self._files = self._analyzed = self._nodes = None
+
+    def refresh(self) -> DataFrame:
+        """Read the tree anew; with a cache, only what has changed (``refreshed`` counts it)."""
+        self.release()
+        if self.cache:
+            self.refreshed = self.cache.refresh()
         return self.nodes()
 
     def failed(self) -> DataFrame:
@@ -43,7 +61,8 @@ class Engine:
         """Folders, files, scopes and bodies with their metrics."""
         if self._nodes is None:
             a = self.analyzed()
-            self._nodes = analyze.nodes(a, self._files.select("path", "file_size", "last_modified")).persist()
+            folders = self.cache.folders() if self.cache else None
+            self._nodes = analyze.nodes(a, self._files.select("path", "file_size", "last_modified"), folders).persist()
         return self._nodes
 
     def ranked(self, weights: str | dict[str, float] = "general", focus: list[str] = (), deprioritized: list[str] = DEPRIORITIZED, within: str | None = None) -> DataFrame:

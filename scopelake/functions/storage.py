@@ -7,23 +7,31 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table under ``spark.checkpoint.dir``.
 
-    Without that setting a temporary folder is used in local mode, and removed at the end
-    of the process; on a cluster it is an error, since executors could not reach it.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Without that setting a temporary folder is used in local mode, one for the process and
+    removed at its end; on a cluster it is an error, since executors could not reach it.
     """
-    spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        made = tempfile.mkdtemp(prefix="scopelake-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        top = "file://" + made
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if top:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="scopelake-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return "file://" + _LOCAL[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scopelake.functions.storage import written
 from scopelake.functions.text import collapsed_path
 
 # Suffixes of assets, which never resolve to code, and of code.
@@ -114,16 +115,28 @@ def super_nodes(edges: DataFrame, threshold: int, distinct_sources: bool = False
     return in_degree(edges, distinct_sources).where(F.col("in_degree") > threshold)
 
 
-def collapse_super_nodes(edges: DataFrame, supers: DataFrame) -> DataFrame:
+#: Bytes of super nodes up to which they are broadcast; salts beyond.
+FEW_BYTES, SALTS = 8 << 20, 64
+
+
+def collapse_super_nodes(edges: DataFrame, supers: DataFrame, most_bytes: int = FEW_BYTES) -> DataFrame:
     """edges with those to a super node replaced by one badge per (source, super node).
 
-    Supers are few against the edges that point at them, so the join is by their id and the
-    badges come from an aggregate with partial results per task.
+    Super nodes are where edges meet, so edges never shuffle by their target alone: as long as
+    the super nodes' ids are few bytes they are broadcast; beyond, edges are dealt over salts
+    by their source and each super node is sent to every salt.  Edges are then added up per
+    (source, target), in the tasks first: badges count once, plain edges as often as before.
     """
-    flagged = edges.join(supers.select("target", F.lit(True).alias("_super")), "target", "left")
-    plain = flagged.where("_super IS NULL").select("source", "target", F.lit("edge").alias("kind"))
-    badges = flagged.where("_super").select("source", "target").distinct().withColumn("kind", F.lit("badge"))
-    return plain.unionByName(badges)
+    marked = written(supers.select("target", F.lit(True).alias("_super")), "super-nodes")
+    size = marked.agg(F.coalesce(F.sum(F.octet_length(F.col("target").cast("string")) + 32), F.lit(0))).first()[0]
+    if size <= most_bytes:
+        flagged = edges.join(F.broadcast(marked), "target", "left")
+    else:
+        salted = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        flagged = edges.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int")).join(salted, ["target", "_salt"], "left")
+    counted = flagged.groupBy("source", "target", "_super").agg(F.count("*").cast("int").alias("_n"))
+    each = F.explode(F.array_repeat(F.when(F.col("_super"), "badge").otherwise("edge"), F.when(F.col("_super"), 1).otherwise(F.col("_n"))))
+    return counted.select("source", "target", each.alias("kind"))
 
 
 def without_externals(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

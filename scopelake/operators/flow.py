@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def smallest_enclosing(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFrame:
-    """points with the innermost span (start, end, span_id) of the same key that holds them.
-
-    An equi join on the key with the range as residual; the choice is an aggregate
-    (latest start, then earliest end, then larger id), not a sort.
-    """
-    s = spans.select(F.col(key).alias("_k"), "start", "end", "span_id")
-    hit = points.join(s, (F.col(key) == F.col("_k")) & F.col(at).between(F.col("start"), F.col("end")))
-    size = F.struct(F.col("start"), (-F.col("end").cast("double")).alias("e"), F.col("span_id"))
-    return hit.groupBy(*points.columns).agg(F.max_by("span_id", size).alias("span_id"))
+from scopelake.operators.sweep import asof
 
 
 def resolve_hoisted(usages: DataFrame, closed: DataFrame, defs: DataFrame) -> DataFrame:
@@ -28,11 +18,22 @@ def resolve_hoisted(usages: DataFrame, closed: DataFrame, defs: DataFrame) -> Da
     return usages.join(best, "usage_id", "left")
 
 
-def resolve_ordered(usages: DataFrame, closed: DataFrame, defs: DataFrame) -> DataFrame:
-    """As resolve_hoisted, but only definitions met before the usage count; the last of the nearest scope wins."""
-    d = defs.withColumnsRenamed({"scope": "ancestor", "preorder": "def_preorder"})
-    seen = usages.join(closed, usages.scope == closed.node).join(d, ["ancestor", "name"]).where("def_preorder < preorder")
-    best = seen.groupBy("usage_id").agg(F.min_by("def_id", F.struct("distance", (-F.col("def_preorder")).alias("p"))).alias("def_id"))
+#: Places in a file that one bucket of the sweep takes.
+PLACES = 1 << 16
+
+
+def resolve_ordered(usages: DataFrame, closed: DataFrame, defs: DataFrame, width: int = PLACES) -> DataFrame:
+    """As resolve_hoisted, but only definitions met before the usage count; the last of the nearest scope wins.
+
+    A sweep over the definitions and usages of a name in each scope above: a row for every
+    usage and ancestor, however often the name is defined.
+    """
+    at = usages.select("usage_id", "scope", "name", "preorder").join(closed, F.col("scope") == F.col("node")).select("usage_id", "ancestor", "name", "preorder", "distance")
+    d = defs.select(F.col("scope").alias("ancestor"), "name", "preorder", "def_id")
+    # names that a scope never defines are no part of the sweep
+    seen = at.join(d.select("ancestor", "name").distinct(), ["ancestor", "name"], "left_semi")
+    found = asof(seen, d, ["ancestor", "name"], "preorder", "def_id", width, strict=True).where("found IS NOT NULL")
+    best = found.groupBy("usage_id").agg(F.min_by("found", "distance").alias("def_id"))
     return usages.join(best, "usage_id", "left")
 
 
@@ -72,14 +73,17 @@ def overlay_category(inside_focus: Column, kind: Column, builtin: Column, import
     )
 
 
-def sibling_edges(rows: DataFrame, parent: str, order: str, kind: str, follows: dict[str, list[str]]) -> DataFrame:
-    """source, target for siblings where the next one's kind may follow this one's kind."""
+def sibling_edges(rows: DataFrame, parent: str, order: str, kind: str, follows: dict[str, list[str]], first_later: dict[str, str] | None = None) -> DataFrame:
+    """source, target for siblings where the next one's kind may follow this one's kind.
+
+    first_later: kinds that point at the first later sibling of another kind, whatever lies between.
+    """
     w = Window.partitionBy(parent).orderBy(order)
-    nxt = rows.withColumns({"_next": F.lead(order).over(w), "_kind": F.lead(kind).over(w)})
-    ok = F.lit(False)
-    for k, after in follows.items():
-        ok = ok | ((F.col(kind) == k) & F.col("_kind").isin(*after))
-    return nxt.where(ok).select(parent, F.col(order).alias("source"), F.col("_next").alias("target"))
+    later = w.rowsBetween(1, Window.unboundedFollowing)
+    targets = [F.when((F.col(kind) == k) & F.lead(kind).over(w).isin(*after), F.lead(order).over(w)) for k, after in follows.items()]
+    targets += [F.when(F.col(kind) == k, F.first(F.when(F.col(kind) == t, F.col(order)), ignorenulls=True).over(later)) for k, t in (first_later or {}).items()]
+    held = rows.select(parent, F.col(order).alias("source"), F.array(*targets).alias("_to"))
+    return held.select(parent, "source", F.explode(F.array_distinct(F.array_compact("_to"))).alias("target"))
 
 
 def chains(rows: DataFrame, parent: str, order: list[str], same: str) -> DataFrame:

@@ -42,16 +42,27 @@ def rollup_metrics(files: DataFrame) -> DataFrame:
     Complexity is the maximum of file averages; the mean function length is weighted by
     function count; density is taken from the sums.
     """
-    sums = ["loc", "function_count", "file_size", "file_count", "comment_lines", "parameter_count", "todo_count", "classes_count", "ts_type_interface_count", "ts_export_count", "md_data_url_count", "python_import_count"]
-    maxima = ["complexity", "max_nesting_depth", "last_modified"]
-    weighed = files.withColumn("_length", F.col("average_function_length") * F.col("function_count"))
-    r = rollup(weighed, [*sums, "_length"], maxima)
+    return folder_metrics(rollup(with_length(files), FOLDER_SUMS, FOLDER_MAXIMA))
+
+
+#: What is summed and what is maximized up the folders.
+FOLDER_SUMS = ["loc", "function_count", "file_size", "file_count", "comment_lines", "parameter_count", "todo_count", "classes_count", "ts_type_interface_count", "ts_export_count", "md_data_url_count", "python_import_count", "_length"]
+FOLDER_MAXIMA = ["complexity", "max_nesting_depth", "last_modified"]
+
+
+def with_length(files: DataFrame) -> DataFrame:
+    """files with the lines of all their functions, in a type whose sums don't depend on their order."""
+    return files.withColumn("_length", (F.col("average_function_length") * F.col("function_count")).cast("decimal(24,6)"))
+
+
+def folder_metrics(r: DataFrame) -> DataFrame:
+    """Rolled-up sums and maxima with the ratios that are taken from them."""
     return r.select(
         "path",
-        *sums,
-        *maxima,
+        *FOLDER_SUMS[:-1],
+        *FOLDER_MAXIMA,
         ratio(F.col("comment_lines"), F.col("loc")).alias("comment_density"),
-        ratio(F.col("_length"), F.col("function_count")).alias("average_function_length"),
+        ratio(F.col("_length").cast("double"), F.col("function_count")).alias("average_function_length"),
         F.lit(0).cast("long").alias("gitignored_count"),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scopelake.functions import text as T
 from scopelake.functions.storage import written
-from scopelake.operators import deps, flow, lines, rank, tree
+from scopelake.operators import deps, flow, lines, rank, sweep, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,7 +267,7 @@ SELECT event_id, span_id FROM (SELECT event_id, s.event_type AS span_id, row_num
 def smallest_enclosing_interval(spark, sf):
     e = table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     spans = e.groupBy("user_id", "event_type").agg(F.min("at").alias("start"), F.max("at").alias("end")).withColumnRenamed("event_type", "span_id")
-    return flow.smallest_enclosing(e.select("event_id", "user_id", "at"), spans, "user_id", "at").select("event_id", "span_id")
+    return sweep.smallest_enclosing(e.select("event_id", "user_id", "at"), spans, "user_id", "at").select("event_id", "span_id")
 
 
 def segment_defs(spark: SparkSession, sf: str) -> DataFrame:

@@ -125,14 +125,9 @@ def failed(analyzed: DataFrame) -> DataFrame:
     return analyzed.where("error IS NOT NULL").select("path", "error")
 
 
-def nodes(analyzed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Folder, file and scope nodes with the metrics of each (0 where a metric is not measured).
-
-    sizes: path, file_size, last_modified.  Scopes that have children and lines of their own
-    get a ``(body)`` child.
-    """
+def file_rows(analyzed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Files that could be read with every metric (0 where it is not measured); sizes: path, file_size, last_modified."""
     from scopelake.functions.catalogue import FIELDS, metric_type
-    from scopelake.operators.tree import parent_path, rollup_metrics
 
     f = analyzed.where("error IS NULL").drop("scopes", "error")
     if sizes is not None:
@@ -140,6 +135,19 @@ def nodes(analyzed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     for m in FIELDS:
         present = F.col(m) if m in f.columns else F.lit(1 if m == "file_count" else 0)
         f = f.withColumn(m, F.coalesce(present, F.lit(0)).cast(metric_type(m)))
+    return f
+
+
+def nodes(analyzed: DataFrame, sizes: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
+    """Folder, file and scope nodes with the metrics of each (0 where a metric is not measured).
+
+    sizes: path, file_size, last_modified.  folders: their metrics, where they are kept and
+    need no roll-up.  Scopes that have children and lines of their own get a ``(body)`` child.
+    """
+    from scopelake.functions.catalogue import FIELDS, metric_type
+    from scopelake.operators.tree import parent_path, rollup_metrics
+
+    f = file_rows(analyzed, sizes)
     name = F.substring_index("path", "/", -1)
 
     def shaped(df: DataFrame, kind: str, node_id, parent, name, start, end) -> DataFrame:
@@ -150,7 +158,7 @@ def nodes(analyzed: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 
     zero = F.lit(0)
     files = shaped(f, "file", F.col("path"), parent_path(F.col("path")), name, zero, zero)
-    folders = shaped(rollup_metrics(f), "folder", F.col("path"), parent_path(F.col("path")), name, zero, zero)
+    folders = shaped(rollup_metrics(f) if folders is None else folders, "folder", F.col("path"), parent_path(F.col("path")), name, zero, zero)
     s = scopes(analyzed).withColumns({"loc": F.col("nloc"), "comment_density": F.when(F.col("nloc") > 0, F.col("comment_lines") / F.col("nloc")).otherwise(0.0)})
     key = lambda c: F.concat_ws("::", F.col("path"), F.col(c).cast("string"))
     s = s.withColumns({"_id": key("scope_id"), "_parent": key("parent_scope_id"), "path": F.concat_ws("::", "path", "name_path")})

@@ -150,7 +150,7 @@ def data_flow(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     flows = u.where("def_id IS NOT NULL").select("path", F.concat(F.lit("d:"), "def_id").alias("source"), F.concat(F.lit("u:"), "usage_id").alias("target"), F.lit("data").alias("type"))
     siblings = s.where(F.col("parent_id").isNotNull()).withColumn("_o", F.struct("start_line", F.length("scope_id"), "scope_id"))
-    follows = {"try": ["catch", "finally"], "catch": ["finally"], "if_branch": ["else_branch"], "case": ["case", "default"], "default": ["case", "default"]}
-    control = ops.sibling_edges(siblings, "parent_id", "_o", "kind", follows)
+    follows = {"try": ["catch", "finally"], "catch": ["finally"], "case": ["case", "default"], "default": ["case", "default"]}
+    control = ops.sibling_edges(siblings, "parent_id", "_o", "kind", follows, {"if_branch": "else_branch"})
     edges = control.select(F.substring_index(F.col("source.scope_id"), "#", 1).alias("path"), F.col("source.scope_id").alias("source"), F.col("target.scope_id").alias("target"), F.lit("control-flow").alias("type"))
     return nodes, flows.unionByName(edges)

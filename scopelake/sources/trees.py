@@ -211,13 +211,18 @@ def nearest_config(root: str) -> list[tuple[str, str]]:
     return out
 
 
-def source_files(spark: SparkSession, root: str, gitignore: bool = True) -> DataFrame:
-    """path, file_size, last_modified, content of every file that is analyzed."""
+def source_listing(spark: SparkSession, root: str, gitignore: bool = True) -> DataFrame:
+    """path, file_size, last_modified of every file that is analyzed."""
     every = listing(spark, root)
     kept = every.where(not_ignored(F.col("path")))
     if gitignore:
         kept = kept.where(~git_ignored(F.col("path"), ignore_patterns(small_files(root, every, ".gitignore"))))
-    return with_content(spark, root, kept)
+    return kept
+
+
+def source_files(spark: SparkSession, root: str, gitignore: bool = True) -> DataFrame:
+    """path, file_size, last_modified, content of every file that is analyzed."""
+    return with_content(spark, root, source_listing(spark, root, gitignore))
 
 
 def ignored_files(spark: SparkSession, root: str) -> DataFrame:
