@@ -35,43 +35,14 @@ def _entries(fs, folder: str):
     return sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda x: x.base_name)
 
 
-def _walk(fs, top: str, folder: str, dot_dirs: bool) -> Iterator[tuple[str, int, float]]:
-    for e in _entries(fs, folder):
-        if e.is_file:
-            yield e.path[len(top) :].lstrip("/"), e.size, e.mtime_ns / 1e9 if e.mtime_ns else 0.0
-        elif keeps_dir(e.base_name, dot_dirs):
-            yield from _walk(fs, top, e.path, dot_dirs)
-
-
 LISTING = "path string, file_size long, last_modified double"
 
 
 def listing(spark: SparkSession, root: str, dot_dirs: bool = True) -> DataFrame:
-    """path (relative), file_size, last_modified of every file outside pruned folders.
+    """path (relative), file_size, last_modified of every file outside pruned folders."""
+    from scopelake.sources.tree_source import scan
 
-    The driver lists the top folder only; each folder below is walked by a task.
-    """
-    fs, top = file_system(root)
-    here, below = [], []
-    for e in _entries(fs, top):
-        if e.is_file:
-            here.append((e.base_name, e.size, e.mtime_ns / 1e9 if e.mtime_ns else 0.0))
-        elif keeps_dir(e.base_name, dot_dirs):
-            below.append((e.base_name,))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = file_system(root)
-        for b in batches:
-            for d in b.column("d").to_pylist():
-                rows = list(_walk(fs, top, f"{top}/{d}", dot_dirs))
-                for lo in range(0, len(rows), 10_000):
-                    p, s, m = zip(*rows[lo : lo + 10_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(s, pa.int64()), pa.array(m, pa.float64())], names=["path", "file_size", "last_modified"])
-
-    out = spark.createDataFrame(here, LISTING)
-    if below:
-        out = out.unionByName(spark.createDataFrame(below, "d string").repartition(len(below), "d").mapInArrow(walk, LISTING))
-    return out
+    return scan(spark, root, dot_dirs)
 
 
 def last_suffix(path: Column) -> Column:
@@ -178,14 +149,12 @@ def with_content(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     return files.select("path", "file_size", "last_modified").repartition(n).mapInArrow(read, LISTING + ", content string")
 
 
-def small_files(root: str, files: DataFrame, name: str) -> list[tuple[str, str]]:
-    """(folder, content) of configuration files of that name."""
-    fs, top = file_system(root)
-    out = []
-    for r in files.where(F.substring_index("path", "/", -1) == name).select("path").collect():  # few by nature
-        with fs.open_input_stream(f"{top}/{r['path']}", compression=None) as f:
-            out.append((r["path"].rpartition("/")[0], f.read().decode("utf-8", "replace")))
-    return out
+def git_ignored_files(spark: SparkSession, root: str, every: DataFrame) -> DataFrame:
+    """path of the files of a listing that the ignore files in it take out."""
+    from scopelake.sources import ignore
+
+    found = with_content(spark, root, every.where(F.substring_index("path", "/", -1) == ".gitignore"))
+    return ignore.ignored(every, ignore.ignore_lines(found))
 
 
 def repository_root(path: str) -> str:
@@ -216,7 +185,7 @@ def source_listing(spark: SparkSession, root: str, gitignore: bool = True) -> Da
     every = listing(spark, root)
     kept = every.where(not_ignored(F.col("path")))
     if gitignore:
-        kept = kept.where(~git_ignored(F.col("path"), ignore_patterns(small_files(root, every, ".gitignore"))))
+        kept = kept.join(git_ignored_files(spark, root, every), "path", "left_anti")
     return kept
 
 
@@ -228,7 +197,7 @@ def source_files(spark: SparkSession, root: str, gitignore: bool = True) -> Data
 def ignored_files(spark: SparkSession, root: str) -> DataFrame:
     """folder, ignored_files: how many files of each folder the ignore files take out."""
     every = listing(spark, root)
-    gone = every.where(not_ignored(F.col("path")) & git_ignored(F.col("path"), ignore_patterns(small_files(root, every, ".gitignore"))))
+    gone = every.where(not_ignored(F.col("path"))).join(git_ignored_files(spark, root, every), "path", "left_semi")
     return gone.groupBy(F.regexp_replace("path", "/?[^/]*$", "").alias("folder")).agg(F.count("*").alias("ignored_files"))
 
 
