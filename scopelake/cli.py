@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from scopelake import report
@@ -12,6 +13,7 @@ from scopelake.operators.rank import PRIORITIES
 from scopelake.sources.trees import repository_root
 
 
+# The names of commands and options.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="scopelake")
     sub = p.add_subparsers(dest="command", required=True)
@@ -61,12 +63,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = SparkSession.builder.appName("scopelake").getOrCreate()
     engine = Engine(spark, a.path or repository_root("."))
     if a.command == "scan":
-        text = report.dumps(report.tree_json(engine))
         if a.out == "-":
-            print(text, end="")
+            print(report.dumps(report.tree_json(engine)), end="")
         else:
-            with open(a.out, "w", encoding="utf-8") as f:
-                f.write(text)
+            report.write_tree(engine, os.path.abspath(a.out))
         return 0
     if a.command == "report":
         low = ([] if a.no_default_deprioritize else DEPRIORITIZED) + a.deprioritize_path

@@ -5,11 +5,14 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
+from scopelake import sinks
 from scopelake.engine import DEPRIORITIZED, Engine
 from scopelake.functions.catalogue import METRICS, PROFILES
+from scopelake.functions.storage import shared_folder
 
 TITLES = {
     "tsx": "Rendering complexity gathered in one place",
@@ -31,6 +34,32 @@ ACTIONS = {
     "size": "Look for parts that can be separated under existing tests.",
     "complexity": "Follow the control flow and simplify what tests cover.",
 }
+#: For components in a file of markup.
+TSX_ACTION = "Take out children that only render, dialogs, hooks of actions and derived values; then run the type check and the tests of that screen."
+# Of each artifact its name, the order it is read in, and how much of it an agent should load.
+ARTIFACTS = {
+    "manifest.json": ("manifest", 1, "full"),
+    "report.md": ("report", 1, "full"),
+    "findings.top.json": ("findings_top", 2, "full"),
+    "action-plan.md": ("action_plan", 3, "full"),
+    "tree.summary.json": ("tree_summary", 4, "full"),
+    "findings.json": ("findings", 5, "top_n"),
+    "hotspots.json": ("hotspots", 6, "top_n"),
+    "metrics.schema.json": ("metrics_schema", 7, "reference"),
+    "dependencies.json": ("dependencies", 8, "top_n"),
+    "tree.json": ("tree", 9, "avoid_full_load"),
+    "agent-skill.md": ("agent_skill", 10, "reference"),
+}
+
+
+def action(f: dict) -> str:
+    """What to do first about a finding; markup has an action of its own."""
+    markup = f["path"].endswith(".tsx") or ("::" in f["path"] and ".tsx" in f["path"])
+    return TSX_ACTION if f["category"] == "tsx" and markup else ACTIONS[f["category"]]
+
+
+def agent_prompt(category: str) -> str:
+    return f"Look into this {category} finding: take its numbers as a hint, read the source and its tests, then propose or make the smallest change that keeps behaviour."
 
 
 def dumps(value) -> str:
@@ -114,7 +143,8 @@ def payload(engine: Engine, profile: str = "general", limit: int = 50, depth: in
     found = [plain(r) for r in engine.findings(limit, **how).collect()]
     for f in found:
         f["title"] = f"{TITLES[f['category']]} in {f['name']}"
-        f["suggested_action"] = ACTIONS[f["category"]]
+        f["suggested_action"] = action(f)
+        f["agent_prompt"] = agent_prompt(f["category"])
     summary = nested([plain(r) for r in engine.tree_summary(depth, top, **how).orderBy("depth", "parent", F.desc("score"), F.desc("loc"), "node_id").collect()])
     manifest = {"root_path": engine.root, "profile": profile, "generated_at": datetime.datetime.now(datetime.UTC).isoformat()}
     out = {
@@ -125,31 +155,68 @@ def payload(engine: Engine, profile: str = "general", limit: int = 50, depth: in
         "metrics.schema.json": metrics_schema(),
         "report.md": markdown(manifest, found, len(hot), summary, list(focus), list(deprioritized)),
         "action-plan.md": action_plan(found, profile),
-        "guide.md": GUIDE,
+        "agent-skill.md": GUIDE,
     }
     if include_tree:
         out["tree.json"] = tree_json(engine)
     if include_dependencies:
         nodes, edges = engine.dependencies()
-        out["dependencies.json"] = {"nodes": [plain(r) for r in nodes.collect()], "edges": [plain(r) for r in edges.collect()]}
-    order = ["report.md", "findings.top.json", "action-plan.md", "tree.summary.json", "findings.json", "hotspots.json", "metrics.schema.json", "dependencies.json", "tree.json", "guide.md"]
-    size = lambda x: len((x if isinstance(x, str) else dumps(x)).encode())
-    manifest["artifacts"] = [{"path": p, "bytes": size(out[p]), "read_order": order.index(p) + 1} for p in sorted(out, key=lambda p: (order.index(p), p))]
+        out["dependencies.json"] = {"nodes": [plain(r) for r in nodes.orderBy("id").collect()], "edges": [plain(r) for r in edges.orderBy("source", "target", "edge_kind", "label").collect()]}
+    manifest["artifacts"] = artifacts({p: size_of(x) for p, x in {"manifest.json": manifest, **out}.items()})
     return {"manifest.json": manifest, **out}
 
 
+def size_of(content) -> int:
+    return len((content if isinstance(content, str) else dumps(content)).encode())
+
+
+def artifacts(sizes: dict[str, int]) -> list[dict]:
+    """The index of written artifacts, in the order they are read; the manifest's size is that without the index."""
+    rows = [{"name": n, "path": p, "bytes": sizes[p], "read_order": order, "agent_load": load} for p, (n, order, load) in ARTIFACTS.items() if p in sizes]
+    return sorted(rows, key=lambda r: (r["read_order"], r["path"]))
+
+
 def tree_json(engine: Engine) -> dict:
-    """The whole tree, nested; write nodes() as Parquet where it is large."""
-    return {"tree": nested([plain(r) for r in engine.nodes().orderBy("node_id").collect()])}
+    """The whole tree, nested, on the driver: for one text on the standard output.  write_report and ``scan`` write it from the tasks."""
+    rows = engine.nodes().select("*", *sinks.tree_place()).orderBy("_path", "_number", "_body").drop("_path", "_number", "_body", "depth")
+    return {"tree": nested([plain(r) for r in rows.collect()])}
+
+
+def _folder(engine: Engine, name: str) -> str:
+    return f"{shared_folder(engine.spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def write_tree(engine: Engine, target: str) -> int:
+    """The nested tree as one file, written by the tasks; gives its bytes."""
+    folder = _folder(engine, "tree")
+    sinks.write_tree(engine.nodes(), folder)
+    return sinks.merged([folder], target)
 
-def write_report(engine: Engine, folder: str, formats: str = "both", **how) -> dict[str, str]:
+
+def write_dependencies(engine: Engine, target: str) -> int:
+    """Nodes and edges of the dependency graph as one file, written by the tasks; gives its bytes."""
+    nodes, edges = engine.dependencies()
+    folders = [_folder(engine, "graph-nodes"), _folder(engine, "graph-edges")]
+    sinks.write_rows(nodes, folders[0], '{"nodes": [', "], ", "id")
+    sinks.write_rows(edges, folders[1], '"edges": [', "]}\n", "source", "target", "edge_kind", "label")
+    return sinks.merged(folders, target)
+
+
+def write_report(engine: Engine, folder: str, formats: str = "both", include_tree: bool = False, include_dependencies: bool = False, **how) -> dict[str, str]:
+    """The artifacts as files; tree and graph never come to the driver."""
     os.makedirs(folder, exist_ok=True)
-    written = {}
-    for name, content in payload(engine, **how).items():
-        is_json = name.endswith(".json")
-        if formats in ("both", "json" if is_json else "markdown"):
+    written, sizes = {}, {}
+    wanted = lambda name: formats in ("both", "json" if name.endswith(".json") else "markdown")
+    content = payload(engine, **how)
+    manifest = {k: v for k, v in content.pop("manifest.json").items() if k != "artifacts"}
+    for name, write in (("tree.json", write_tree if include_tree else None), ("dependencies.json", write_dependencies if include_dependencies else None)):
+        if write and wanted(name):
+            written[name] = os.path.join(folder, name)
+            sizes[name] = write(engine, os.path.abspath(written[name]))
+    sizes |= {n: size_of(x) for n, x in content.items() if wanted(n)} | ({"manifest.json": size_of(manifest)} if wanted("manifest.json") else {})
+    for name, x in {"manifest.json": manifest | {"artifacts": artifacts(sizes)}, **content}.items():
+        if wanted(name):
             written[name] = os.path.join(folder, name)
             with open(written[name], "w", encoding="utf-8") as f:
-                f.write(dumps(content) if is_json else content)
+                f.write(dumps(x) if name.endswith(".json") else x)
     return written

@@ -150,9 +150,10 @@ def nodes(analyzed: DataFrame, sizes: DataFrame | None = None, folders: DataFram
     f = file_rows(analyzed, sizes)
     name = F.substring_index("path", "/", -1)
 
-    def shaped(df: DataFrame, kind: str, node_id, parent, name, start, end) -> DataFrame:
+    def shaped(df: DataFrame, kind: str, node_id, parent, name, start, end, depth=None) -> DataFrame:
+        depth = F.size(F.split("path", "/")) if depth is None else depth
         return df.select(
-            node_id.alias("node_id"), parent.alias("parent"), F.lit(kind).alias("node_type"), name.alias("name"), "path", start.cast("long").alias("start_line"), end.cast("long").alias("end_line"),
+            node_id.alias("node_id"), parent.alias("parent"), F.lit(kind).alias("node_type"), name.alias("name"), "path", depth.cast("int").alias("depth"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"),
             *[(F.col(m) if m in df.columns else F.lit(0)).cast(metric_type(m)).alias(m) for m in FIELDS],
         )
 
@@ -161,11 +162,11 @@ def nodes(analyzed: DataFrame, sizes: DataFrame | None = None, folders: DataFram
     folders = shaped(rollup_metrics(f) if folders is None else folders, "folder", F.col("path"), parent_path(F.col("path")), name, zero, zero)
     s = scopes(analyzed).withColumns({"loc": F.col("nloc"), "comment_density": F.when(F.col("nloc") > 0, F.col("comment_lines") / F.col("nloc")).otherwise(0.0)})
     key = lambda c: F.concat_ws("::", F.col("path"), F.col(c).cast("string"))
-    s = s.withColumns({"_id": key("scope_id"), "_parent": key("parent_scope_id"), "path": F.concat_ws("::", "path", "name_path")})
+    s = s.withColumns({"_id": key("scope_id"), "_parent": F.when(F.col("parent_scope_id").isNull(), F.col("path")).otherwise(key("parent_scope_id")), "depth": F.size(F.split("path", "/")) + F.col("depth") + 1, "path": F.concat_ws("::", "path", "name_path")})
     # eight metrics and the place; the rest stays 0 below files
     kept = ["loc", "complexity", "comment_lines", "comment_density", "max_nesting_depth", "parameter_count", "todo_count", "ts_type_interface_count", "md_data_url_count"]
-    s = s.select("path", "name", "_id", "_parent", "start_line", "end_line", "body_loc", *kept)
-    own = shaped(s, "function", F.col("_id"), F.col("_parent"), F.col("name"), F.col("start_line"), F.col("end_line"))
-    bodies = s.where("body_loc > 0").select(F.concat("_id", F.lit("::(body)")).alias("_body"), "_id", F.concat("path", F.lit("::(body)")).alias("path"), F.col("body_loc").alias("loc"), "start_line", "end_line")
-    body = shaped(bodies, "function_body", F.col("_body"), F.col("_id"), F.lit("(body)"), F.col("start_line"), F.col("end_line"))
+    s = s.select("path", "name", "_id", "_parent", "depth", "start_line", "end_line", "body_loc", *kept)
+    own = shaped(s, "function", F.col("_id"), F.col("_parent"), F.col("name"), F.col("start_line"), F.col("end_line"), F.col("depth"))
+    bodies = s.where("body_loc > 0").select(F.concat("_id", F.lit("::(body)")).alias("_body"), "_id", F.concat("path", F.lit("::(body)")).alias("path"), F.col("body_loc").alias("loc"), (F.col("depth") + 1).alias("depth"), "start_line", "end_line")
+    body = shaped(bodies, "function_body", F.col("_body"), F.col("_id"), F.lit("(body)"), F.col("start_line"), F.col("end_line"), F.col("depth"))
     return folders.unionByName(files).unionByName(own).unionByName(body)

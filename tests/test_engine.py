@@ -62,7 +62,9 @@ def test_dependencies(engine):
 def test_report_files(engine, tmp_path):
     made = report.write_report(engine, str(tmp_path / "out"), include_tree=True)
     manifest = json.loads((tmp_path / "out" / "manifest.json").read_text())
-    assert [a["path"] for a in manifest["artifacts"]][0] == "report.md" and "tree.json" in made
+    assert [a["path"] for a in manifest["artifacts"]][:3] == ["manifest.json", "report.md", "findings.top.json"] and "tree.json" in made
+    assert {(a["name"], a["agent_load"]) for a in manifest["artifacts"]} >= {("tree", "avoid_full_load"), ("agent_skill", "reference"), ("findings", "top_n")}
+    assert "agent_prompt" in json.loads((tmp_path / "out" / "findings.json").read_text())["findings"][0]
     size = {a["path"]: a["bytes"] for a in manifest["artifacts"]}
     assert size["findings.json"] == len((tmp_path / "out" / "findings.json").read_bytes())
     with pytest.raises(ValueError):
@@ -139,3 +141,46 @@ def test_the_way_down_to_a_range(spark):
     assert trail(22, 25) == [0, 1, 2, 4, 5]  # wide wrappers only where something narrower lies below; 7 is none
     assert trail(41, 42) == [0, 1, 2, 6] and trail(55, 58) == [0, 1, 3] and trail(12, 60) == [0, 1, 3]
     assert trail(90, 95) == [0] and trail(1, 200) == [0]
+
+
+def test_markup_has_an_action_of_its_own():
+    f = {"path": "src/a.tsx::C", "category": "tsx"}
+    assert report.action(f) == report.TSX_ACTION and report.action(f | {"path": "src/a.ts"}) == report.ACTIONS["tsx"]
+    assert report.action(f | {"category": "size"}) == report.ACTIONS["size"]
+
+
+def test_tree_and_graph_are_written_by_the_tasks(engine, spark, tmp_path, monkeypatch):
+    """Whole files equal what nesting on the driver gives, and no row is collected but one per partition."""
+    want, graph = report.tree_json(engine), engine.dependencies()
+    edges = sorted(repr(sorted(report.plain(r).items(), key=str)) for r in graph[1].collect())
+    monkeypatch.setattr(report, "tree_json", None)
+    made = report.write_report(engine, str(tmp_path / "out"), include_tree=True, include_dependencies=True)
+    assert json.loads(open(made["tree.json"]).read()) == want
+    got = json.loads(open(made["dependencies.json"]).read())
+    assert [n["id"] for n in got["nodes"]] == sorted(r["id"] for r in graph[0].collect())
+    assert sorted(repr(sorted(e.items(), key=str)) for e in got["edges"]) == edges
+    manifest = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    size = {a["path"]: a["bytes"] for a in manifest["artifacts"]}
+    assert size["tree.json"] == len(open(made["tree.json"], "rb").read()) and size["dependencies.json"] == len(open(made["dependencies.json"], "rb").read())
+    assert cli.main(["scan", engine.root, "--out", str(tmp_path / "t.json")], spark) == 0
+    assert json.loads((tmp_path / "t.json").read_text()) == want
+
+
+def test_a_large_folder_is_written_in_parts(spark, tmp_path):
+    from scopelake import sinks
+
+    rows = [("d", None, "folder", 1)] + [(f"d/f{i:04}", "d", "file", 2) for i in range(1500)] + [(f"d/f{i:04}::{n}", f"d/f{i:04}", "function", 3) for i in range(0, 1500, 7) for n in range(3)]
+    rows += [(f"d/f{i:04}::{n}::(body)", f"d/f{i:04}::{n}", "function_body", 4) for i in range(0, 1500, 7) for n in (0, 2)]
+    nodes = spark.createDataFrame(rows, "node_id string, parent string, node_type string, depth int").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_tree(nodes, str(tmp_path / "tree"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sinks.parts(str(tmp_path / "tree"))) >= 5
+    got = json.loads(b"".join(sinks.blocks([str(tmp_path / "tree")])))
+    listed = nodes.select("*", *sinks.tree_place()).orderBy("_path", "_number", "_body").drop("_path", "_number", "_body", "depth").collect()
+    assert got == {"tree": report.nested([report.plain(r) for r in listed])}
+    sinks.write_tree(nodes.where("1 = 0"), str(tmp_path / "none"))
+    assert json.loads(b"".join(sinks.blocks([str(tmp_path / "none")]))) == {"tree": []}
