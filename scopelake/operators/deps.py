@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scopelake.functions.storage import written
 from scopelake.functions.text import collapsed_path
+from scopelake.operators.tree import prefixes
 
 # Suffixes of assets, which never resolve to code, and of code.
 ASSETS = [".css", ".scss", ".sass", ".less", ".styl", ".json", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".bmp", ".avif"]
@@ -115,6 +116,22 @@ def super_nodes(edges: DataFrame, threshold: int, distinct_sources: bool = False
     return in_degree(edges, distinct_sources).where(F.col("in_degree") > threshold)
 
 
+#: Log2 of the registers of a sketch, and its relative error (three standard deviations) by the published bound.
+SKETCH = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH / 2)
+
+
+def fan_in_sketches(edges: DataFrame) -> DataFrame:
+    """target, sketch: the distinct sources of each target as a mergeable sketch of at most some kilobytes."""
+    return edges.groupBy("target").agg(F.hll_sketch_agg("source", F.lit(SKETCH)).alias("sketch"))
+
+
+def merged_fan_in(sketches: DataFrame, path: str) -> DataFrame:
+    """path, fan_in: about how many distinct sources each path and everything below it has; edges are not read again."""
+    up = sketches.select(F.explode(prefixes(F.col(path))).alias("path"), "sketch")
+    return up.groupBy("path").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("fan_in"))
+
+
 #: Bytes of super nodes up to which they are broadcast; salts beyond.
 FEW_BYTES, SALTS = 8 << 20, 64
 

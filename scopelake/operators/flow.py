@@ -79,9 +79,10 @@ def sibling_edges(rows: DataFrame, parent: str, order: str, kind: str, follows:
     first_later: kinds that point at the first later sibling of another kind, whatever lies between.
     """
     w = Window.partitionBy(parent).orderBy(order)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that what comes later is a running last: linear in the siblings
+    later = Window.partitionBy(parent).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     targets = [F.when((F.col(kind) == k) & F.lead(kind).over(w).isin(*after), F.lead(order).over(w)) for k, after in follows.items()]
-    targets += [F.when(F.col(kind) == k, F.first(F.when(F.col(kind) == t, F.col(order)), ignorenulls=True).over(later)) for k, t in (first_later or {}).items()]
+    targets += [F.when(F.col(kind) == k, F.last(F.when(F.col(kind) == t, F.col(order)), ignorenulls=True).over(later)) for k, t in (first_later or {}).items()]
     held = rows.select(parent, F.col(order).alias("source"), F.array(*targets).alias("_to"))
     return held.select(parent, "source", F.explode(F.array_distinct(F.array_compact("_to"))).alias("target"))
 

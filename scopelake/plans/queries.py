@@ -81,7 +81,7 @@ def scored(spark: SparkSession, sf: str, stored: bool = False) -> DataFrame:
 
 @query(f"WITH {SCORE_SQL} SELECT doc_id, path, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 50")
 def hotspot_rank_documents(spark, sf):
-    return rank.top_ranked(scored(spark, sf), 50, "doc_id").select("doc_id", "path", "score", "rank")
+    return rank.top_ranked(scored(spark, sf, stored=True), 50, "doc_id").select("doc_id", "path", "score", "rank")
 
 
 @query(f"WITH {SCORE_SQL} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM s")
@@ -147,7 +147,7 @@ def profile_scores_long(spark, sf):
 
     names = ["complexity", "loc", "todo_count", "parameter_count"]
     weights = [(p, m, PROFILES[p][m]) for p in ("general", "python", "docs") for m in names if m in PROFILES[p]]
-    f = files(spark, sf)
+    f = written(files(spark, sf), "file-metrics")
     long = f.unpivot(["doc_id"], names, "metric", "value")
     top = f.agg(*[F.max(m).alias(m) for m in names]).unpivot([], names, "metric", "top")
     w = spark.createDataFrame(weights, "profile string, metric string, weight double")
@@ -170,14 +170,14 @@ def finding_dedupe_numbering(spark, sf):
 @query(f"""WITH {SCORE_SQL}, l AS (SELECT *, CASE WHEN path LIKE 'src1/%' THEN 'focused' WHEN path LIKE 'src2/en/%' OR path LIKE 'src3/%' THEN 'deprioritized' ELSE 'neutral' END AS label FROM s)
 SELECT doc_id, label, round(greatest(0, least(1, raw_score * CASE label WHEN 'focused' THEN 1.25::DOUBLE WHEN 'deprioritized' THEN 0.55::DOUBLE ELSE 1 END)), 4) AS score FROM l""")
 def path_priority(spark, sf):
-    s = scored(spark, sf).withColumn("label", rank.priority_label(F.col("path"), ["src1"], ["src2/en/", "/src3"]))
+    s = scored(spark, sf, stored=True).withColumn("label", rank.priority_label(F.col("path"), ["src1"], ["src2/en/", "/src3"]))
     return s.select("doc_id", "label", rank.adjusted(F.col("raw_score"), F.col("label")).alias("score"))
 
 
 @query(f"""WITH {SCORE_SQL} SELECT parent, doc_id, score, CAST(child_rank AS INT) AS child_rank FROM (SELECT regexp_extract(path, '^[^/]*') AS parent, doc_id, score,
 row_number() OVER (PARTITION BY regexp_extract(path, '^[^/]*') ORDER BY score DESC, loc DESC, doc_id) AS child_rank FROM s) WHERE child_rank <= 5""")
 def topk_children(spark, sf):
-    s = scored(spark, sf).withColumn("parent", F.substring_index("path", "/", 1))
+    s = scored(spark, sf, stored=True).withColumn("parent", F.substring_index("path", "/", 1))
     return tree.top_children(s, 5, F.desc("score"), F.desc("loc"), F.asc("doc_id")).select("parent", "doc_id", "score", "child_rank")
 
 
@@ -185,17 +185,17 @@ def topk_children(spark, sf):
 {{'m': 'todo_count', 'k': round(todo_count / mt, 4) * 0.9::DOUBLE, 'n': 2, 'v': todo_count}}, {{'m': 'parameter_count', 'k': round(parameter_count / mp, 4) * 0.6::DOUBLE, 'n': 3, 'v': parameter_count}}]) AS x FROM s)
 SELECT doc_id, string_agg(x.m, ',' ORDER BY x.k DESC, x.n) AS drivers FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x.k DESC, x.n) AS r FROM e WHERE x.v > 0) WHERE r <= 2 GROUP BY doc_id""")
 def top_drivers_array(spark, sf):
-    return scored(spark, sf).select("doc_id", F.array_join(F.transform(rank.drivers(WEIGHTS, 2), lambda x: x["metric"]), ",").alias("drivers"))
+    return scored(spark, sf, stored=True).select("doc_id", F.array_join(F.transform(rank.drivers(WEIGHTS, 2), lambda x: x["metric"]), ",").alias("drivers"))
 
 
 @query(f"WITH {SCORE_SQL} SELECT count(*) FILTER (score >= 0.4) > 0 AS failed, CAST(count(*) FILTER (score >= 0.4) AS BIGINT) AS reached FROM s")
 def fail_gate(spark, sf):
-    return rank.gate(scored(spark, sf).withColumn("priority", rank.priority(F.col("score"))), "medium")
+    return rank.gate(scored(spark, sf, stored=True).withColumn("priority", rank.priority(F.col("score"))), "medium")
 
 
-@query(f"""WITH {SCORE_SQL} SELECT doc_id, 'High ' || CASE WHEN complexity > 0 THEN 'complexity ' || complexity || ', ' ELSE '' END || loc || ' LOC' || CASE WHEN todo_count > 0 THEN ', ' || todo_count || ' TODOs' ELSE '' END AS reason FROM s WHERE loc > 0""")
+@query(f"""WITH {SCORE_SQL} SELECT doc_id, 'High ' || CASE WHEN complexity > 0 THEN 'complexity ' || complexity || ', ' ELSE '' END || loc || ' LOC' || CASE WHEN n_lines % 4 > 0 THEN ', nesting depth ' || n_lines % 4 ELSE '' END || CASE WHEN todo_count > 0 THEN ', ' || todo_count || ' TODOs' ELSE '' END AS reason FROM s WHERE loc > 0""")
 def reason_text(spark, sf):
-    s = scored(spark, sf).where("loc > 0").withColumn("max_nesting_depth", F.lit(0)).withColumn("complexity", F.col("complexity").cast("double"))
+    s = scored(spark, sf, stored=True).where("loc > 0").withColumn("max_nesting_depth", F.col("n_lines") % 4).withColumn("complexity", F.col("complexity").cast("double"))
     return s.select("doc_id", rank.reason().alias("reason"))
 
 
@@ -476,7 +476,8 @@ def scope_header_names(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.scope_header(F.col("text")).alias("header"))
 
 
-@query()
+@query(f"""WITH {LINKS_SQL}, b AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/[^/]*$', ''), '/'), lambda x: x NOT IN ('', '.')) AS b FROM pages)
+SELECT page_id, specifier, array_to_string(list_concat(b[1:greatest(len(b) - 1, 0)], list_filter(string_split(specifier, '/'), lambda x: x NOT IN ('', '.'))), '/') AS target FROM l JOIN b USING (page_id)""")
 def relative_url_resolve(spark, sf):
     base = F.regexp_replace("url", r"^[a-z]+://[^/]*|/[^/]*$", "")
     s = F.concat(F.lit("../"), F.regexp_replace("specifier", "^/", "./"))
@@ -538,9 +539,11 @@ def analytic_windows(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.lag("event_id").over(w), F.lit(-1)).alias("before"), F.coalesce(F.lead("event_id").over(w), F.lit(-1)).alias("after"), F.ntile(4).over(w).alias("quarter"))
 
 
-@query()
+@query("SELECT 'p' || l_partkey AS target, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS exact, true AS within FROM lineitem GROUP BY 1")
 def approximate_fan_in(spark, sf):
-    return part_edges(spark, sf).groupBy("target").agg(F.approx_count_distinct("source").alias("fan_in"))
+    """The approximate count is within five of its stated standard deviations of the exact one (there are thousands of targets)."""
+    e = part_edges(spark, sf).groupBy("target").agg(F.approx_count_distinct("source", 0.01).alias("about"), F.count_distinct("source").alias("exact"))
+    return e.select("target", "exact", (F.abs(F.col("about") - F.col("exact")) <= F.ceil(F.col("exact") * 0.05)).alias("within"))
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
@@ -751,10 +754,11 @@ def overlay_aliases(spark, sf):
     return overlay(f, (5, 5), None, f.select("path"), "", spark.createDataFrame(*ALIAS_ROWS)).select("path", "name", "category")
 
 
-@query()
+@query(r"""SELECT concat(source, '/', lang, '/', doc_id, '.md') AS path, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS BIGINT) AS loc,
+  CAST(len(regexp_extract_all(text, '(?m)^ {0,3}#{1,6}[ \t]')) AS BIGINT) AS function_count, CAST(len(regexp_extract_all(text, 'data:')) AS BIGINT) AS md_data_url_count, '' AS error FROM documents""")
 def documents_as_files(spark, sf):
     """Every document through the Markdown analyzer: the cost of one Arrow pass over whole texts."""
     from scopelake.sources.analyze import analyze
 
     d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"))
-    return analyze(d).select("path", "loc", "function_count", "md_data_url_count", "error")
+    return analyze(d).select("path", "loc", "function_count", "md_data_url_count", F.coalesce("error", F.lit("")).alias("error"))

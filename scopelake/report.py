@@ -5,14 +5,13 @@ from __future__ import annotations
 import datetime
 import json
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from scopelake import sinks
 from scopelake.engine import DEPRIORITIZED, Engine
 from scopelake.functions.catalogue import METRICS, PROFILES
-from scopelake.functions.storage import shared_folder
+from scopelake.functions.storage import new_folder
 
 TITLES = {
     "tsx": "Rendering complexity gathered in one place",
@@ -182,13 +181,9 @@ def tree_json(engine: Engine) -> dict:
     return {"tree": nested([plain(r) for r in rows.collect()])}
 
 
-def _folder(engine: Engine, name: str) -> str:
-    return f"{shared_folder(engine.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def write_tree(engine: Engine, target: str) -> int:
     """The nested tree as one file, written by the tasks; gives its bytes."""
-    folder = _folder(engine, "tree")
+    folder = new_folder(engine.spark, "tree")
     sinks.write_tree(engine.nodes(), folder)
     return sinks.merged([folder], target)
 
@@ -196,7 +191,7 @@ def write_tree(engine: Engine, target: str) -> int:
 def write_dependencies(engine: Engine, target: str) -> int:
     """Nodes and edges of the dependency graph as one file, written by the tasks; gives its bytes."""
     nodes, edges = engine.dependencies()
-    folders = [_folder(engine, "graph-nodes"), _folder(engine, "graph-edges")]
+    folders = [new_folder(engine.spark, "graph-nodes"), new_folder(engine.spark, "graph-edges")]
     sinks.write_rows(nodes, folders[0], '{"nodes": [', "], ", "id")
     sinks.write_rows(edges, folders[1], '"edges": [', "]}\n", "source", "target", "edge_kind", "label")
     return sinks.merged(folders, target)

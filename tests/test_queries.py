@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from scopelake.plans import view_queries  # noqa: F401 (registers its queries)
+from scopelake.plans import structure_queries, view_queries  # noqa: F401 (register their queries)
 from scopelake.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
