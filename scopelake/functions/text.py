@@ -76,9 +76,13 @@ def line_of_offset(text: Column, offset: Column) -> Column:
     return F.regexp_count(F.substr(text, F.lit(1), offset), F.lit("\n")) + 1
 
 
+#: A string (first group, kept) or a comment of JSON with comments.
+COMMENT = r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/'
+
+
 def without_comments(jsonc: Column) -> Column:
     """JSON with // and /* */ comments taken out; strings stay as they are."""
-    return F.regexp_replace(jsonc, r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+    return F.regexp_replace(jsonc, COMMENT, "$1")
 
 
 def percent_g(x: Column) -> Column:

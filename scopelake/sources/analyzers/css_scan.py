@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from scopelake.sources.analyzers.rows import FileRow, Scope, inked_lines
 
@@ -23,6 +24,8 @@ def scan_css(text: str, path: str = "") -> FileRow:
     stack: list[Scope] = []
     top: list[Scope] = []
     began = 0
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(ends, at) + 1
     for m in _PIECE.finditer(text):
         t = m[0]
         if t.startswith("//") and not scss:
@@ -38,14 +41,14 @@ def scan_css(text: str, path: str = "") -> FileRow:
             raw = text[began : m.start()]
             start = began + len(raw) - len(raw.lstrip())
             name = header(raw) or "{}"
-            s = Scope(name, "scss_scope" if scss else "css_scope", 0, text.count("\n", 0, start) + 1, 0, nloc=0)
+            s = Scope(name, "scss_scope" if scss else "css_scope", 0, line(start), 0, nloc=0)
             (stack[-1].children if stack else top).append(s)
             stack.append(s)
             began = m.end()
         elif t == "}":
             if stack:
                 s = stack.pop()
-                s.end_line = text.count("\n", 0, m.start()) + 1
+                s.end_line = line(m.start())
                 s.nloc = s.end_line - s.start_line + 1
             began = m.end()
     for s in stack:  # never closed

@@ -12,7 +12,19 @@ from scopelake.sources.analyzers.ts_scan import FUNCTIONS, Place, places, scope_
 
 ELEMENTS = {"jsx_element", "jsx_self_closing", "jsx_fragment"}
 # Names that are built in.
-BUILTINS = "console Math JSON Promise Array String Number Boolean Date RegExp Set Map WeakMap WeakSet Error TypeError RangeError ReferenceError SyntaxError URIError Symbol BigInt Intl Proxy Reflect Atomics DataView ArrayBuffer SharedArrayBuffer AggregateError FinalizationRegistry WeakRef Int8Array Uint8Array Uint8ClampedArray Int16Array Uint16Array Int32Array Uint32Array Float32Array Float64Array BigInt64Array BigUint64Array fetch Request Response Headers URL URLSearchParams ReadableStream WritableStream TransformStream TextEncoder TextDecoder window document globalThis process Buffer navigator location history screen frames performance structuredClone queueMicrotask requestIdleCallback cancelIdleCallback Object requestAnimationFrame cancelAnimationFrame localStorage sessionStorage confirm alert prompt Node NodeFilter HTMLElement Element Event CustomEvent CSS IntersectionObserver ResizeObserver MutationObserver AbortController AbortSignal Crypto crypto indexedDB ShadowRoot DocumentFragment setTimeout clearTimeout setInterval clearInterval require module exports __dirname __filename undefined NaN Infinity".split()
+BUILTINS = [
+    "console", "Math", "JSON", "Promise", "Array", "String", "Number", "Boolean", "Date", "RegExp", "Set", "Map", "WeakMap", "WeakSet", "Error",
+    "TypeError", "RangeError", "ReferenceError", "SyntaxError", "URIError", "Symbol", "BigInt", "Intl", "Proxy", "Reflect", "Atomics", "DataView",
+    "ArrayBuffer", "SharedArrayBuffer", "AggregateError", "FinalizationRegistry", "WeakRef", "Int8Array", "Uint8Array", "Uint8ClampedArray",
+    "Int16Array", "Uint16Array", "Int32Array", "Uint32Array", "Float32Array", "Float64Array", "BigInt64Array", "BigUint64Array", "fetch", "Request",
+    "Response", "Headers", "URL", "URLSearchParams", "ReadableStream", "WritableStream", "TransformStream", "TextEncoder", "TextDecoder", "window",
+    "document", "globalThis", "process", "Buffer", "navigator", "location", "history", "screen", "frames", "performance", "structuredClone",
+    "queueMicrotask", "requestIdleCallback", "cancelIdleCallback", "Object", "requestAnimationFrame", "cancelAnimationFrame", "localStorage",
+    "sessionStorage", "confirm", "alert", "prompt", "Node", "NodeFilter", "HTMLElement", "Element", "Event", "CustomEvent", "CSS",
+    "IntersectionObserver", "ResizeObserver", "MutationObserver", "AbortController", "AbortSignal", "Crypto", "crypto", "indexedDB", "ShadowRoot",
+    "DocumentFragment", "setTimeout", "clearTimeout", "setInterval", "clearInterval", "require", "module", "exports", "__dirname", "__filename",
+    "undefined", "NaN", "Infinity",
+]
 #: Words that the parser reads as names but that name nothing.
 NOT_NAMES = {"this", "super", "true", "false", "null", "new.target", "import"}
 CONTROL = {"for": "for", "while": "while", "do": "do", "catch": "catch", "finally": "finally", "switch": "switch", "case": "case", "default_case": "default", "if": "if", "for_each": "for"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import ast
 import io
 import tokenize
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from scopelake.sources.analyzers.rows import FileRow, Scope, import_scope, inked_lines
 
@@ -37,15 +39,16 @@ class Scan:
         self.stack: list[tuple[Scope, int]] = []
         self.top: list[Scope] = []
         self.visit(ast.parse(text), 0)
-        every = [s for t in self.top for s in t.walk()]
-        for line, said in comments(text):
-            todo = "TODO" in said or "FIXME" in said
-            self.file.comment_lines += 1
-            self.file.todo_count += todo
-            for s in every:
-                if s.start_line <= line <= s.end_line:
-                    s.comment_lines += 1
-                    s.todo_count += todo
+        self.count(comments(text))
+
+    def count(self, found: list[tuple[int, str]]) -> None:
+        """Comments and marks of the file, and of every scope by sums up to a line."""
+        marks = ["TODO" in said or "FIXME" in said for _, said in found]
+        self.file.comment_lines, self.file.todo_count = len(found), sum(marks)
+        lines, before = [line for line, _ in found], [0, *accumulate(marks)]
+        for s in (s for t in self.top for s in t.walk()):
+            lo, hi = bisect_left(lines, s.start_line), bisect_right(lines, s.end_line)
+            s.comment_lines, s.todo_count = hi - lo, before[hi] - before[lo]
 
     def opened(self, n: ast.AST) -> Scope | None:
         if isinstance(n, FUNCTIONS):

@@ -88,7 +88,9 @@ class Cache:
             return counts
         manifest = self._write(incremental.new_manifest(decided, n), "manifest", n)
         again = decided.where("status IN ('added', 'changed')").select("path", "file_size", "last_modified")
-        fresh = self._write(analyze.analyze(trees.with_content(self.spark, self.root, again)), "rows", n)
+        content = trees.with_content(self.spark, self.root, again).persist()  # notebooks and other files are two readings
+        fresh = self._write(analyze.analyze(content), "rows", n)
+        content.unpersist()
         if not before:
             self._write(incremental.folder_table(self.measured(fresh, manifest), FOLDER_SUMS, FOLDER_MAXIMA), "folders", n)
         else:

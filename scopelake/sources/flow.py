@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scopelake.functions.storage import written
 from scopelake.operators import deps
 from scopelake.operators import flow as ops
+from scopelake.sources.analyze import time_limit
 from scopelake.sources.analyzers.flow_scan import BUILTINS, flow_rows
 
 #: Suffixes that are read; any other file gives no rows.
@@ -21,8 +23,8 @@ FIELDS = {
 }
 
 
-def scan(files: DataFrame, view: str) -> DataFrame:
-    """files (path, content) -> path, error, scopes, defs, usages."""
+def scan(files: DataFrame, view: str, seconds: float = 10.0) -> DataFrame:
+    """files (path, content) -> path, error, scopes, defs, usages; a file that takes longer is an error."""
     kinds = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     lists = {k: pa.list_(pa.struct([(n, kinds[t]) for n, t in f])) for k, f in FIELDS.items()}
     schema = pa.schema([("path", pa.string()), ("error", pa.string()), *lists.items()])
@@ -33,7 +35,8 @@ def scan(files: DataFrame, view: str) -> DataFrame:
             rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
-                    s, d, u = flow_rows(content or "", path, view)
+                    with time_limit(seconds):
+                        s, d, u = flow_rows(content or "", path, view)
                     rows.append({"path": path, "error": None, "scopes": s, "defs": d, "usages": u})
                 except (Exception, RecursionError) as e:
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:500], "scopes": [], "defs": [], "usages": []})
@@ -45,6 +48,16 @@ def scan(files: DataFrame, view: str) -> DataFrame:
     return files.where(supported).select("path", F.col("content").cast("string").alias("content")).mapInArrow(run, sql)
 
 
+def scanned(files: DataFrame, view: str) -> DataFrame:
+    """scan() as a table: it is read for scopes, definitions and usages."""
+    return written(scan(files, view), "flow-scan")
+
+
+def failed(scanned: DataFrame) -> DataFrame:
+    """path, error of files that could not be read; they have no rows in any view."""
+    return scanned.where("error IS NOT NULL").select("path", "error")
+
+
 def _rows(scanned: DataFrame, kind: str) -> DataFrame:
     """Rows of one kind with ids that are unique over all files."""
     r = scanned.select("path", F.explode(kind).alias("x")).select("path", "x.*")
@@ -80,7 +93,7 @@ def overlay(files: DataFrame, focus: tuple[int, int], slice_: tuple[int, int] |
     An import is internal if it is relative, or if one of the aliases leads it to a file
     of modules (path).
     """
-    s, d, u, c = resolved(scan(files, "focus").persist(), ordered=False)
+    s, d, u, c = resolved(scanned(files, "focus"), ordered=False)
     u = ops.focus_lines(u, "line", slice_ or focus, focus)
     dd = d.select("def_id", F.col("kind").alias("def_kind"), F.col("line").alias("def_line"), F.col("col").alias("def_col"), "source", F.col("scope_id").alias("def_scope"))
     depth = s.select(F.col("scope_id").alias("def_scope"), F.col("depth").alias("def_depth"))
@@ -123,7 +136,7 @@ def overlay(files: DataFrame, focus: tuple[int, int], slice_: tuple[int, int] |
 
 def scope_graph(files: DataFrame) -> DataFrame:
     """Per scope the names it declares and those it captures; empty scopes that are no JSX and hold nothing go."""
-    s, d, u, c = resolved(scan(files, "focus").persist(), ordered=False)
+    s, d, u, c = resolved(scanned(files, "focus"), ordered=False)
     declared = d.where("kind <> 'import'").groupBy("scope_id").agg(F.sort_array(F.collect_set("name")).alias("declared"))
     dd = d.join(s.select("scope_id", "depth"), "scope_id").where("depth > 0 AND kind <> 'import'").select("def_id", F.col("scope_id").alias("ancestor"))
     caught = u.where(~F.col("name").isin(*BUILTINS)).join(dd, "def_id").join(c.where("distance > 0").withColumnRenamed("node", "scope_id"), ["scope_id", "ancestor"], "left_semi")
@@ -138,7 +151,7 @@ def scope_graph(files: DataFrame) -> DataFrame:
 
 def data_flow(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: scopes, variables and usages; edges: definition -> usage and control flow)."""
-    s, d, u, _ = resolved(scan(files, "flow").persist(), ordered=True)
+    s, d, u, _ = resolved(scanned(files, "flow"), ordered=True)
     shown = d.where("kind <> 'function'")
     hidden = u.join(d.select("def_id", F.col("scope_id").alias("_ds"), F.col("line").alias("_dl")), "def_id", "left")
     used = hidden.where(~F.coalesce((F.col("_ds") == F.col("scope_id")) & (F.col("_dl") == F.col("line")), F.lit(False)))

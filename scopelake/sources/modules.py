@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from scopelake.functions.text import label_of_path
 from scopelake.operators import deps
+from scopelake.sources.analyze import time_limit
 from scopelake.sources.analyzers.ts_scan import imports_exports
 
 SQL = "path string, error string, imports array<struct<source:string,symbols:array<string>>>, exports array<struct<name:string,type:string>>"
 
 
-def scan_modules(files: DataFrame) -> DataFrame:
-    """files (path, content) -> path, error, imports, exports."""
+def scan_modules(files: DataFrame, seconds: float = 10.0) -> DataFrame:
+    """files (path, content) -> path, error, imports, exports; a file that takes longer is an error."""
     imports = pa.list_(pa.struct([("source", pa.string()), ("symbols", pa.list_(pa.string()))]))
     exports = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
     schema = pa.schema([("path", pa.string()), ("error", pa.string()), ("imports", imports), ("exports", exports)])
@@ -26,15 +27,21 @@ def scan_modules(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
-                    i, e = imports_exports(content or "", path)
+                    with time_limit(seconds):
+                        i, e = imports_exports(content or "", path)
                     rows.append({"path": path, "error": None, "imports": i, "exports": e})
                 except (Exception, RecursionError) as x:
-                    rows.append({"path": path, "error": str(x)[:500], "imports": [], "exports": []})
+                    rows.append({"path": path, "error": f"{type(x).__name__}: {x}"[:500], "imports": [], "exports": []})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", F.col("content").cast("string").alias("content")).mapInArrow(run, SQL)
 
 
+def failed(modules: DataFrame) -> DataFrame:
+    """path, error of files that could not be read: nodes without imports and exports."""
+    return modules.where("error IS NOT NULL").select("path", "error")
+
+
 def dependency_graph(modules: DataFrame, base: str, alias_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, label, type, parent; edges: source, target, label, edge_kind).
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scopelake.functions.text import COMMENT
+
 # Directories, files and last suffixes that are never read.
 IGNORED_DIRS = [".git", "node_modules", "venv", ".venv", "__pycache__", "dist", "build", ".next", "coverage", ".idea", ".vscode", "target", "out", "android", "ios"]
 IGNORED_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "mix.lock"]
@@ -223,7 +225,7 @@ def directory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def strip_comments(text: str) -> str:
-    return re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", text)
+    return re.sub(COMMENT, lambda m: m[1] or "", text)
 
 
 def folder_names(root: str) -> list[str]:

@@ -1,10 +1,9 @@
-from scopelake.sources.analyze import analyze_text, body_loc
+from scopelake.sources.analyze import analyze_text, with_body_loc
 from scopelake.sources.analyzers.css_scan import scan_css
 from scopelake.sources.analyzers.generic_scan import scan_generic
 from scopelake.sources.analyzers.md_scan import scan_markdown
 from scopelake.sources.analyzers.notebook_scan import scan_notebook, virtual_text
 from scopelake.sources.analyzers.py_scan import scan_python
-from scopelake.sources.analyzers.rows import Scope
 from scopelake.sources.trees import ignore_patterns, pattern_regex, strip_comments, translated
 
 
@@ -77,10 +76,10 @@ def test_generic():
     assert r.todo_count == 1
 
 
-def test_body_lines_are_those_no_child_covers():
-    s = Scope("f", "function", 1, 1, 10, children=[Scope("a", "x", 1, 2, 4), Scope("b", "x", 1, 4, 6), Scope("c", "x", 1, 9, 12)])
-    assert body_loc(s) == 3  # 1, 7, 8
-    assert body_loc(Scope("f", "function", 1, 1, 5)) == 0
+def test_body_lines_are_those_no_child_covers(spark):
+    rows = [("f", 0, None, 1, 10), ("f", 1, 0, 2, 4), ("f", 2, 0, 4, 6), ("f", 3, 0, 9, 12), ("g", 0, None, 1, 5)]
+    s = with_body_loc(spark.createDataFrame(rows, "path string, scope_id long, parent_scope_id long, start_line long, end_line long"))
+    assert {(r["path"], r["scope_id"]): r["body_loc"] for r in s.collect()} == {("f", 0): 3, ("f", 1): 0, ("f", 2): 0, ("f", 3): 0, ("g", 0): 0}  # 1, 7, 8
 
 
 def test_one_file_never_fails_the_job():

@@ -184,3 +184,64 @@ def test_a_large_folder_is_written_in_parts(spark, tmp_path):
     assert got == {"tree": report.nested([report.plain(r) for r in listed])}
     sinks.write_tree(nodes.where("1 = 0"), str(tmp_path / "none"))
     assert json.loads(b"".join(sinks.blocks([str(tmp_path / "none")]))) == {"tree": []}
+
+
+def test_the_graph_as_it_is_drawn(engine):
+    shown = lambda e: {(r["source"], r["target"], r["kind"]) for r in e.collect()}
+    nodes, edges = engine.graph()
+    assert ("src/utils/b.ts::b", "src/a.ts", "export") in shown(edges) and ("src/a.ts", "src/utils/b.ts", "import") not in shown(edges)
+    nodes, edges = engine.graph(externals=False, exports=False)
+    assert {r["type"] for r in nodes.collect()} == {"file"}
+    assert shown(edges) == {("src/a.ts", "src/utils/b.ts", "import"), ("src/a.ts", "src/utils/c.tsx", "import"), ("src/utils/c.tsx", "src/utils/b.ts", "import")}
+    assert {r["target_label"] for r in edges.collect()} == {"b.ts", "c.tsx"}
+    _, edges = engine.graph(externals=False, exports=False, collapse=1)
+    assert {(s, t) for s, t, k in shown(edges) if k == "badge"} == {("src/a.ts", "src/utils/b.ts"), ("src/utils/c.tsx", "src/utils/b.ts")}
+    nodes, _ = engine.graph(externals=False, exports=False, imported_only=True, root="src/a.ts")
+    assert {r["id"] for r in nodes.collect()} == {"src/a.ts", "src/utils/b.ts", "src/utils/c.tsx"}
+    assert {r["path"]: r["fan_in"] for r in engine.fan_in().collect()} == {"src": 2, "src/utils": 2, "src/utils/b.ts": 2, "src/utils/c.tsx": 1}
+    assert [(r["parent"], r["exports"]) for r in engine.exports("C").collect()] == [("src/utils/c.tsx", ["C"])]
+    assert engine.unread_modules().count() == 0
+
+
+def test_explorer_and_treemap(engine):
+    top = engine.children().collect()
+    assert [r["name"] for r in top] == ["src", ".gitignore", "README.md"] and (top[0]["folders"], top[0]["files"]) == (1, 2)
+    t = {r["node_id"]: r for r in engine.treemap().collect()}
+    assert t["src"]["place"] == 1 and t["README.md"]["place"] > 1 and not any(r["node_type"] == "function_body" and len([x for x in t.values() if x["parent"] == r["parent"]]) > 1 for r in t.values())
+    files = {r["path"]: r["loc"] for r in engine.nodes().where("node_type = 'file'").collect()}
+    assert {r["path"]: r["loc"] for r in engine.leaf_sums().collect()}["src"] == sum(v for k, v in files.items() if k.startswith("src/"))
+    kept = {(r["path"], r["node_type"]) for r in engine.filtered([".TS"], excluded=["src/utils"]).collect()}
+    assert kept == {("src/a.ts", "file"), ("src", "folder")}
+    assert {r["suffix"]: r["n"] for r in engine.suffixes().collect()} == {".ts": 2, ".tsx": 1, ".py": 1, ".md": 1, "": 1}
+    assert engine.breadcrumbs("src/a.ts::a") == "src > a.ts > a" and engine.breadcrumbs("none") == ""
+
+
+def test_one_file(spark, tmp_path):
+    text = "const top = 1;\nfunction outer(p) {\n  const own = p;\n  function inner() {\n    return own + top;\n  }\n  return inner();\n}\nlet x = x + 1;\n"
+    (tmp_path / "f.ts").write_text(text)
+    (tmp_path / "n.ipynb").write_text('{"cells": [{"cell_type": "code", "source": ["a\\n", "\\n", "b"]}]}')
+    (tmp_path / "bad.ipynb").write_text("{")
+    e = Engine(spark, str(tmp_path))
+    assert [r["label"] for r in e.focused_scope("f.ts", (5, 5)).collect()] == ["inner"]
+    assert [r["label"] for r in e.scope_at("f.ts", (4, 6)).collect()] == ["inner"]
+    assert [r["label"] for r in e.trail("f.ts", (5, 5)).collect()][1:] == ["outer", "inner"]
+    shown, tokens = e.display("f.ts", (4, 6))
+    assert shown.first()["shown"] == "  function inner() {\n    return own + top;\n  }" and shown.first()["first"] == 4
+    line = "    return own + top;"
+    assert {(r["name"], line[r["start_col"] : r["end_col"]]) for r in tokens.collect() if r["display_line"] == 1} == {("own", "own"), ("top", "top")}
+    assert {r["name"] for r in e.pills("f.ts").collect()} == {"top", "own", "p", "x"}
+    assert {r["line"] for r in e.line_clusters("f.ts").collect()} >= {3, 9}
+    assert e.content("n.ipynb").first()["content"] == "a\nb"
+    n = {r["path"]: r for r in e.nodes().where("node_type IN ('file', 'function')").collect()}
+    assert n["n.ipynb"]["loc"] == 2 and (n["n.ipynb::[code] cell 1"]["start_line"], n["n.ipynb::[code] cell 1"]["end_line"]) == (1, 2)
+    assert [r["path"] for r in e.failed().collect()] == ["bad.ipynb"]
+
+
+def test_files_that_take_too_long_are_errors(spark):
+    from scopelake.sources import flow as f
+    from scopelake.sources import modules
+
+    d = spark.createDataFrame([("slow.ts", "function f(a) { if (a) { return [a, { b: a }]; } }\n" * 30_000), ("a.ts", "const x = 1;")], "path string, content string")
+    assert [r["path"] for r in f.failed(f.scan(d, "focus", 0.2)).collect()] == ["slow.ts"]
+    failed = modules.failed(modules.scan_modules(d, 0.2)).collect()
+    assert [(r["path"], r["error"][:12]) for r in failed] == [("slow.ts", "TimeoutError")]

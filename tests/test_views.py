@@ -1,10 +1,11 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scopelake.operators import deps, explorer, flow, tree
-from scopelake.sources.analyze import body_loc
-from scopelake.sources.analyzers.rows import Scope
+from scopelake.sources.analyze import with_body_loc
 from scopelake.sources.analyzers.ts_scan import scan_typescript
 
 
@@ -76,15 +77,15 @@ def test_hydrated_edges_and_codes(spark):
     assert d.select(deps.codes(F.col("label")).alias("c")).first()["c"][0] == "US"
 
 
-spans = st.lists(st.tuples(st.integers(1, 40), st.integers(0, 10)), min_size=1, max_size=12)
-
-
-@given(spans)
-def test_body_and_children_cover_the_scope(found):
-    children = [Scope("c", "x", 1, a, a + n) for a, n in found]
-    s = Scope("p", "x", 1, 1, 45, children=children)
-    covered = {line for c in children for line in range(c.start_line, min(c.end_line, 45) + 1)}
-    assert body_loc(s) + len(covered) == 45
+def test_body_and_children_cover_the_scope(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for case in range(60):
+        children = [(a, a + rng.randrange(0, 11)) for a in (rng.randrange(1, 41) for _ in range(rng.randrange(1, 13)))]
+        rows += [(f"f{case}", 0, None, 1, 45)] + [(f"f{case}", i, 0, a, b) for i, (a, b) in enumerate(children, 1)]
+        want[f"f{case}"] = 45 - len({line for a, b in children for line in range(a, min(b, 45) + 1)})
+    s = with_body_loc(spark.createDataFrame(rows, "path string, scope_id long, parent_scope_id long, start_line long, end_line long"))
+    assert {r["path"]: r["body_loc"] for r in s.where("scope_id = 0").collect()} == want
 
 
 @settings(max_examples=300, deadline=None)
