@@ -107,13 +107,9 @@ class Engine:
 
     def tree_summary(self, depth: int = 3, top: int = 6, **how) -> DataFrame:
         """Folders and files down to a depth, the top children of each by score then size, ancestors always kept."""
-        s = self.ranked(**how).select("node_id", "score")
-        n = self.nodes().join(s, "node_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        n = n.withColumn("depth", F.size(F.split(F.regexp_replace("node_id", "::", "/"), "/"))).where(F.col("depth") <= depth)
-        kept = tree.top_children(n, top, F.desc("score"), F.desc("loc"), F.asc("node_id"))
-        for _ in range(depth - 1):  # a node stays only where its parent does
-            parents = kept.select(F.col("node_id").alias("_p")).distinct()
-            kept = kept.join(parents, (F.col("parent") == F.col("_p")) | F.col("parent").isNull(), "left_semi")
+        n = tree.with_scores(self.nodes(), self.ranked(**how))
+        n = n.withColumn("depth", F.size(F.split(F.regexp_replace("node_id", "::", "/"), "/")))
+        kept = tree.summary(n, depth, top, F.desc("score"), F.desc("loc"), F.asc("node_id"))
         return kept.select("node_id", "path", "parent", "name", "node_type", "depth", "loc", "complexity", "function_count", "file_count", "score", rank.top_metrics([m for m in FIELDS if m not in ("last_modified", "gitignored_count")]).alias("top_metrics"))
 
     def dependencies(self) -> tuple[DataFrame, DataFrame]:

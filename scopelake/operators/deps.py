@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scopelake.functions.storage import written
-from scopelake.functions.text import collapsed_path
+from scopelake.functions.text import collapsed_path, without_comments
 from scopelake.operators.tree import prefixes
 
 # Suffixes of assets, which never resolve to code, and of code.
@@ -65,6 +65,20 @@ def expand_aliases(specifiers: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.select("specifier", (F.col("ord") * 1000 + F.col("n")).alias("preference"), to.alias("target"))
 
 
+def alias_rows(configs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, base, ord, pattern, targets of the aliases in configuration texts (JSON with comments and trailing commas).
+
+    A target may be one string or a list; what cannot be read gives no rows.
+    """
+    plain = F.regexp_replace(without_comments(F.col(text)), r",(\s*[}\]])", "$1")
+    read = F.from_json(plain, "compilerOptions struct<baseUrl:string,paths:map<string,string>>")["compilerOptions"]
+    rows = configs.select(key, read.alias("o")).where("o.paths IS NOT NULL")
+    rows = rows.select(key, F.coalesce("o.baseUrl", F.lit(".")).alias("base"), F.posexplode(F.map_entries("o.paths")).alias("ord", "e"))
+    to = F.col("e.value")
+    targets = F.when(F.startswith(to, F.lit("[")), F.from_json(to, "array<string>")).otherwise(F.array(to))
+    return rows.select(key, "base", "ord", F.col("e.key").alias("pattern"), targets.alias("targets"))
+
+
 def best_alias(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("specifier").agg(F.min_by("target", "preference").alias("target"))
 

@@ -135,6 +135,28 @@ def top_children(nodes: DataFrame, k: int, *order: Column) -> DataFrame:
     return nodes.withColumn("child_rank", F.row_number().over(w)).where(F.col("child_rank") <= k)
 
 
+def summary(nodes: DataFrame, depth: int, k: int, *order: Column) -> DataFrame:
+    """nodes (node_id, parent, depth) down to a depth: the first k children of every parent that stays itself."""
+    kept = top_children(nodes.where(F.col("depth") <= depth), k, *order)
+    for _ in range(depth - 1):  # a node stays only where its parent does
+        parents = kept.select(F.col("node_id").alias("_p")).distinct()
+        kept = kept.join(parents, F.col("parent") == F.col("_p"), "left_semi").unionByName(kept.where("parent IS NULL"))
+    return kept
+
+
+def with_scores(nodes: DataFrame, scores: DataFrame) -> DataFrame:
+    """nodes with the score (node_id, score) of each; 0 for those that have none."""
+    return nodes.join(scores.select("node_id", "score"), "node_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def nearest_holder(paths: DataFrame, holders: DataFrame) -> DataFrame:
+    """path, folder: the nearest folder above each path that is among the holders (folder; '' is the top); null where none is."""
+    above = F.array_distinct(F.concat(F.array(F.lit("")), prefixes(F.col("path"), proper=True)))
+    up = paths.select("path", F.posexplode(above).alias("_d", "folder")).join(holders.select("folder").distinct(), "folder")
+    near = up.groupBy("path").agg(F.max_by("folder", "_d").alias("folder"))
+    return paths.select("path").join(near, "path", "left")
+
+
 def breadcrumbs(closed: DataFrame, names: DataFrame, sep: str = " > ") -> DataFrame:
     """node, trail: names of the ancestors, outermost first, then the node's own."""
     steps = closed.select("node", "ancestor", "distance").unionByName(names.select(F.col("node_id").alias("node"), F.col("node_id").alias("ancestor"), F.lit(0).alias("distance")))

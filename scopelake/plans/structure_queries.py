@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopelake.functions.storage import new_folder, written
-from scopelake.operators import deps, flow, incremental, lines, markdown, notebooks, tree
-from scopelake.plans.queries import FILES_SQL, GEO_SQL, files, geo_nodes, made_files, joined, numbered, part_edges, query, table
+from scopelake.operators import deps, flow, incremental, lines, markdown, notebooks, rank, tree
+from scopelake.plans.queries import FILES_SQL, GEO_SQL, SCORE_SQL, WEIGHTS, files, geo_nodes, joined, made_files, numbered, part_edges, query, scored, table
 
 # incremental maintenance: two versions of documents
 
@@ -294,3 +294,53 @@ def control_flow_edges(spark, sf):
     e = edges.where("type = 'control-flow'").select("path", F.col("source").alias("s"), F.col("target").alias("t"))
     e = e.join(kinds.select(F.col("id").alias("s"), F.col("type").alias("source")), "s").join(kinds.select(F.col("id").alias("t"), F.col("type").alias("target")), "t")
     return e.groupBy("path", "source", "target").agg(F.count("*").alias("n"))
+
+
+# subtrees, summaries and configurations
+
+INSIDE_SQL = SCORE_SQL.replace(FILES_SQL, f"SELECT * FROM ({FILES_SQL}) WHERE starts_with(path, 'src1/')")
+
+
+@query(f"WITH {INSIDE_SQL} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 25")
+def subtree_hotspots(spark, sf):
+    """One folder explained: scored against its own maxima."""
+    f = written(files(spark, sf).where(F.col("path").startswith("src1/")), "file-metrics")
+    s = rank.with_score(f, WEIGHTS).withColumn("score", F.round("raw_score", 4))
+    return rank.top_ranked(s, 25, "doc_id").select("doc_id", "score", "rank")
+
+
+@query(f"""WITH {SCORE_SQL}, n AS (SELECT path AS node_id, regexp_extract(path, '^(.*)/', 1) AS parent, 3 AS depth, loc, score FROM f LEFT JOIN s USING (path, loc)
+UNION ALL SELECT regexp_extract(path, '^[^/]*/[^/]*'), regexp_extract(path, '^[^/]*'), 2, CAST(sum(loc) AS BIGINT), 0 FROM f GROUP BY ALL UNION ALL SELECT regexp_extract(path, '^[^/]*'), NULL, 1, CAST(sum(loc) AS BIGINT), 0 FROM f GROUP BY ALL),
+k AS (SELECT node_id, parent, depth, loc, coalesce(score, 0) AS score FROM n QUALIFY row_number() OVER (PARTITION BY parent ORDER BY coalesce(score, 0) DESC, loc DESC, node_id) <= 3),
+a AS (SELECT * FROM k WHERE depth = 1), b AS (SELECT * FROM k WHERE depth = 2 AND parent IN (SELECT node_id FROM a)), c AS (SELECT * FROM k WHERE depth = 3 AND parent IN (SELECT node_id FROM b))
+SELECT node_id, CAST(depth AS INT) AS depth, loc, CAST(score AS DOUBLE) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""")
+def tree_summary_rows(spark, sf):
+    """Three levels, the first three children of each node that stays, by score, then size; folders have no score."""
+    s = written(scored(spark, sf, stored=True).select(F.col("path").alias("node_id"), "score"), "scores")
+    f = files(spark, sf).select("path", "loc")
+    nodes = f.unionByName(tree.rollup(f, ["loc"], [])).select(F.col("path").alias("node_id"), tree.parent_path(F.col("path")).alias("parent"), F.size(F.split("path", "/")).alias("depth"), "loc")
+    kept = tree.summary(tree.with_scores(nodes, s), 3, 3, F.desc("score"), F.desc("loc"), F.asc("node_id"))
+    return kept.select("node_id", "depth", "loc", "score")
+
+
+@query("""SELECT concat(source, '/', lang, '/', doc_id) AS path, CASE WHEN lang = 'en' THEN source || '/en' WHEN CAST(substr(source, 4) AS INT) % 2 = 0 THEN source ELSE '' END AS folder FROM documents""")
+def nearest_configuration(spark, sf):
+    """Of configurations at the top, in every second source and in every English folder the nearest above each file."""
+    d = table(spark, sf, "documents")
+    own = d.where("lang = 'en'").select(F.concat_ws("/", "source", "lang").alias("folder"))
+    even = d.where(F.substring("source", 4, 9).cast("int") % 2 == 0).select(F.col("source").alias("folder"))
+    top = d.select(F.lit("").alias("folder")).limit(1)
+    return tree.nearest_holder(d.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")), own.unionByName(even).unionByName(top))
+
+
+@query("""SELECT n_regionkey AS region, '.' AS base, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS ord, '@' || n_name || '/*' AS pattern,
+CASE WHEN n_nationkey % 3 = 0 THEN 'n' || n_nationkey || '/*' ELSE 'n' || n_nationkey || '/*,//other/*' END AS targets FROM nation""")
+def configuration_aliases(spark, sf):
+    """Regions as configuration texts with comments and trailing commas, an alias for each nation, to one folder or two."""
+    n = table(spark, sf, "nation")
+    key = F.col("n_nationkey").cast("string")
+    to = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit('"n'), key, F.lit('/*"'))).otherwise(F.concat(F.lit('["n'), key, F.lit('/*", "//other/*", ]')))
+    one = F.concat(F.lit('"@'), "n_name", F.lit('/*": '), to)
+    texts = n.groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", one.alias("t")))), lambda x: x["t"]), ", // next\n").alias("t"))
+    made = texts.select("region", F.concat(F.lit('{ /* aliases */ "compilerOptions": {"baseUrl": ".", "paths": {'), "t", F.lit(",}, }, }")).alias("text"))
+    return deps.alias_rows(made, "region").withColumn("targets", F.array_join("targets", ","))
