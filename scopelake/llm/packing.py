@@ -10,7 +10,7 @@ pieces of one length, which bins and which offsets they get.
 
 Pieces get their rank within their length from counts per (length, bucket), with the
 bucket a hash of (doc_id, piece): a length that a third of all pieces share is ranked in
-``buckets`` separate groups.  No step collects pieces.
+``buckets`` separate groups, as many as the number of pieces asks for.  No step collects pieces.
 
 Defined results: a null or empty text is one piece, the end id alone.  Texts of any
 length are cut into pieces whole.  Pieces of one length are in the order of a hash, ties
@@ -31,8 +31,8 @@ from scopelake.llm.common import arrow_rows, trimmed, written
 from scopelake.llm.tokens import END_BYTES, bounded_slices, default_tokenizer_path, encoder
 
 CAPACITY = 2048
-#: Groups into which the pieces of one length are dealt for ranking.
-BUCKETS = 256
+#: Groups into which the pieces of one length are dealt for ranking: so many at least, and one for so many pieces.
+BUCKETS, BUCKET_ROWS = 256, 100_000
 
 
 class RoomTree:
@@ -130,9 +130,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), kinds)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
     """cut (a written table with doc_id, piece, length, ...) with sequence_id and offset added."""
     spark = cut.sparkSession
+    buckets = buckets or max(BUCKETS, -(-cut.count() // BUCKET_ROWS))  # counted in the files' footers
     dealt = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = written(dealt.groupBy("length", "_b").count(), "length-counts")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
