@@ -241,6 +241,23 @@ def assign_codes(labelled: list[tuple[str, list[str]]]) -> dict[str, str]:
     return out
 
 
+def assigned_codes(labelled: DataFrame) -> DataFrame:
+    """label, code for rows (label, ord, wanted: code candidates): what assign_codes gives in the order of ord, which is unique.
+
+    Every label asks for its first candidate; a code keeps the first label that asks, and the
+    others go on to their next one, after the candidates to their first letter with a number.
+    Once no label is turned away each has the first code that no earlier label took.
+    """
+    own = F.coalesce(F.get("wanted", F.col("at")), F.concat(F.upper(F.coalesce(F.nullif(F.substring("label", 1, 1), F.lit("")), F.lit("?"))), (F.col("at") - F.size("wanted") + 1).cast("string")))
+    first = F.min("ord").over(Window.partitionBy("code")) == F.col("ord")
+    state = labelled.select("label", "ord", "wanted", F.lit(0).alias("at"))
+    while True:
+        state = written(state.withColumn("code", own).withColumn("kept", first), "codes")
+        if not state.where("NOT kept").limit(1).count():
+            return state.select("label", "code")
+        state = state.select("label", "ord", "wanted", F.when(F.col("kept"), F.col("at")).otherwise(F.col("at") + 1).alias("at"))
+
+
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

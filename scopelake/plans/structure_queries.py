@@ -344,3 +344,20 @@ def configuration_aliases(spark, sf):
     texts = n.groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", one.alias("t")))), lambda x: x["t"]), ", // next\n").alias("t"))
     made = texts.select("region", F.concat(F.lit('{ /* aliases */ "compilerOptions": {"baseUrl": ".", "paths": {'), "t", F.lit(",}, }, }")).alias("text"))
     return deps.alias_rows(made, "region").withColumn("targets", F.array_join("targets", ","))
+
+
+CODES_SQL = """WITH RECURSIVE l AS (SELECT n_name AS label FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer UNION SELECT p_type FROM part),
+w AS (SELECT label, row_number() OVER (ORDER BY label) AS ord, upper(array_to_string(regexp_extract_all(label, '([A-Z]?[a-z0-9]+|[A-Z]+)'), '')) AS flat, regexp_extract_all(label, '([A-Z]?[a-z0-9]+|[A-Z]+)') AS words FROM l),
+c AS (SELECT label, ord, list_filter(list_concat([upper(coalesce(words[1][1], '') || coalesce(words[2][1], ''))], list_transform(range(2, greatest(length(flat), 2) + 1), lambda i: flat[1] || flat[i])), lambda x: length(x) = 2) AS wanted FROM w),
+r AS (SELECT 0 AS ord, NULL::VARCHAR AS label, NULL::VARCHAR AS code, []::VARCHAR[] AS taken UNION ALL
+  SELECT o, label, code, list_append(taken, code) FROM (SELECT c.ord AS o, c.label, r.taken, list_filter(list_concat(c.wanted, list_transform(range(1, 100), lambda i: upper(c.label[1]) || i)), lambda x: NOT list_contains(r.taken, x))[1] AS code FROM r JOIN c ON c.ord = r.ord + 1))
+SELECT label, code FROM r WHERE label IS NOT NULL"""
+
+
+@query(CODES_SQL)
+def unique_codes(spark, sf):
+    """Names of nations, regions, segments and types, each with a two-letter code of its own."""
+    names = [table(spark, sf, t).select(F.col(c).alias("label")) for t, c in (("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("part", "p_type"))]
+    every = names[0].union(names[1]).union(names[2]).union(names[3]).distinct()
+    ranked = rank.all_ranked(every.withColumn("one", F.lit(1)), "label", by="one")
+    return deps.assigned_codes(ranked.select("label", F.col("rank").alias("ord"), deps.codes(F.col("label")).alias("wanted")))

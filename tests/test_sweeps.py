@@ -72,3 +72,10 @@ def test_an_else_behind_other_siblings(spark):
     r = spark.createDataFrame([("p", i, k) for i, k in enumerate(kinds)], "parent string, o long, kind string")
     got = flow.sibling_edges(r, "parent", "o", "kind", {"try": ["catch"]}, {"if_branch": "else_branch"})
     assert sorted((x["source"], x["target"]) for x in got.collect()) == [(0, 4), (2, 4)]
+
+
+def test_codes_by_proposals_equal_one_after_another(spark):
+    rng = random.Random(8)
+    labels = [("".join(rng.choice("AB") for _ in range(rng.randrange(0, 3))) + f"x{i}", i, rng.sample(["AA", "AB", "BA", "BB", "B1"], rng.randrange(0, 4))) for i in range(12)] + [("", 99, [])]
+    got = {r["label"]: r["code"] for r in deps.assigned_codes(spark.createDataFrame(labels, "label string, ord long, wanted array<string>")).collect()}
+    assert got == deps.assign_codes([(label, wanted) for label, _, wanted in labels])
