@@ -8,8 +8,8 @@ selectivity (share rejected).  Rules are then nested in one CASE expression, hig
 rejection per cost first, and a row stops at the first rule that rejects it.  Rules only
 read the row, so their order changes the time and never the verdict.
 
-Repeated windows of three words are found by one sort of 64-bit numbers that hold a hash
-of the words and the window's place; words are compared wherever hashes are equal, and a
+Repeated windows of three words are found by their 64-bit hashes: where all differ there
+are none; else by one sort of numbers that hold a hash and the window's place; words are compared wherever hashes are equal, and a
 text where equal hashes meet unequal words is done again by the words themselves.
 
 Defined results: a null or blank text has no words, all features 0 and fails the base
@@ -49,9 +49,10 @@ def features(docs: DataFrame, window_hash: Callable[..., Column] = F.xxhash64) -
     windows = F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0)))
     # a place takes as many low bits as the text needs; hashes fill the others
     bits = F.greatest(F.lit(1), F.ceil(F.log2(F.size("_w") + 1))).cast("int")
-    a = a.withColumns({"_l": lines, "_b": bits})
-    marked = lambda x, i: F.call_function("shiftleft", window_hash(x, F.get("_w", i + 1), F.get("_w", i + 2)), F.col("_b")).bitwiseOR(i.cast("long"))
-    a = a.withColumn("_s", F.sort_array(F.transform(windows, marked)))
+    a = a.withColumns({"_l": lines, "_b": bits, "_h": F.transform(windows, lambda x, i: window_hash(x, F.get("_w", i + 1), F.get("_w", i + 2)))})
+    # texts whose hashes all differ have no window twice, and nothing below is evaluated for them
+    marked = lambda h, i: F.call_function("shiftleft", h, F.col("_b")).bitwiseOR(i.cast("long"))
+    a = a.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", marked))))
     hashed = lambda x: F.call_function("shiftright", x, F.col("_b"))
     again = F.filter("_s", lambda x, k: F.coalesce(hashed(F.get("_s", k - 1)) == hashed(x), F.lit(False)) | F.coalesce(hashed(F.get("_s", k + 1)) == hashed(x), F.lit(False)))
     place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b")) - 1).cast("int")
@@ -60,7 +61,7 @@ def features(docs: DataFrame, window_hash: Callable[..., Column] = F.xxhash64) -
     # neighbours of one hash hold the same words, or the hash is not to be trusted in this text
     word = lambda k, o: F.get("_w", F.get("_p", k) + o)
     unequal = lambda x, k: (hashed(F.get("_e", k - 1)) == hashed(x)) & ~((word(k, 0) == word(k - 1, 0)) & (word(k, 1) == word(k - 1, 1)) & (word(k, 2) == word(k - 1, 2)))
-    chance = F.size(F.filter("_e", lambda x, k: F.coalesce(unequal(x, k), F.lit(False)))) > 0
+    chance = F.exists(F.filter("_e", lambda x, k: F.coalesce(unequal(x, k), F.lit(False))), lambda x: F.lit(True))
     by_words = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("a"), F.get("_w", i + 1).alias("b"), F.get("_w", i + 2).alias("c"), i.alias("i"))))
     a = a.withColumn("_x", F.when(chance, by_words))
     same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
@@ -79,7 +80,7 @@ def features(docs: DataFrame, window_hash: Callable[..., Column] = F.xxhash64) -
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
