@@ -244,18 +244,22 @@ def assign_codes(labelled: list[tuple[str, list[str]]]) -> dict[str, str]:
 def assigned_codes(labelled: DataFrame) -> DataFrame:
     """label, code for rows (label, ord, wanted: code candidates): what assign_codes gives in the order of ord, which is unique.
 
-    Every label asks for its first candidate; a code keeps the first label that asks, and the
-    others go on to their next one, after the candidates to their first letter with a number.
-    Once no label is turned away each has the first code that no earlier label took.
+    Every label asks for its first candidate, after them its first letter with a number; a
+    code keeps the first label that asks.  What an earlier label holds stays with it or goes
+    to an even earlier one, so those turned away ask for their next candidate that none
+    holds.  Once no label is turned away each has the first code that no earlier one took.
     """
-    own = F.coalesce(F.get("wanted", F.col("at")), F.concat(F.upper(F.coalesce(F.nullif(F.substring("label", 1, 1), F.lit("")), F.lit("?"))), (F.col("at") - F.size("wanted") + 1).cast("string")))
-    first = F.min("ord").over(Window.partitionBy("code")) == F.col("ord")
-    state = labelled.select("label", "ord", "wanted", F.lit(0).alias("at"))
+    n = labelled.count()
+    letter = F.upper(F.coalesce(F.nullif(F.substring("label", 1, 1), F.lit("")), F.lit("?")))
+    numbered = F.transform(F.sequence(F.lit(1), F.lit(max(n, 1))), lambda i: F.concat(letter, i.cast("string")))
+    asks = written(labelled.select("label", "ord", F.posexplode(F.concat("wanted", numbered)).alias("i", "code")), "candidates")
+    state = asks.groupBy("label", "ord").agg(F.min_by("code", "i").alias("code"))
     while True:
-        state = written(state.withColumn("code", own).withColumn("kept", first), "codes")
-        if not state.where("NOT kept").limit(1).count():
-            return state.select("label", "code")
-        state = state.select("label", "ord", "wanted", F.when(F.col("kept"), F.col("at")).otherwise(F.col("at") + 1).alias("at"))
+        held = written(state.groupBy("code").agg(F.min("ord").alias("_by"), F.count("*").alias("_n"), F.min_by("label", "ord").alias("label")), "codes")
+        if not held.where("_n > 1").limit(1).count():
+            return held.select("label", "code")
+        open_ = asks.join(held.select("code", "_by"), "code", "left").where("_by IS NULL OR _by >= ord")
+        state = open_.groupBy("label", "ord").agg(F.min_by("code", "i").alias("code"))
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
