@@ -542,8 +542,8 @@ def analytic_windows(spark, sf):
 @query("SELECT 'p' || l_partkey AS target, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS exact, true AS within FROM lineitem GROUP BY 1")
 def approximate_fan_in(spark, sf):
     """The approximate count is within five of its stated standard deviations of the exact one (there are thousands of targets)."""
-    e = part_edges(spark, sf).groupBy("target").agg(F.approx_count_distinct("source", 0.01).alias("about"), F.count_distinct("source").alias("exact"))
-    return e.select("target", "exact", (F.abs(F.col("about") - F.col("exact")) <= F.ceil(F.col("exact") * 0.05)).alias("within"))
+    e = part_edges(spark, sf).groupBy("target").agg(F.approx_count_distinct("source", 0.02).alias("about"), F.count_distinct("source").alias("exact"))
+    return e.select("target", "exact", (F.abs(F.col("about") - F.col("exact")) <= F.ceil(F.col("exact") * 0.1)).alias("within"))
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")

@@ -1,8 +1,9 @@
 """Ignore files as a table of patterns, and paths matched against it by joins.
 
 Most patterns name a path, a name below a folder, or a suffix below a folder: these meet
-paths by equal keys (the path's folders, its names, its suffixes).  Only true globs are
-tried as regular expressions, against the paths below their folder.  The last pattern
+paths by equal keys (the path's folders, its names, its suffixes).  Globs are tried as
+regular expressions only on paths that share what they spell out: the beginning of a name
+below a folder, or the folders that the pattern begins with.  The last pattern
 that matches decides, an aggregate.  The plan is the same for one pattern or a million.
 """
 
@@ -21,13 +22,21 @@ from scopelake.sources.trees import pattern_regex, translated
 PATTERNS = "folder string, n long, negated boolean, kind string, at string, key string, only_dirs boolean, regex string"
 #: Globs up to whose number they are broadcast: some megabytes, as lines of ignore files.
 FEW_GLOBS = 10_000
+#: Characters of a name's beginning that globs are looked up by.
+HEAD = 12
 _WILD = set("*?[\\")
 
 
+def spelled(pattern: str) -> str:
+    """What stands before a pattern's first sign."""
+    return pattern[: min((pattern.index(c) for c in _WILD if c in pattern), default=len(pattern))]
+
+
 def parts_of(line: str, folder: str) -> tuple | None:
     """(negated, kind, at, key, only_dirs, regex) of a line of the ignore file in a folder; None for blanks and comments.
 
-    kind: ``path`` (key is the path), ``name`` and ``suffix`` (key below the folder ``at``), ``glob`` (regex below ``at``).
+    kind: ``path`` (key is the path), ``name`` and ``suffix`` (key below the folder ``at``), ``head`` (regex on names
+    below ``at`` that begin with key), ``glob`` (regex on paths below ``at``).
     """
     p = translated(line, folder)
     if not p:
@@ -45,6 +54,10 @@ def parts_of(line: str, folder: str) -> tuple | None:
         kind, key = "suffix", rest[1:]
     elif rest == b and not _WILD & set(b):
         kind, key = "path", b
+    elif rest != b and "/" not in rest and plain_folder and rest[0] not in _WILD:
+        kind, key = "head", spelled(rest)[:HEAD]
+    elif rest == b and not b.startswith("**"):
+        at = spelled(b).rpartition("/")[0]
     elif not plain_folder:
         at = ""  # the folder's own signs are read as a pattern too
     return p.startswith("!"), kind, at, key, only_dirs, regex
@@ -94,11 +107,15 @@ def deciding(paths: DataFrame, table: DataFrame) -> DataFrame:
     by_name = names.join(at("name"), "at", "left_semi").join(table.where("kind = 'name'").withColumnRenamed("key", "name"), ["at", "name"]).where(fits()).select("path", held)
     ends = names.where(F.col("name").contains(".")).join(at("suffix"), "at", "left_semi").withColumn("key", F.explode(suffixes(F.col("name"))))
     by_suffix = ends.join(table.where("kind = 'suffix'"), ["at", "key"]).where(fits()).select("path", held)
+    heads = table.where("kind = 'head'").select("at", "key", "folder", "n", "negated", "regex")
+    lengths = sorted(r[0] for r in heads.select(F.length("key")).distinct().collect())  # HEAD at most
+    begins = F.transform(F.array(*map(F.lit, lengths or [1])), lambda k: F.when(F.length("name") >= k, F.substr(F.col("name"), F.lit(1), k)))
+    by_head = names.join(at("head"), "at", "left_semi").withColumn("key", F.explode(F.array_compact(begins))).join(heads, ["at", "key"]).where(F.expr("path RLIKE regex")).select("path", held)
     globs = table.where("kind = 'glob'").select("at", "folder", "n", "negated", "regex")
     globs = F.broadcast(globs) if globs.limit(FEW_GLOBS + 1).count() <= FEW_GLOBS else globs
     below = own.select("path", F.explode(above(F.col("path"))).alias("at"))
     by_glob = below.join(globs, "at").where(F.expr("path RLIKE regex")).select("path", held)
-    every = by_path.unionByName(by_name).unionByName(by_suffix).unionByName(by_glob)
+    every = by_path.unionByName(by_name).unionByName(by_suffix).unionByName(by_head).unionByName(by_glob)
     return every.select("path", "by.*").groupBy("path").agg(last.alias("by")).select("path", "by.*")
 
 

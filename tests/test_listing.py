@@ -64,7 +64,7 @@ def test_scan(spark, root):
 
 FILES = [
     ("", "*.log\n# no\n\n/build\nsrc/gen\nkeep?.t*\n!important.log\ntmp/\nname with space \n\\!odd\n"),
-    ("src", "!*.log\ngen/\n/only\ndeep/**/x.ts\n*.min.js\n[ab].ts\n**/z\n"),
+    ("src", "!*.log\ngen/\n/only\ndeep/**/x.ts\nsub/k*.ts\nimp*t.log\n*.min.js\n[ab].ts\n**/z\n"),
     ("src/sub", "a.ts\n!b.ts\n*~\n"),
     ("we[i]rd", "a.ts\n*.log\n"),
 ]
@@ -81,7 +81,7 @@ def test_patterns_as_a_table_equal_one_by_one(spark):
     got = ignore.ignored(p, ignore.ignore_lines(files))
     assert sorted(r["path"] for r in got.collect()) == sorted(r["path"] for r in want.collect())
     kinds = {r["kind"] for r in ignore.patterns(ignore.ignore_lines(files)).collect()}
-    assert kinds == {"path", "name", "suffix", "glob"}
+    assert kinds == {"path", "name", "suffix", "head", "glob"}
 
 
 def test_the_plan_does_not_grow_with_the_patterns(spark):
