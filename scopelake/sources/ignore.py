@@ -96,26 +96,25 @@ def deciding(paths: DataFrame, table: DataFrame) -> DataFrame:
     """path, folder, n, negated: of each path that any pattern matches the last one that does."""
     last = F.max_by(F.struct("folder", "n", "negated"), F.struct("folder", "n"))
     held = F.struct("folder", "n", "negated").alias("by")
-    own = paths.select("path").distinct()
+    own = paths.select("path")
     up = own.select("path", F.explode(prefixes(F.col("path"))).alias("prefix"))
-    fits = lambda: ~F.col("only_dirs") | (F.col("prefix") != F.col("path"))
-    by_path = up.join(table.where("kind = 'path'"), F.col("prefix") == F.col("key")).where(fits()).select("path", held)
-    # names below each folder that has patterns, the root ('') included
+    fits = ~F.col("only_dirs") | (F.col("prefix") != F.col("path"))
+    by_path = up.join(table.where("kind = 'path'"), F.col("prefix") == F.col("key")).where(fits).select("path", held)
+    # names below each folder that has patterns for them, the root ('') included, with all keys they can be met by
     above = lambda p: F.array_distinct(F.concat(F.array(F.lit("")), prefixes(p, proper=True)))
-    at = lambda kind: table.where(F.col("kind") == kind).select("at").distinct()
+    keyed = table.where("kind IN ('name', 'suffix', 'head')")
+    lengths = sorted(r[0] for r in table.where("kind = 'head'").select(F.length("key")).distinct().collect())  # HEAD at most
     names = up.withColumn("name", F.substring_index("prefix", "/", -1)).withColumn("at", F.explode(above(F.col("prefix"))))
-    by_name = names.join(at("name"), "at", "left_semi").join(table.where("kind = 'name'").withColumnRenamed("key", "name"), ["at", "name"]).where(fits()).select("path", held)
-    ends = names.where(F.col("name").contains(".")).join(at("suffix"), "at", "left_semi").withColumn("key", F.explode(suffixes(F.col("name"))))
-    by_suffix = ends.join(table.where("kind = 'suffix'"), ["at", "key"]).where(fits()).select("path", held)
-    heads = table.where("kind = 'head'").select("at", "key", "folder", "n", "negated", "regex")
-    lengths = sorted(r[0] for r in heads.select(F.length("key")).distinct().collect())  # HEAD at most
-    begins = F.transform(F.array(*map(F.lit, lengths or [1])), lambda k: F.when(F.length("name") >= k, F.substr(F.col("name"), F.lit(1), k)))
-    by_head = names.join(at("head"), "at", "left_semi").withColumn("key", F.explode(F.array_compact(begins))).join(heads, ["at", "key"]).where(F.expr("path RLIKE regex")).select("path", held)
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    ends = F.when(F.col("name").contains("."), F.transform(suffixes(F.col("name")), lambda k: key("suffix", k)))
+    begins = [F.when(F.length("name") >= n, key("head", F.substring("name", 1, n))) for n in lengths]
+    keys = F.array_compact(F.concat(F.array(key("name", F.col("name")), *begins), F.coalesce(ends, F.array(key("name", F.lit(None).cast("string"))))))
+    met = names.join(keyed.select("at").distinct(), "at", "left_semi").select("path", "prefix", "at", F.explode(keys).alias("k")).select("path", "prefix", "at", "k.*")
+    met = met.join(keyed, ["at", "kind", "key"]).where(F.when(F.col("kind") == "head", F.expr("path RLIKE regex")).otherwise(fits)).select("path", held)
     globs = table.where("kind = 'glob'").select("at", "folder", "n", "negated", "regex")
     globs = F.broadcast(globs) if globs.limit(FEW_GLOBS + 1).count() <= FEW_GLOBS else globs
-    below = own.select("path", F.explode(above(F.col("path"))).alias("at"))
-    by_glob = below.join(globs, "at").where(F.expr("path RLIKE regex")).select("path", held)
-    every = by_path.unionByName(by_name).unionByName(by_suffix).unionByName(by_head).unionByName(by_glob)
+    by_glob = own.select("path", F.explode(above(F.col("path"))).alias("at")).join(globs, "at").where(F.expr("path RLIKE regex")).select("path", held)
+    every = by_path.unionByName(met).unionByName(by_glob)
     return every.select("path", "by.*").groupBy("path").agg(last.alias("by")).select("path", "by.*")
 
 
