@@ -24,6 +24,8 @@ PATTERNS = "folder string, n long, negated boolean, kind string, at string, key
 FEW_GLOBS = 10_000
 #: Characters of a name's beginning that globs are looked up by.
 HEAD = 12
+#: Bits of the filter of patterns' keys (8 MB when broadcast, however many patterns there are), and of a row of it.
+FILTER_BITS, BLOCK_BITS = 1 << 26, 1 << 15
 _WILD = set("*?[\\")
 
 
@@ -92,30 +94,67 @@ def suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i, 1000), ".")))
 
 
+def distinct_patterns(table: DataFrame) -> DataFrame:
+    """Of patterns that match the same paths the last one: no other can decide.
+
+    Lines repeat in the ignore files of a tree, so without this every path met all copies of a line.
+    Paths are met below the root (``at`` is '') wherever their ignore file lies.
+    """
+    at = F.when(F.col("kind") == "path", "").otherwise(F.col("at")).alias("at")
+    regex = F.when(F.col("kind").isin("head", "glob"), F.col("regex")).alias("regex")
+    last = F.max(F.struct("folder", "n", "negated"))
+    return table.groupBy("kind", at, "key", "only_dirs", regex).agg(last.alias("by"))
+
+
+def key_bits(keyed: DataFrame) -> DataFrame:
+    """block, words: a bit for the hash of every (kind, at, key) of patterns and every ('at', at); FILTER_BITS / 8 bytes at most."""
+    h = _hashed("kind", "at", "key")
+    own = keyed.select(h.alias("h")).unionByName(keyed.select(_hashed(F.lit("at"), F.col("at"), F.lit("")).alias("h")))
+    words = own.groupBy(F.expr(f"h div {BLOCK_BITS}").alias("block"), F.expr(f"h % {BLOCK_BITS} div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 64 AS INT))")).alias("bits"))
+    blocks = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BLOCK_BITS // 64 - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return blocks.select("block", every.alias("words"))
+
+
+def _hashed(*key) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+
+
+def maybe_held(rows: DataFrame, bits: DataFrame, *key: Column) -> DataFrame:
+    """rows less those whose (kind, at, key) no pattern has; a few others stay until they are joined."""
+    rows = rows.withColumn("_h", _hashed(*key))
+    block, bit = F.expr(f"_h div {BLOCK_BITS}"), F.expr(f"get(words, CAST(_h % {BLOCK_BITS} div 64 AS INT)) & shiftleft(1L, CAST(_h % 64 AS INT))")
+    return rows.join(F.broadcast(bits), (block == F.col("block")) & (bit != 0)).drop("_h", "block", "words")
+
+
 def deciding(paths: DataFrame, table: DataFrame) -> DataFrame:
-    """path, folder, n, negated: of each path that any pattern matches the last one that does."""
-    last = F.max_by(F.struct("folder", "n", "negated"), F.struct("folder", "n"))
-    held = F.struct("folder", "n", "negated").alias("by")
+    """path, folder, n, negated: of each path that any pattern matches the last one that does.
+
+    A path has many keys by which a pattern could meet it and few by which one does, so keys pass
+    a broadcast bit filter of fixed size in the tasks, and only what it leaves is joined.
+    """
+    every = distinct_patterns(table)
     own = paths.select("path")
     up = own.select("path", F.explode(prefixes(F.col("path"))).alias("prefix"))
     fits = ~F.col("only_dirs") | (F.col("prefix") != F.col("path"))
-    by_path = up.join(table.where("kind = 'path'"), F.col("prefix") == F.col("key")).where(fits).select("path", held)
-    # names below each folder that has patterns for them, the root ('') included, with all keys they can be met by
+    # prefixes and names below each folder that has patterns for them, the root ('') included, with all keys they can be met by
     above = lambda p: F.array_distinct(F.concat(F.array(F.lit("")), prefixes(p, proper=True)))
-    keyed = table.where("kind IN ('name', 'suffix', 'head')")
+    keyed = every.where("kind <> 'glob'")
+    bits = key_bits(keyed)
     lengths = sorted(r[0] for r in table.where("kind = 'head'").select(F.length("key")).distinct().collect())  # HEAD at most
-    names = up.withColumn("name", F.substring_index("prefix", "/", -1)).withColumn("at", F.explode(above(F.col("prefix"))))
+    at, name = F.col("at"), F.col("name")
+    names = maybe_held(up.withColumn("at", F.explode(above(F.col("prefix")))), bits, F.lit("at"), at, F.lit("")).withColumn("name", F.substring_index("prefix", "/", -1))
     key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-    ends = F.when(F.col("name").contains("."), F.transform(suffixes(F.col("name")), lambda k: key("suffix", k)))
+    none = F.array(key("name", F.lit(None).cast("string")))
+    ends = F.when(name.contains("."), F.transform(suffixes(name), lambda k: key("suffix", k)))
     begins = [F.when(F.length("name") >= n, key("head", F.substring("name", 1, n))) for n in lengths]
-    keys = F.array_compact(F.concat(F.array(key("name", F.col("name")), *begins), F.coalesce(ends, F.array(key("name", F.lit(None).cast("string"))))))
-    met = names.join(keyed.select("at").distinct(), "at", "left_semi").select("path", "prefix", "at", F.explode(keys).alias("k")).select("path", "prefix", "at", "k.*")
-    met = met.join(keyed, ["at", "kind", "key"]).where(F.when(F.col("kind") == "head", F.expr("path RLIKE regex")).otherwise(fits)).select("path", held)
-    globs = table.where("kind = 'glob'").select("at", "folder", "n", "negated", "regex")
+    keys = F.array_compact(F.concat(F.array(key("name", name), F.when(at == "", key("path", F.col("prefix"))), *begins), F.coalesce(ends, none)))
+    met = maybe_held(names.select("path", "prefix", "at", F.explode(keys).alias("k")).select("path", "prefix", "at", "k.*"), bits, F.col("kind"), at, F.col("key"))
+    met = met.join(keyed, ["at", "kind", "key"]).where(F.when(F.col("kind") == "head", F.expr("path RLIKE regex")).otherwise(fits)).select("path", "by")
+    globs = every.where("kind = 'glob'").select("at", "by", "regex")
     globs = F.broadcast(globs) if globs.limit(FEW_GLOBS + 1).count() <= FEW_GLOBS else globs
-    by_glob = own.select("path", F.explode(above(F.col("path"))).alias("at")).join(globs, "at").where(F.expr("path RLIKE regex")).select("path", held)
-    every = by_path.unionByName(met).unionByName(by_glob)
-    return every.select("path", "by.*").groupBy("path").agg(last.alias("by")).select("path", "by.*")
+    by_glob = own.select("path", F.explode(above(F.col("path"))).alias("at")).join(globs, "at").where(F.expr("path RLIKE regex")).select("path", "by")
+    return met.unionByName(by_glob).groupBy("path").agg(F.max("by").alias("by")).select("path", "by.*")
 
 
 def ignored(paths: DataFrame, lines: DataFrame) -> DataFrame:

@@ -92,3 +92,11 @@ def test_the_plan_does_not_grow_with_the_patterns(spark):
         return len(ignore.ignored(p, lines)._jdf.queryExecution().optimizedPlan().toString())
 
     assert abs(size(10_000) - size(10)) < 200
+
+
+def test_repeated_lines_meet_a_path_once(spark):
+    lines = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "").otherwise("src").alias("folder"), F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "*.ts").when(F.col("id") % 3 == 1, "src/a.ts").otherwise("k?.ts").alias("line"))
+    table = ignore.patterns(lines)
+    assert ignore.distinct_patterns(table).count() == 6  # a name's glob, a path and a suffix for each of both folders
+    got = ignore.deciding(spark.createDataFrame([("src/a.ts",), ("a.ts",), ("k1.ts",), ("src/k1.ts",), ("b.md",)], "path string"), table)
+    assert sorted(map(tuple, got.collect())) == [("a.ts", "", 4998, False), ("k1.ts", "", 4998, False), ("src/a.ts", "src", 4995, False), ("src/k1.ts", "src", 4997, False)]
