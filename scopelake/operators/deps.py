@@ -146,26 +146,29 @@ def merged_fan_in(sketches: DataFrame, path: str) -> DataFrame:
     return up.groupBy("path").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("fan_in"))
 
 
-#: Bytes of super nodes up to which they are broadcast; salts beyond.
-FEW_BYTES, SALTS = 8 << 20, 64
+#: Bytes of super nodes up to which all are broadcast, and how many of the largest are beyond.
+FEW_BYTES, LARGEST = 8 << 20, 1000
 
 
 def collapse_super_nodes(edges: DataFrame, supers: DataFrame, most_bytes: int = FEW_BYTES) -> DataFrame:
-    """edges with those to a super node replaced by one badge per (source, super node).
+    """edges with those to a super node (as super_nodes() gives them) replaced by one badge per (source, super node).
 
-    Super nodes are where edges meet, so edges never shuffle by their target alone: as long as
-    the super nodes' ids are few bytes they are broadcast; beyond, edges are dealt over salts
-    by their source and each super node is sent to every salt.  Edges are then added up per
-    (source, target), in the tasks first: badges count once, plain edges as often as before.
+    Edges are added up per (source, target), in the tasks first: badges count once, plain edges
+    as often as before.  As long as the super nodes' ids are few bytes they are broadcast; beyond,
+    only the largest are, so that no other target holds more than a thousandth of what points to
+    super nodes, and the others meet their edges in a sort-merge join.  Edges to the largest are
+    dealt over its partitions by their source.
     """
-    marked = written(supers.select("target", F.lit(True).alias("_super")), "super-nodes")
+    marked = written(supers.select("target", "in_degree", F.lit(True).alias("_super")), "super-nodes")
     size = marked.agg(F.coalesce(F.sum(F.octet_length(F.col("target").cast("string")) + 32), F.lit(0))).first()[0]
+    own = edges.groupBy("source", "target").agg(F.count("*").cast("int").alias("_n"))
     if size <= most_bytes:
-        flagged = edges.join(F.broadcast(marked), "target", "left")
+        counted = own.join(F.broadcast(marked.drop("in_degree")), "target", "left")
     else:
-        salted = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        flagged = edges.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int")).join(salted, ["target", "_salt"], "left")
-    counted = flagged.groupBy("source", "target", "_super").agg(F.count("*").cast("int").alias("_n"))
+        largest = marked.orderBy(F.desc("in_degree")).limit(LARGEST).select("target", F.lit(True).alias("_large"))
+        dealt = own.join(F.broadcast(largest), "target", "left").withColumn("_salt", F.when(F.col("_large"), F.xxhash64("source")).otherwise(F.lit(0)))
+        others = marked.select("target", "_super", F.lit(0).cast("long").alias("_salt")).hint("merge")  # the file's size would have it broadcast
+        counted = dealt.join(others, ["target", "_salt"], "left").withColumn("_super", F.coalesce("_large", "_super"))
     each = F.explode(F.array_repeat(F.when(F.col("_super"), "badge").otherwise("edge"), F.when(F.col("_super"), 1).otherwise(F.col("_n"))))
     return counted.select("source", "target", each.alias("kind"))
 

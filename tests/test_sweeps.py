@@ -67,6 +67,16 @@ def test_super_nodes_without_a_hot_task(spark, most_bytes):
     assert got == sorted([(s, "hub", "badge") for s in {s for s, t in edges if t == "hub"}] + [(s, t, "edge") for s, t in edges if t != "hub"])
 
 
+def test_many_super_nodes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(deps, "LARGEST", 2, raising=False)
+    edges = [(f"s{k % (i + 2)}", f"t{i}") for i in range(12) for k in range(30)]
+    e = spark.createDataFrame(edges, "source string, target string")
+    got = deps.collapse_super_nodes(e, deps.super_nodes(e, 5, distinct_sources=True), 0)
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    few = {f"t{i}" for i in range(4)}
+    assert sorted(map(tuple, got.collect())) == sorted([(s, t, "edge") for s, t in edges if t in few] + [(s, t, "badge") for s, t in set(edges) if t not in few])
+
+
 def test_an_else_behind_other_siblings(spark):
     kinds = ["if_branch", "case", "if_branch", "try", "else_branch", "catch", "else_branch", "if_branch"]
     r = spark.createDataFrame([("p", i, k) for i, k in enumerate(kinds)], "parent string, o long, kind string")
