@@ -37,6 +37,15 @@ def by_range(scopes: DataFrame, start: int, end: int) -> DataFrame:
     return hit.groupBy("path").agg(F.min_by("scope_id", "preorder").alias("scope_id"))
 
 
+def _by_file(kept: DataFrame, *fields: Column | str) -> DataFrame:
+    """path, held: the given fields of all rows of a file, sorted; ``kept`` are few of its scopes.
+
+    Rows are dealt by path before they are gathered, so no task holds more than its share of a shuffle.
+    """
+    rows = kept.select("path", F.struct(*fields).alias("x")).repartition("path")
+    return rows.groupBy("path").agg(F.sort_array(F.collect_list("x")).alias("held"))
+
+
 def focused_scope(scopes: DataFrame, closed: DataFrame, start: int, end: int) -> DataFrame:
     """path, scope_id: the deepest scope that is reached from the top through scopes that all hold the range.
 
@@ -56,19 +65,27 @@ def breadcrumb_trail(scopes: DataFrame, closed: DataFrame, start: int, end: int)
 
     At each step the narrowest child that holds the range is entered, of equal ones the
     first.  A child as wide as its parent is entered only if one of its own children holds
-    the range and is narrower.
+    the range and is narrower.  Only the files' own scopes and those that hold the range are
+    looked at, a file's in one walk from the top; ``closed`` is not read.
     """
-    span = F.col("end_line") - F.col("start_line")
-    holds = scopes.where((F.col("start_line") <= start) & (F.col("end_line") >= end)).withColumn("span", span)
-    best = Window.partitionBy("path", "parent_id").orderBy("span", "preorder")
-    entered = holds.where("depth > 0").withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    inner = holds.groupBy(F.col("parent_id").alias("scope_id")).agg(F.min("span").alias("inner"))
-    outer = scopes.select(F.col("scope_id").alias("parent_id"), span.alias("outer"))
-    wide = F.coalesce(F.col("span") >= F.col("outer"), F.lit(False)) & ~F.coalesce(F.col("inner") < F.col("span"), F.lit(False))
-    entered = entered.join(inner, "scope_id", "left").join(outer, "parent_id", "left").where(~wide & (F.col("span") <= F.coalesce("outer", "span")))
-    chain = closed.join(entered.select(F.col("scope_id").alias("ancestor")), "ancestor", "left_semi").groupBy("node").agg(F.count("*").alias("_n"))
-    whole = entered.join(chain, F.col("scope_id") == F.col("node")).where(F.col("_n") == F.col("depth"))
-    return scopes.where("depth = 0").select("path", "scope_id", "depth").unionByName(whole.select("path", "scope_id", "depth"))
+    holds = (F.col("start_line") <= start) & (F.col("end_line") >= end)
+    kept = scopes.where((F.col("depth") == 0) | holds).withColumns({"span": F.col("end_line") - F.col("start_line"), "holds": F.coalesce(holds, F.lit(False))})
+    step = lambda x, entered: F.struct(*[x[n].alias(n) for n in ("depth", "scope_id", "parent_id", "span")], entered.alias("entered"))
+
+    def way(steps: Column, x: Column) -> Column:
+        """steps with x where it is the first child of one that was entered; whether it is entered too."""
+        parent = F.filter(steps, lambda p: p["entered"] & (p["scope_id"] == x["parent_id"]))
+        met = F.exists(steps, lambda p: (p["depth"] == x["depth"]) & p["parent_id"].eqNullSafe(x["parent_id"]))
+        inner = F.array_min(F.transform(F.filter("held", lambda c: c["holds"] & (c["parent_id"] == x["scope_id"])), lambda c: c["span"]))
+        outer = F.get(parent, F.lit(0))["span"]
+        wide = F.coalesce(x["span"] >= outer, F.lit(False)) & ~F.coalesce(inner < x["span"], F.lit(False))
+        entered = ~wide & (x["span"] <= F.coalesce(outer, x["span"]))
+        return F.when(~met & ((x["depth"] == 1) | (F.size(parent) > 0)), F.concat(steps, F.array(step(x, entered)))).otherwise(steps)
+
+    tops = F.transform(F.filter("held", lambda x: x["depth"] == 0), lambda x: step(x, F.lit(True)))
+    steps = F.aggregate(F.filter("held", lambda x: x["depth"] > 0), tops, way)
+    trail = _by_file(kept, "depth", "span", "preorder", "scope_id", "parent_id", "holds").select("path", F.explode(F.filter(steps, lambda x: x["entered"])).alias("x"))
+    return trail.select("path", "x.scope_id", "x.depth")
 
 
 def relative_depth(nodes: DataFrame, closed: DataFrame) -> DataFrame:

@@ -103,3 +103,22 @@ def test_any_text_is_read_by_every_analyzer(text):
 
     for path in ("a.css", "a.scss", "a.md", "a.c", "a.tsx"):
         assert analyze_text(path, text)["error"] is None
+
+
+def nested(spark):
+    """A file whose first child holds lines 6 and 7 and whose second does so more narrowly, and one whose own scope does not."""
+    rows = [("g", "t", None, 1, 40, 0, 0), ("g", "t1", "t", 2, 20, 1, 1), ("g", "t11", "t1", 3, 5, 2, 2), ("g", "t2", "t", 5, 12, 1, 3), ("g", "t21", "t2", 6, 8, 2, 4), ("h", "u", None, 1, 5, 0, 0)]
+    s = spark.createDataFrame(rows, "path string, scope_id string, parent_id string, start_line long, end_line long, depth int, preorder int")
+    up = [(r[1], r[1], 0) for r in rows] + [(r[1], r[2], 1) for r in rows if r[2]] + [("t11", "t", 2), ("t21", "t", 2)]
+    return s, spark.createDataFrame(up, "node string, ancestor string, distance int")
+
+
+def one_shuffle(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange ") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_the_trail_takes_one_shuffle_of_few_scopes(spark):
+    s, c = nested(spark)
+    assert one_shuffle(explorer.breadcrumb_trail(s, c, 6, 7))
+    assert sorted((r["path"], r["scope_id"], r["depth"]) for r in explorer.breadcrumb_trail(s, c, 6, 7).collect()) == [("g", "t", 0), ("g", "t2", 1), ("g", "t21", 2), ("h", "u", 0)]
