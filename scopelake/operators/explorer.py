@@ -49,15 +49,16 @@ def _by_file(kept: DataFrame, *fields: Column | str) -> DataFrame:
 def focused_scope(scopes: DataFrame, closed: DataFrame, start: int, end: int) -> DataFrame:
     """path, scope_id: the deepest scope that is reached from the top through scopes that all hold the range.
 
-    Of siblings that hold it the first is entered, so a scope counts only if it is the first
-    of its parent and so are its ancestors.
+    Of siblings that hold it the first is entered.  Only scopes that hold the range are looked
+    at, a file's in one walk from the top; ``closed`` is not read.
     """
     holds = scopes.where((F.col("start_line") <= start) & (F.col("end_line") >= end))
-    first = Window.partitionBy("path", "parent_id").orderBy("preorder")
-    entered = holds.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("path", "scope_id", "depth")
-    chain = closed.join(entered.select(F.col("scope_id").alias("ancestor")), "ancestor", "left_semi").groupBy("node").agg(F.count("*").alias("_n"))
-    whole = entered.join(chain, F.col("scope_id") == F.col("node")).where(F.col("_n") == F.col("depth") + 1)
-    return whole.groupBy("path").agg(F.max_by("scope_id", "depth").alias("scope_id"))
+    kinds = {f.name: f.dataType for f in scopes.schema}
+    at = lambda i, d: F.struct(i.cast(kinds["scope_id"]).alias("scope_id"), d.cast(kinds["depth"]).alias("depth"))
+    below = lambda a, x: (x["depth"] == a["depth"] + 1) & ((x["depth"] == 0) | (x["parent_id"] == a["scope_id"]))
+    walk = F.aggregate("held", at(F.lit(None), F.lit(-1)), lambda a, x: F.when(below(a, x), at(x["scope_id"], x["depth"])).otherwise(a))
+    found = _by_file(holds, "depth", "preorder", "scope_id", "parent_id").select("path", walk["scope_id"].alias("scope_id"))
+    return found.where("scope_id IS NOT NULL")
 
 
 def breadcrumb_trail(scopes: DataFrame, closed: DataFrame, start: int, end: int) -> DataFrame:

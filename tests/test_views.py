@@ -122,3 +122,9 @@ def test_the_trail_takes_one_shuffle_of_few_scopes(spark):
     s, c = nested(spark)
     assert one_shuffle(explorer.breadcrumb_trail(s, c, 6, 7))
     assert sorted((r["path"], r["scope_id"], r["depth"]) for r in explorer.breadcrumb_trail(s, c, 6, 7).collect()) == [("g", "t", 0), ("g", "t2", 1), ("g", "t21", 2), ("h", "u", 0)]
+
+
+def test_the_focused_scope_takes_one_shuffle_of_few_scopes(spark):
+    s, c = nested(spark)
+    assert one_shuffle(explorer.focused_scope(s, c, 6, 7))
+    assert [tuple(r) for r in explorer.focused_scope(s, c, 6, 7).select("path", "scope_id").collect()] == [("g", "t1")]
